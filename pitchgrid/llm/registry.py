@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pitchgrid.llm import simhash, suffix_repetition
+from pitchgrid.llm import chat_format, simhash, suffix_repetition
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +23,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.drop("text", "longest_repeat")
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).selectExpr(
+        f"cast({chat_format.PLANTED_ID} as bigint) as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role"
+    ).withColumn("text", F.lit(chat_format.PLANTED_TEXT))
+    return chat_format.chat_digests(chat_format.format_chats(chats.unionByName(planted)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_quality_rules)}
+    return {f.__name__: f for f in (op2_simhash, op3_quality_rules, op5_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_formatting": chat_format.ORACLE_SQL}
