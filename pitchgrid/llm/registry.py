@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchgrid.llm import chat_format, simhash, suffix_repetition
+from pitchgrid.llm import chat_format, secret_scan, simhash, suffix_repetition
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.drop("text", "longest_repeat")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digests(secret_scan.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).selectExpr(
@@ -32,7 +36,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_quality_rules, op5_chat_formatting)}
+    return {f.__name__: f for f in (op2_simhash, op3_quality_rules, op4_secret_scan, op5_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
