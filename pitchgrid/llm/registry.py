@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchgrid.llm import chat_format, decontamination, secret_scan, simhash, suffix_repetition
+from pitchgrid.llm import chat_format, decontamination, secret_scan, simhash, suffix_repetition, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,13 +35,20 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(chat_format.format_chats(chats.unionByName(planted)))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.contaminated(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_quality_rules, op4_secret_scan, op5_chat_formatting, op10_decontamination)}
+    return {f.__name__: f for f in (op2_simhash, op3_quality_rules, op4_secret_scan, op5_chat_formatting, op7_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
