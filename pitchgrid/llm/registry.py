@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchgrid.llm import chat_format, decontamination, secret_scan, simhash, suffix_repetition, toxicity
+from pitchgrid.llm import chat_format, decontamination, line_dedup, secret_scan, simhash, suffix_repetition, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -48,8 +52,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_quality_rules, op4_secret_scan, op5_chat_formatting, op7_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_quality_rules, op4_secret_scan, op5_chat_formatting, op7_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": chat_format.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL}
+    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op5_chat_formatting": chat_format.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL}

@@ -28,7 +28,7 @@ BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 ORDERS = (3, 4, 5)
 MAX_ROWS, THRESHOLD, HELD_OUT_FOLD, FOLDS = 6000, 0.7, 1, 3
-L2, ROUNDS, SMOOTHING, MIN_TEXTS = 1.0, 120, 1.0, 3
+L2, ROUNDS, SMOOTHING, MIN_TEXTS = 10.0, 120, 1.0, 3
 #: An odd multiplier with well-mixed bits (2**64 over the golden ratio).
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
