@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchgrid.llm import chat_format, decontamination, line_dedup, secret_scan, simhash, suffix_repetition, toxicity
+from pitchgrid.llm import chat_format, decontamination, line_dedup, piece_codec, secret_scan, simhash, suffix_repetition, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,15 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(chat_format.format_chats(chats.unionByName(planted)))
 
 
+def piece_model() -> str:
+    """The SentencePiece model that the query and the pipeline use: the folder of public tokenizers, or PITCHGRID_TOKENIZERS."""
+    return os.path.join(os.environ.get("PITCHGRID_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_and_check(_table(spark, sf_dir, "documents"), piece_model())
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -52,7 +62,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_quality_rules, op4_secret_scan, op5_chat_formatting, op7_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_quality_rules, op4_secret_scan, op5_chat_formatting, op6_sentencepiece, op7_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
