@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchgrid.llm import chat_format, decontamination, line_dedup, piece_codec, secret_scan, simhash, suffix_dedup, suffix_repetition, toxicity
+from pitchgrid.llm import chat_format, decontamination, line_dedup, piece_codec, secret_scan, simhash, site_quality, suffix_dedup, suffix_repetition, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source stands for its host, its language for the first part of its path."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return site_quality.site_quality(docs, _table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_digests(suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -66,7 +72,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_quality_rules, op4_secret_scan, op5_chat_formatting, op6_sentencepiece, op7_toxicity, op9_suffix_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_quality_rules, op4_secret_scan, op5_chat_formatting, op6_sentencepiece, op7_toxicity, op8_site_quality, op9_suffix_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
