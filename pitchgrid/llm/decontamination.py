@@ -99,9 +99,12 @@ def contaminated(
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", max_broadcast_rows: int = MAX_BROADCAST_ROWS, **options
+) -> DataFrame:
     """docs without the documents that hold a benchmark item; rows with a null id stay."""
-    leaks = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__pg_leak")).distinct()
+    pairs = contaminated(docs, benchmark, id_col=id_col, max_broadcast_rows=max_broadcast_rows, **options)
+    leaks = _small(materialised(pairs.select(F.col("doc_id").alias("__pg_leak")).distinct()), max_broadcast_rows)
     return docs.join(leaks, F.col(id_col) == F.col("__pg_leak"), "left_anti")
 
 

@@ -24,6 +24,7 @@ from pitchgrid.llm.components import connected_components
 from pitchgrid.llm.storage import materialised
 
 SEED, SHINGLE, MAX_DISTANCE, BITS = 42, 3, 3, 64
+MAX_BROADCAST_ROWS = 1_000_000
 #: Shingle hashes counted together in one numpy pass; bounds memory on long texts.
 HASHES_PER_PASS = 1 << 16
 
@@ -97,11 +98,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """docs with one row of each component: the row of its smallest id, once; rows with a null id stay."""
     classes = near_duplicates(docs, id_col, text_col)
-    gone = classes.where("component_id <> doc_id").select(F.col("doc_id").alias("__pg_gone")).distinct()
+    gone = materialised(classes.where("component_id <> doc_id").select(F.col("doc_id").alias("__pg_gone")).distinct())
+    if gone.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        gone = F.broadcast(gone)
     kept = docs.join(gone, F.col(id_col) == F.col("__pg_gone"), "left_anti")
     repeated = docs.groupBy(F.col(id_col).alias("__pg_id")).count().where("count > 1 and __pg_id is not null").select("__pg_id")
+    if repeated.isEmpty():
+        return kept
+    repeated = materialised(repeated)
     once = kept.join(repeated, F.col(id_col) == F.col("__pg_id"), "left_semi").dropDuplicates([id_col])
     return kept.join(repeated, F.col(id_col) == F.col("__pg_id"), "left_anti").unionByName(once)
