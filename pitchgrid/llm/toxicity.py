@@ -29,6 +29,8 @@ BUCKETS = 1 << BUCKET_BITS
 ORDERS = (3, 4, 5)
 MAX_ROWS, THRESHOLD, HELD_OUT_FOLD, FOLDS = 6000, 0.7, 1, 3
 L2, ROUNDS, SMOOTHING, MIN_TEXTS = 10.0, 120, 1.0, 3
+#: Training rows whose terms are formed at a time; bounds memory.
+ROWS_PER_BLOCK = 256
 #: An odd multiplier with well-mixed bits (2**64 over the golden ratio).
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,12 +65,13 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _ratios(ids: np.ndarray, of_row: np.ndarray, label: np.ndarray) -> np.ndarray:
+def _ratios(rows: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     """Smoothed log-count ratios of the features; 0 for those of too few texts."""
-    toxic = np.bincount(ids[label[of_row] == 1], minlength=BUCKETS).astype(float)
-    other = np.bincount(ids[label[of_row] == 0], minlength=BUCKETS).astype(float)
-    p, q = toxic + SMOOTHING, other + SMOOTHING
-    return np.where(toxic + other >= MIN_TEXTS, np.log(p / p.sum()) - np.log(q / q.sum()), 0.0)
+    counts = np.zeros((2, BUCKETS))
+    for ids, y in zip(rows, label, strict=True):
+        counts[y, ids] += 1  # the ids of a row are distinct
+    p, q = counts[1] + SMOOTHING, counts[0] + SMOOTHING
+    return np.where(counts.sum(axis=0) >= MIN_TEXTS, np.log(p / p.sum()) - np.log(q / q.sum()), 0.0)
 
 
 def fit(rows: list[np.ndarray], label: np.ndarray, toxic_share: float) -> Model:
@@ -77,27 +80,35 @@ def fit(rows: list[np.ndarray], label: np.ndarray, toxic_share: float) -> Model:
     if not 0 < label.sum() < len(label):
         share = min(max(toxic_share, 1e-3), 1 - 1e-3)
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
-    ids, of_row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    ratio = _ratios(ids, of_row, label)
+    ratio = _ratios(rows, label)
     used = np.flatnonzero(ratio)
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
-    seen = place[ids] >= 0
-    ids, of_row = place[ids[seen]], of_row[seen]
     value = ratio[used]
+    blocks = []
+    for at in range(0, len(rows), ROWS_PER_BLOCK):
+        part = [place[x] for x in rows[at : at + ROWS_PER_BLOCK]]
+        part = [x[x >= 0] for x in part]
+        of_row = np.repeat(np.arange(len(part), dtype=np.int32), [len(x) for x in part])
+        blocks.append((np.concatenate(part), of_row, slice(at, at + len(part))))
     # Nesterov's method on the scaled problem; one step size per feature from its curvature bound
-    n = len(label)
-    size = np.bincount(of_row, weights=np.abs(value[ids]), minlength=n)
-    curve = 0.25 * np.bincount(ids, weights=size[of_row], minlength=len(used)) * np.abs(value) + L2
+    n, curve = len(label), np.zeros(len(used))
+    for ids, of_row, block in blocks:
+        size = np.bincount(of_row, weights=np.abs(value)[ids], minlength=block.stop - block.start)
+        curve += 0.25 * np.bincount(ids, weights=size[of_row], minlength=len(used)) * np.abs(value)
+    curve += L2
     w, bias = np.zeros(len(used)), 0.0
-    ahead, last, bias_ahead, bias_last = w.copy(), w, bias, bias
+    ahead, bias_ahead = w, bias
     for k in range(ROUNDS):
-        z = np.bincount(of_row, weights=(ahead * value)[ids], minlength=n) + bias_ahead
-        residual = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - label
-        grad = np.bincount(ids, weights=residual[of_row], minlength=len(used)) * value + L2 * ahead
-        w, bias = ahead - grad / curve, bias_ahead - residual.sum() / n
-        momentum = k / (k + 3)
-        ahead, last, bias_ahead, bias_last = w + momentum * (w - last), w, bias + momentum * (bias - bias_last), bias
+        grad, bias_grad, scaled = L2 * ahead, 0.0, ahead * value
+        for ids, of_row, block in blocks:
+            z = np.bincount(of_row, weights=scaled[ids], minlength=block.stop - block.start) + bias_ahead
+            residual = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - label[block]
+            grad += np.bincount(ids, weights=residual[of_row], minlength=len(used)) * value
+            bias_grad += residual.sum()
+        last, bias_last = w, bias
+        w, bias = ahead - grad / curve, bias_ahead - bias_grad / n
+        ahead, bias_ahead = w + k / (k + 3) * (w - last), bias + k / (k + 3) * (bias - bias_last)
     weights = np.zeros(BUCKETS)
     weights[used] = w * value
     had = label.mean()
@@ -130,8 +141,11 @@ def train(
     texts = docs.select(F.col(id_col).alias("__pg_id"), F.col(text_col).cast("string").alias("__pg_text"))
     # chosen holds at most max_rows rows of 12 bytes
     sample = texts.join(F.broadcast(chosen), "__pg_id").select("__pg_id", "__pg_y", _features("__pg_text").alias("__pg_f"))
-    rows = sample.orderBy("__pg_id", "__pg_y", F.xxhash64("__pg_f")).limit(max_rows).collect()
-    return fit([np.asarray(r["__pg_f"], np.int32) for r in rows], [r["__pg_y"] for r in rows], counts.get(1, 0) / total if total else 0.0)
+    rows = sample.limit(max_rows).toArrow()
+    ids, keys = rows["__pg_f"].combine_chunks(), rows["__pg_id"].to_pylist()
+    label, lists = rows["__pg_y"].to_pylist(), [ids[i].values.to_numpy() for i in range(len(ids))]
+    order = sorted(range(len(lists)), key=lambda i: (keys[i], label[i], len(lists[i]), lists[i].tobytes()))
+    return fit([lists[i] for i in order], [label[i] for i in order], counts.get(1, 0) / total if total else 0.0)
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
