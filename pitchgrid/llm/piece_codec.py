@@ -36,7 +36,8 @@ from pitchgrid.llm.storage import materialised
 
 CHUNK = 32_768
 SPACE = "▁"
-CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 200_000, 200_000, 32
+LATIN = "A-Za-z\u00c0-\u024f"
+CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 400_000, 200_000, 32
 NONE = float("-inf")
 
 
@@ -59,7 +60,7 @@ class Codec:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.scores: dict[str, float] = {}
-        self.ids: dict[str, int] = {}
+        self.ids: dict[str, bytes] = {}
         self.table: list[bytes] = []
         self.byte_ids = np.zeros(256, np.int32)
         for i in range(model.get_piece_size()):
@@ -70,23 +71,32 @@ class Codec:
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.table.append(b"")
             else:
-                self.scores[piece], self.ids[piece] = model.get_score(i), i
+                self.scores[piece], self.ids[piece] = model.get_score(i), np.int32(i).tobytes()
                 self.table.append(piece.replace(SPACE, " ").encode())
         if not any(model.is_byte(i) for i in range(model.get_piece_size())):
             raise ValueError("the model has no byte pieces, so it can't encode every text")
         self.reach = max(map(len, self.scores))
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.scores)
-        self.word = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if self.splits else re.compile(".+", re.S)
+        self.word = re.compile(self._unit_pattern(), re.S)
         self.literal = self._bytes_of(SPACE)
         self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
+    def _unit_pattern(self) -> str:
+        """A pattern of the longest strings that no place where paths meet divides, by what the model's pieces hold."""
+        if not self.splits:
+            return ".+"
+        if any(re.search(f"[{LATIN}][^{LATIN}{SPACE}]", p) for p in self.scores):
+            return f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
+        return f"{SPACE}+[^{SPACE}{LATIN}]*[{LATIN}]*|[^{SPACE}{LATIN}]+[{LATIN}]*|[{LATIN}]+"  # a letter ends, too, before other characters
+
     def _bytes_of(self, text: str) -> bytes:
         return self.byte_ids[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)].tobytes()
 
     def _ids_of(self, pieces: list[str]) -> bytes:
-        ids = self.ids
-        return b"".join([np.int32(ids[p]).tobytes() if p in ids else self._bytes_of(p) for p in pieces])
+        known = self.ids.get
+        return b"".join([known(p) or self._bytes_of(p) for p in pieces])
 
     def merged(self, s: str) -> list[str]:
         """The pieces of a short string by repeated merges, best score first, leftmost among equals."""
@@ -135,21 +145,18 @@ class Codec:
         return out[::-1]
 
     def _word(self, word: str) -> bytes:
+        """Ids of a word that is not in the younger half of the cache."""
         if len(word) > CACHED_LENGTH:
             return self._ids_of(self._traced(word, self._path(word, len(word)), len(word)))
-        if len(self.words) >= CACHED_WORDS:
-            self.words.clear()
-        got = self.words[word] = self._ids_of(self.merged(word))
+        if len(self.words) >= CACHED_WORDS // 2:
+            self.words, self.older_words = {}, self.words
+        got = self.words[word] = self.older_words.get(word) or self._ids_of(self.merged(word))
         return got
 
     def _marked(self, s: str) -> bytes:
         """Ids of a string of pieces' characters that no piece enters or leaves."""
-        words = self.word.findall(s)
-        try:
-            return b"".join([self.words[w] for w in words])
-        except KeyError:
-            known = self.words.get
-            return b"".join([known(w) or self._word(w) for w in words])
+        # the cache's halves are exchanged in _word, so they are looked up anew for each word
+        return b"".join([self.words.get(w) or self._word(w) for w in self.word.findall(s)])
 
     def marked(self, text: str) -> list[str]:
         """The text as strings of pieces' characters between literal U+2581."""
@@ -269,11 +276,10 @@ def _chunk_table(giants: DataFrame, path: str, chunk: int) -> DataFrame:
                 rows = []
                 for part, s in enumerate(c.marked(text)):
                     # the last chunk holds at least reach characters, so that no piece jumps over it
-                    cuts = [x for x in range(0, len(s), chunk) if x == 0 or len(s) - x >= c.reach]
+                    cuts = [x for x in range(0, max(len(s), 1), chunk) if x == 0 or len(s) - x >= c.reach]
                     for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(s)], strict=True)):
                         low = max(0, a - c.reach)
                         rows.append((part, k, s[low : b + c.reach - 1], a - low, b - low))
-                    rows += [(part, 0, "", 0, 0)] * (not cuts)
                 for at in range(0, len(rows), 256):
                     columns = list(zip(*rows[at : at + 256], strict=True))
                     of = pa.array([i] * len(columns[0]), pa.int64())
