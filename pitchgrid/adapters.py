@@ -150,4 +150,4 @@ def with_sql(*names: str) -> str:
 def bhattacharyya_sql(u: str, v: str) -> str:
     """The histogram distance in DuckDB."""
     shared = f"list_sum(list_transform(list_zip({u}, {v}), lambda z: sqrt(z[1] * z[2])))"
-    return f"sqrt(greatest(0E0, 1 - {shared} / nullif(sqrt(list_sum({u}) * list_sum({v})), 0)))"
+    return f"CASE WHEN list_sum({u}) * list_sum({v}) > 0 THEN sqrt(greatest(0E0, 1 - {shared} / sqrt(list_sum({u}) * list_sum({v})))) END"

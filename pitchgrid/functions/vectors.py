@@ -13,7 +13,8 @@ def total(a: Column) -> Column:
 def bhattacharyya(u: Column, v: Column) -> Column:
     """Distance of two histograms; null if either is empty of mass."""
     shared = total(F.zip_with(u, v, lambda x, y: F.sqrt(x.cast("double") * y.cast("double"))))
-    return F.sqrt(F.greatest(F.lit(0.0), 1 - F.try_divide(shared, F.sqrt(total(u) * total(v)))))
+    alike = F.try_divide(shared, F.sqrt(total(u) * total(v)))
+    return F.when(alike.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), 1 - alike)))
 
 
 def squared_error(u: Column, v: Column, scale: float = 1.0) -> Column:

@@ -49,9 +49,9 @@ def annotation_json(boxes: DataFrame, tags: dict[str, int] | None = None) -> Dat
     b = F.col("bbox")
     point = lambda x, y: F.struct(b[x].alias("x"), b[y].alias("y"))
     region = F.struct(
-        F.uuid().alias("id"), F.array(names[F.col("category")]).alias("tags"),
+        F.col("id"), F.array(names[F.col("category")]).alias("tags"),
         F.struct(b["x1"].alias("left"), b["y1"].alias("top"), (b["y2"] - b["y1"]).alias("height"), (b["x2"] - b["x1"]).alias("width")).alias("boundingBox"),
         F.array(point("x1", "y1"), point("x2", "y1"), point("x2", "y2"), point("x1", "y2")).alias("points"),
     )
-    per_asset = boxes.groupBy("asset").agg(F.collect_list(region).alias("regions"))
+    per_asset = boxes.withColumn("id", F.uuid()).groupBy("asset").agg(F.collect_list(region).alias("regions"))
     return per_asset.select("asset", F.to_json(F.struct(F.struct(F.concat("asset", F.lit(".jpg")).alias("name")).alias("asset"), "regions")).alias("value"))
