@@ -262,3 +262,24 @@ def field_mask(rgb: np.ndarray, people: np.ndarray, fixed: np.ndarray, clusters:
     out = np.zeros(rgb.shape[:2], bool)
     out[free] = np.isin(label, chosen)
     return large_parts(opened(out, np.ones((open_size, open_size), bool)), min_share)
+
+
+def overlay_patches(region: np.ndarray, frames: np.ndarray) -> list[tuple[tuple[int, int, int, int], np.ndarray]]:
+    """(box, mean patch) of each part of a fixed region, averaged over frames and kept under 255."""
+    out = []
+    for part in components(region):
+        ys, xs = np.nonzero(part)
+        box = (int(xs.min()), int(ys.min()), int(xs.max()) + 1, int(ys.max()) + 1)
+        cut = np.stack([patch(f, box, copy=False) for f in frames]).astype(float).mean(axis=0)
+        out.append((box, np.minimum(cut, 255)))
+    return out
+
+
+def instance_patches(masks: np.ndarray, boxes: np.ndarray) -> list[np.ndarray]:
+    """Each instance's mask cut to its box."""
+    return [patch(m, b) for m, b in zip(masks, boxes, strict=True)]
+
+
+def at_source_size(flow: np.ndarray, shape: tuple[int, int], top: int, bottom: int, left: int, right: int) -> np.ndarray:
+    """Flow resized to the undistorted picture and padded to its full size."""
+    return with_borders(resized(flow, shape), top, bottom, left, right)

@@ -32,6 +32,26 @@ def fit(rows: DataFrame, column: str, label: str, features=None, max_iter: int =
     return Classifier(model, features)
 
 
+def fit_best(train: DataFrame, valid: DataFrame, column: str, label: str, regs: tuple[float, ...] = (1e-4, 1e-3, 1e-2), features=None, path: str | None = None):
+    """(classifier, metrics): the strength of regularisation with the least validation loss; the best model is saved to path.
+
+    metrics has one row per strength: reg, loss (mean cross-entropy weighted by actual counts) and accuracy on valid.
+    """
+    best, rows = None, []
+    for reg in regs:
+        model = fit(train, column, label, features, reg=reg)
+        scored = classify(model, valid, column)
+        own = F.get("probabilities", F.col(label).cast("int"))
+        guess = F.array_position("probabilities", F.array_max("probabilities")) - 1
+        loss, accuracy = scored.agg(F.avg(-F.log(F.greatest(own, F.lit(1e-12)))), F.avg((guess == F.col(label)).cast("double"))).first()
+        rows.append((reg, loss, accuracy))
+        if best is None or (loss is not None and loss < best[0]):
+            best = (loss, model)
+            if path:
+                model.model.write().overwrite().save(path)
+    return best[1], train.sparkSession.createDataFrame(rows, "reg double, loss double, accuracy double")
+
+
 def classify(classifier: Classifier, rows: DataFrame, column: str) -> DataFrame:
     """rows with logits (raw scores) and probabilities per class."""
     x = classifier.features(F.col(column)) if classifier.features else F.col(column)

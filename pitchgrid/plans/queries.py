@@ -497,6 +497,18 @@ def untested_indices(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_except(every, tested).cast("array<bigint>").alias("rest"))
 
 
+@query(with_sql("det", "seg") + "SELECT s % 10 AS match, count(*) AS people FROM seg WHERE class_id = 0 GROUP BY 1")
+def people_per_match(spark, d):
+    return A.segmentation(spark, d).where("class_id = 0").groupBy((F.col("s") % 10).alias("match")).agg(F.count("*").alias("people"))
+
+
+@query(with_sql("det") + "SELECT frame_idx, det_idx, x1, y1, x1 + (x2 - x1) AS x2, y1 + (y2 - y1) AS y2 FROM det WHERE q > 30")
+def annotated_boxes(spark, d):
+    b = F.col("bbox")
+    rows = A.detections(spark, d).where("q > 30")
+    return rows.select("frame_idx", "det_idx", G.corners(b["x1"], b["y1"], b["x2"] - b["x1"], b["y2"] - b["y1"]).alias("b")).select("frame_idx", "det_idx", "b.*")
+
+
 # learned models and sequential alignment: no SQL; tests hold their invariants
 
 

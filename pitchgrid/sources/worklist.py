@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +35,11 @@ def output_path(match: Column, stage: str) -> Column:
 def count_files(listing: DataFrame, by: list[str]) -> DataFrame:
     """(by, n) files of each group of a listing."""
     return listing.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def list_matches(spark: SparkSession, root: str, depth: int = 3, pattern: str = "*.json") -> DataFrame:
+    """(match) of every folder that many levels below root with a file of the pattern; Spark lists, no contents are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path")
+    top = re.escape("/" + root.split("://")[-1].strip("/"))
+    inner = F.regexp_extract("path", f"{top}/((?:[^/]+/){{{depth}}})[^/]+$", 1)
+    return files.select(F.rtrim(inner, F.lit("/")).alias("match")).where("match <> ''").distinct()

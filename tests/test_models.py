@@ -56,3 +56,10 @@ def test_classifier_scores(teams):
 def test_relative_likelihood_filter(teams):
     kept = labelling.relative_likelihood_filter(teams.withColumnRenamed("truth", "category"), 0.5)
     assert 0 < kept.count() <= teams.count()
+
+
+def test_best_model_by_validation_loss(teams, tmp_path):
+    valid = teams.where("id % 5 = 0")
+    model, metrics = classifier.fit_best(teams.where("id % 5 <> 0"), valid, "hist", "truth", (1e-4, 10.0), path=str(tmp_path / "best"))
+    rows = metrics.collect()
+    assert rows[0].loss < rows[1].loss and rows[0].accuracy == 1 and (tmp_path / "best" / "metadata").exists()

@@ -2,8 +2,10 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from pitchgrid.plans import config
 from pitchgrid.sources import annotations, readers, sinks, worklist
 
 
@@ -66,3 +68,12 @@ def test_gather_repaired(spark):
     frames = spark.createDataFrame([(1, i, f"f{i}") for i in range(6)], "half int, frame_idx int, v string")
     index = spark.createDataFrame([(1, 0, 4), (1, 1, 4), (1, 2, -1)], "half int, frame_idx int, all_frame_idx int")
     assert sorted((r.frame_idx, r.v) for r in sinks.gather_repaired(frames, index, ["half"]).collect()) == [(0, "f4"), (1, "f4")]
+
+
+def test_match_listing_and_configs(spark, tmp_path):
+    write(tmp_path / "league" / "season" / "match" / "1_x.json", {})
+    write(tmp_path / "league" / "readme.json", {})
+    assert [r.match for r in worklist.list_matches(spark, str(tmp_path)).collect()] == ["league/season/match"]
+    assert config.load(config.VelocityConfig, '{"region_clusters": 6}').region_clusters == 6
+    with pytest.raises(ValueError, match="unknown"):
+        config.load(config.TrainingConfig, '{"epochs": 6}')
