@@ -145,9 +145,11 @@ class Codec:
         return out[::-1]
 
     def _word(self, word: str) -> bytes:
-        """Ids of a word that is not in the younger half of the cache."""
+        """Ids of a word; the cache's younger half takes in what it lacks."""
         if len(word) > CACHED_LENGTH:
             return self._ids_of(self._traced(word, self._path(word, len(word)), len(word)))
+        if got := self.words.get(word):
+            return got
         if len(self.words) >= CACHED_WORDS // 2:
             self.words, self.older_words = {}, self.words
         got = self.words[word] = self.older_words.get(word) or self._ids_of(self.merged(word))
@@ -155,8 +157,8 @@ class Codec:
 
     def _marked(self, s: str) -> bytes:
         """Ids of a string of pieces' characters that no piece enters or leaves."""
-        # the cache's halves are exchanged in _word, so they are looked up anew for each word
-        return b"".join([self.words.get(w) or self._word(w) for w in self.word.findall(s)])
+        known, word = self.words.get, self._word
+        return b"".join([known(w) or word(w) for w in self.word.findall(s)])
 
     def marked(self, text: str) -> list[str]:
         """The text as strings of pieces' characters between literal U+2581."""
@@ -325,24 +327,35 @@ def _encode_giants(giants: DataFrame, path: str, chunk: int) -> DataFrame:
     return traced.groupBy("id", "key").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """docs without text_col, with ``ids`` (array of int), ``n_tokens`` and ``text_key`` (XXH64 of the text)."""
-    kept = [c for c in docs.columns if c not in ("ids", "n_tokens", "text_key", text_col)]
+def encode(
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, verify: bool = False
+) -> DataFrame:
+    """docs without text_col, with ``ids`` (array of int), ``n_tokens`` and ``text_key`` (XXH64 of the text).
+
+    verify: also ``round_trip``, whether decoding the ids gives the text (null for a null text).
+    """
+    kept = [c for c in docs.columns if c not in ("ids", "n_tokens", "text_key", text_col, *["round_trip"] * verify)]
     text = F.col(text_col).cast("string")
     rows = docs.select(*kept, F.col(id_col).alias("__pg_id"), text.alias("__pg_text"), F.xxhash64(text).alias("text_key"))
     long = F.coalesce(F.length("__pg_text") > chunk, F.lit(False))
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")
     def encoded(text: pa.Array) -> pa.Array:
-        c = codec(model_path)
-        return _id_array([None if x is None else c.encode(x) for x in text.to_pylist()])
+        c, texts = codec(model_path), text.to_pylist()
+        ids = [None if x is None else c.encode(x) for x in texts]
+        same = [None if x is None else c.decode(np.frombuffer(i, np.int32)) == x if verify else None for x, i in zip(texts, ids, strict=True)]
+        return pa.StructArray.from_arrays([_id_array(ids), pa.array(same, pa.bool_())], ["ids", "round_trip"])
 
-    short = rows.where(~long).select(*kept, "text_key", encoded("__pg_text").alias("ids"))
+    checked = ["round_trip"] * verify
+    short = rows.where(~long).select(*kept, "text_key", encoded("__pg_text").alias("__pg_e")).select(*kept, "text_key", "__pg_e.ids", *[f"__pg_e.{c}" for c in checked])
     giants = rows.where(long)
     done = _encode_giants(giants.select(F.col("__pg_id").alias("id"), F.col("text_key").alias("key"), F.col("__pg_text").alias("text")), model_path, chunk)
     done = done.toDF("__pg_i", "__pg_k", "ids")
     same = F.col("__pg_id").eqNullSafe(F.col("__pg_i")) & (F.col("text_key") == F.col("__pg_k"))
-    joined = giants.drop("__pg_text").join(done, same).select(*kept, "text_key", "ids")
+    if verify:
+        back = decode(done, model_path, "__pg_back").select("__pg_i", "__pg_k", "ids", F.xxhash64("__pg_back").alias("__pg_b"))
+        done = back.withColumn("round_trip", F.col("__pg_b") == F.col("__pg_k")).drop("__pg_b")
+    joined = giants.drop("__pg_text").join(done, same).select(*kept, "text_key", "ids", *checked)
     return short.unionByName(joined).withColumn("n_tokens", F.size("ids").cast("bigint"))
 
 
@@ -361,5 +374,5 @@ def decode(encoded: DataFrame, model_path: str, to: str = "text") -> DataFrame:
 
 def encode_and_check(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids, round_trip): the ids, and whether decoding them gives the text back."""
-    back = decode(encode(docs.select(id_col, text_col), model_path, id_col, text_col), model_path, "__pg_back")
-    return back.select(F.col(id_col).alias("doc_id"), "n_tokens", "ids", (F.xxhash64("__pg_back") == F.col("text_key")).alias("round_trip"))
+    done = encode(docs.select(id_col, text_col), model_path, id_col, text_col, verify=True)
+    return done.select(F.col(id_col).alias("doc_id"), "n_tokens", "ids", "round_trip")

@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op5_chat_formatting": chat_format.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL}
+    return {"op3_quality_rules": suffix_repetition.ORACLE_SQL, "op1_line_dedup": line_dedup.ORACLE_SQL, "op5_chat_formatting": chat_format.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL}

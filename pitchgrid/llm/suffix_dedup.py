@@ -38,7 +38,7 @@ BATCHES = 2
 #: Windows handled in one numpy pass; bounds the memory that a long text takes.
 WINDOWS_PER_PASS = 1 << 20
 ROWS_PER_BATCH = 200_000
-MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_ROWS = 300_000
 PLACE_BITS = 26
 BASE = 0x9E3779B97F4A7C15
 SPANS = T.ArrayType(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("n", T.IntegerType())]))

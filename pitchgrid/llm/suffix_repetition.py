@@ -175,3 +175,25 @@ def quality_rules(
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
         .withColumn("kept", ~F.col("base_failed") & (F.col("covered_fraction") <= max_covered) & (F.col("longest_repeat") <= max_longest))
     )
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+n AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+i AS (
+  SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, w FROM d, (VALUES (3), (10), (201)) AS t(k) WHERE len(w) >= k),
+r AS (
+  SELECT doc_id, k, i FROM i QUALIFY count(*) OVER (PARTITION BY doc_id, k, md5(array_to_string(w[i:i+k-1], ' '))) > 1),
+c AS (SELECT doc_id, k, count(DISTINCT i + j) AS n FROM r, range(0, 201) AS o(j) WHERE j < k GROUP BY doc_id, k),
+p AS (SELECT doc_id, max(n) FILTER (k = 3) AS n3, max(n) FILTER (k = 10) AS n10, max(n) FILTER (k = 201) AS n201 FROM c GROUP BY doc_id),
+m AS (
+  SELECT n.doc_id, n_words, word_chars, n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n3, 0) AS n_repeat_words, coalesce(n10, 0) AS n_covered,
+    CASE WHEN n_words > 0 THEN coalesce(n10, 0) / n_words::DOUBLE ELSE 0E0 END AS covered_fraction, n201 FROM n LEFT JOIN p USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered, covered_fraction, base_failed,
+  NOT base_failed AND covered_fraction <= 0.3E0 AND n201 IS NULL AS kept FROM f
+"""

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 ORDERS = (3, 4, 5)
-MAX_ROWS, THRESHOLD, HELD_OUT_FOLD, FOLDS = 6000, 0.7, 1, 3
+MAX_ROWS, THRESHOLD, HELD_OUT_FOLD, FOLDS = 4000, 0.7, 1, 3
 L2, ROUNDS, SMOOTHING, MIN_TEXTS = 10.0, 120, 1.0, 3
 #: Training rows whose terms are formed at a time; bounds memory.
 ROWS_PER_BLOCK = 256

@@ -63,6 +63,8 @@ def test_query_paths_nulls_repeats_clashing_names_and_empty_table(spark, codec):
     key = lambda x: (x[0], str(x[1]))
     want = [(str(r[0]), r[1], None if r[1] is None else np.frombuffer(codec.encode(r[1]), np.int32).tolist()) for r in rows]
     assert sorted(got, key=key) == sorted(want, key=key)
+    checked = K.encode(spark.createDataFrame(rows, schema), piece_model(), chunk=64, verify=True).collect()
+    assert len(checked) == len(rows) and {r.round_trip for r in checked} == {True, None}
     assert K.encode(spark.createDataFrame([], schema), piece_model()).count() == 0
 
 
