@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitchgrid.llm.storage import in_small_batches
+
 Turn = tuple[str, str]
 OPEN, BODY, CLOSE = "<|turn|>", "<|text|>", "<|end|>\n"
 SCHEMA = (
@@ -139,7 +141,7 @@ def format_chats(conversations: DataFrame, template=None, loss_roles: tuple[str,
         if rows:
             yield packed()
 
-    rows = conversations.select(
+    rows = in_small_batches(conversations).select(
         F.col("conv_id").cast("bigint").alias("conv_id"), F.col("role").cast("string").alias("role"),
         F.col("text").cast("string").alias("text"), F.col("turn").cast("bigint").alias("turn"),
     )

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchgrid.llm.storage import materialised
+from pitchgrid.llm.storage import in_small_batches, materialised
 
 WINDOW, DIVISOR, MIN_CHARS = 2, 3, 64
 PRIME, BASE = 2147483647, 31
@@ -131,7 +131,7 @@ def line_dedup(
     """docs with text_col reduced to what stays, and n_lines, n_chunks, n_removed_chunks, n_removed_lines (of the input)."""
     kept = [c for c in docs.columns if c not in RESULTS]
     text = F.col(text_col).cast("string")
-    keyed = docs.select(*kept, F.col(id_col).alias("__pg_id"), text.alias("__pg_text"), F.xxhash64(text).alias("__pg_key"))
+    keyed = in_small_batches(docs).select(*kept, F.col(id_col).alias("__pg_id"), text.alias("__pg_text"), F.xxhash64(text).alias("__pg_key"))
     narrow = keyed.select("__pg_id", "__pg_text", "__pg_key")
     rows = [_chunk_rows(narrow, window, divisor, min_chars, with_text) for with_text in (False, True)]
     removed = _removed(*rows, max_broadcast_rows).toDF("__pg_i", "__pg_k", "__pg_ats")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchgrid.llm.storage import materialised
+from pitchgrid.llm.storage import in_small_batches, materialised
 
 CHUNK = 32_768
 SPACE = "▁"
@@ -336,7 +336,7 @@ def encode(
     """
     kept = [c for c in docs.columns if c not in ("ids", "n_tokens", "text_key", text_col, *["round_trip"] * verify)]
     text = F.col(text_col).cast("string")
-    rows = docs.select(*kept, F.col(id_col).alias("__pg_id"), text.alias("__pg_text"), F.xxhash64(text).alias("text_key"))
+    rows = in_small_batches(docs).select(*kept, F.col(id_col).alias("__pg_id"), text.alias("__pg_text"), F.xxhash64(text).alias("text_key"))
     long = F.coalesce(F.length("__pg_text") > chunk, F.lit(False))
 
     @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchgrid.llm.components import connected_components
-from pitchgrid.llm.storage import materialised
+from pitchgrid.llm.storage import in_small_batches, materialised
 
 SEED, SHINGLE, MAX_DISTANCE, BITS = 42, 3, 3, 64
 MAX_BROADCAST_ROWS = 1_000_000
@@ -57,7 +57,7 @@ def _fingerprints(text: pa.Array) -> pa.Array:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed bigint."""
-    return docs.select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col).cast("string")).alias("fp"))
+    return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col).cast("string")).alias("fp"))
 
 
 def links(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What a Python worker gets at a time.
+ARROW_ROWS, ARROW_BYTES = 1000, "8m"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests on one machine)."""
@@ -19,6 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, after its session has been set to Arrow batches of few rows and bytes, so that long texts fit a Python worker.
+
+    Smaller settings stay as they are.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint."""
     shared_dir(df.sparkSession)

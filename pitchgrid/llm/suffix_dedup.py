@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchgrid.llm.storage import materialised
+from pitchgrid.llm.storage import in_small_batches, materialised
 
 WINDOW = 200
 #: Anchor lengths of the rounds; the last is the window.
@@ -232,7 +232,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs with text_col replaced by ``kept`` (binary, the bytes that stay), and n_bytes, n_removed, n_spans."""
     kept = [c for c in docs.columns if c not in RESULTS]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(*kept, F.col(id_col).alias("__pg_id"), text.alias("__pg_text"))
+    keyed = in_small_batches(docs).select(*kept, F.col(id_col).alias("__pg_id"), text.alias("__pg_text"))
     ids = keyed.groupBy("__pg_id").count().where("count > 1").limit(1).count()
     # rows are told apart by id; where ids repeat, also by their place among the rows of that id and text
     if ids:

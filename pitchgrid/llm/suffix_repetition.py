@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitchgrid.llm.storage import in_small_batches
+
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 10, 0.3, 200
 #: Words sorted together; bounds the memory of one numpy pass unless a single text is longer.
-WORDS_PER_PASS = 250_000
+WORDS_PER_PASS = 100_000
 
 FIELDS = [
     ("n_words", pa.int64()),
@@ -52,7 +54,7 @@ def _suffix_order(words: np.ndarray, doc: np.ndarray, end: np.ndarray) -> tuple[
     start = np.ones(n, bool)
     start[1:] = key[order[1:]] != key[order[:-1]]
     first = np.maximum.accumulate(np.where(start, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[order] = first
     levels, width = [rank.copy()], 1
     while True:
@@ -169,7 +171,7 @@ def quality_rules(
 
     names = [name for name, _ in FIELDS] + ["covered_fraction", "base_failed", "kept", "__pg_m"]
     kept_columns = [c for c in docs.columns if c not in names]
-    m = docs.select(*kept_columns, measured(F.col(text_col).cast("string")).alias("__pg_m")).select(*kept_columns, "__pg_m.*")
+    m = in_small_batches(docs).select(*kept_columns, measured(F.col(text_col).cast("string")).alias("__pg_m")).select(*kept_columns, "__pg_m.*")
     return (
         m.withColumn("covered_fraction", F.when(F.col("n_words") > 0, F.col("n_covered") / F.col("n_words")).otherwise(F.lit(0.0)))
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pitchgrid.llm.storage import in_small_batches
+
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 ORDERS = (3, 4, 5)
@@ -138,7 +140,7 @@ def train(
     half = max_rows // 2
     toxic = min(counts.get(1, 0), max(half, max_rows - counts.get(0, 0)))
     chosen = known.where("__pg_y = 1").orderBy(*by_hash).limit(toxic).unionAll(known.where("__pg_y = 0").orderBy(*by_hash).limit(max_rows - toxic))
-    texts = docs.select(F.col(id_col).alias("__pg_id"), F.col(text_col).cast("string").alias("__pg_text"))
+    texts = in_small_batches(docs).select(F.col(id_col).alias("__pg_id"), F.col(text_col).cast("string").alias("__pg_text"))
     # chosen holds at most max_rows rows of 12 bytes
     sample = texts.join(F.broadcast(chosen), "__pg_id").select("__pg_id", "__pg_y", _features("__pg_text").alias("__pg_f"))
     rows = sample.limit(max_rows).toArrow()
@@ -158,5 +160,5 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", thresh
         return pa.array([model.score(x) for x in text.to_pylist()], pa.float64())
 
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    out = docs.select(*kept, scored(F.col(text_col).cast("string")).alias("score"))
+    out = in_small_batches(docs).select(*kept, scored(F.col(text_col).cast("string")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
