@@ -37,7 +37,7 @@ from pitchgrid.llm.storage import in_small_batches, materialised
 CHUNK = 32_768
 SPACE = "▁"
 LATIN = "A-Za-z\u00c0-\u024f"
-CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 400_000, 200_000, 32
+CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 120_000, 40_000, 32
 NONE = float("-inf")
 
 
