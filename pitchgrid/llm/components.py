@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from pitchgrid.llm.storage import checkpointed
 
+#: Edges in a partition of a round's checkpoint: rounds shrink, and so do their files in number.
+EDGES_PER_PART = 250_000
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -28,7 +31,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        joined = small.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+        edges = checkpointed(joined.coalesce(before[0] // EDGES_PER_PART + 1))
         after = _state(edges)
         if after == before:
             break
