@@ -539,8 +539,10 @@ def fixpoint_growth(spark, d):
 def align_windows(spark, d):
     from pitchgrid.operators.alignment import align
 
-    det = A.detections(spark, d).where("frame_idx < 400").select((F.floor(F.col("frame_idx") / 100)).alias("match"), (F.col("frame_idx") % 100).alias("frame_idx"), "bbox")
-    seg = A.segmentation(spark, d).where("frame_idx < 400").select((F.floor(F.col("frame_idx") / 100)).alias("match"), (F.col("frame_idx") % 100 * 2).alias("frame_idx"), "bbox")
+    # 100 orders stand for one video; each of its frames is shown twice
+    match = F.floor(F.col("frame_idx") / 100).alias("match")
+    det = A.detections(spark, d).select(match, (F.col("frame_idx") % 100).alias("frame_idx"), "bbox")
+    seg = A.segmentation(spark, d).select(match, (F.col("frame_idx") % 100 * 2).alias("frame_idx"), "bbox")
     return align(det, seg, ["match"])
 
 
