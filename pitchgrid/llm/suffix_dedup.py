@@ -170,7 +170,7 @@ def _small(df: DataFrame, limit: int) -> DataFrame:
 
 def _matched(rows: DataFrame, counts: DataFrame, last: bool, limit: int) -> DataFrame:
     """rows whose content occurs twice (dup) or whose anchor has different contents (mixed)."""
-    again = _small(materialised(counts.where("n > 1").select("h", "u", F.lit(True).alias("dup"))), limit)
+    again = counts.where("n > 1").select("h", "u", F.lit(True).alias("dup"))
     out = rows.join(again, ["h", "u"], "inner" if last else "left")
     if last:
         return out.withColumn("mixed", F.lit(False))
@@ -197,8 +197,8 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, anchors: tuple[int, .
             break
         # one unit of each content whose anchor has others
         one = matched.where("mixed").groupBy("h", "u").agg(F.min(F.struct("id", "c", "lo", "n")).alias("s")).select("s.*")
-        lists = materialised(one.groupBy("id", "c").agg(F.collect_list(F.struct("lo", "n")).alias("spans")))
-        marked = _with_lists(whole, lists, limit)
+        lists = one.groupBy("id", "c").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+        marked = _with_lists(whole, lists)
     all_found = found[0]
     for f in found[1:]:
         all_found = all_found.unionByName(f)
@@ -220,10 +220,8 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, anchors: tuple[int, .
     return spans.select("id", "c", merged("spans").alias("spans"))
 
 
-def _with_lists(texts: DataFrame, lists: DataFrame, limit: int) -> DataFrame:
-    """texts joined with one list of spans each; the lists are broadcast only if they hold few spans in all."""
-    if (lists.agg(F.sum(F.size("spans"))).first()[0] or 0) <= limit:
-        lists = F.broadcast(lists)
+def _with_lists(texts: DataFrame, lists: DataFrame) -> DataFrame:
+    """texts joined with one list of spans each."""
     same = texts["id"].eqNullSafe(lists["id"]) & (texts["c"] == lists["c"])
     return texts.join(lists, same).select(*[texts[c] for c in texts.columns], lists["spans"])
 
@@ -242,9 +240,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         keyed = keyed.withColumn("__pg_c", F.lit(0).cast("bigint"))
     anchors = tuple(round(a * window / WINDOW) for a in ANCHORS)
     narrow = keyed.select(F.col("__pg_id").alias("id"), F.col("__pg_c").alias("c"), F.col("__pg_text").alias("text"))
-    spans = materialised(repeated_spans(narrow, window, anchors, batches, limit))
-    if (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= limit:
-        spans = F.broadcast(spans)
+    spans = repeated_spans(narrow, window, anchors, batches, limit)
     same = F.col("__pg_id").eqNullSafe(F.col("__pg_i")) & (F.col("__pg_c") == F.col("__pg_j"))
     joined = keyed.join(spans.toDF("__pg_i", "__pg_j", "__pg_spans"), same, "left")
 
