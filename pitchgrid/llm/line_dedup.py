@@ -11,6 +11,11 @@ chunk found in a large part of all documents is one row per task after the parti
 never collected: they join a table with one row per chunk, broadcast only if counted to be small. Lines are hashed in Python
 by Arrow batches; the joins and groups are Spark's.
 
+``line_dedup`` sees a repeated passage only where a whole chunk lies in it. ``run_dedup`` sees them all: a line goes if it lies
+in a run of two lines or more and ``MIN_CHARS`` characters that is equal to a run at an earlier place. Every such run is a
+union of shortest ones, which are about one a line, so these take the place of the chunks (``shortest_runs``). A run that
+overlaps its own first occurrence stays. The text of a removed line is always left at an earlier place.
+
 Defined cases: null texts stay null and have no lines; the lines of an empty text are one empty line; rows equal in id and
 text count as one document and get equal results; rows with null ids sort last; an empty table gives an empty result;
 columns that share a name with a result are replaced.
@@ -18,7 +23,7 @@ columns that share a name with a result are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import md5
 
 import pyarrow as pa
@@ -33,6 +38,7 @@ WINDOW, DIVISOR, MIN_CHARS = 2, 3, 64
 PRIME, BASE = 2147483647, 31
 MAX_BROADCAST_ROWS = 1_000_000
 RESULTS = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
+RUN_RESULTS = ("n_lines", "n_removed_lines")
 #: Bytes of chunk text gathered before a batch goes back to Spark.
 BYTES_PER_BATCH = 16_000_000
 
@@ -57,8 +63,44 @@ def _chunks(text: str, window: int, divisor: int) -> list[tuple[int, list[bytes]
     return [(k, lines[a:b]) for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False))]
 
 
-def _chunk_rows(docs: DataFrame, window: int, divisor: int, min_chars: int, with_text: bool) -> DataFrame:
-    """(id, key, at, h[, chunk]) of each chunk of two lines or more that is long enough; docs has __pg_id, __pg_key, __pg_text."""
+def shortest_runs(lines: list[bytes], min_chars: int = MIN_CHARS) -> list[tuple[int, int]]:
+    """[a, b) of the shortest run of two lines or more and min_chars characters that starts, or ends, at each line, in order.
+
+    A longer run is the union of those within it: a line too near to its end for a run to start there is covered by the run
+    that ends at the line or, if too near to the start as well, by the one that starts the longer run. Equal runs hold
+    equal shortest runs, whatever lies around them.
+    """
+    ends = [0]
+    for x in lines:
+        ends.append(ends[-1] + len(x.decode("utf-8", "surrogatepass")) + 1)
+    out, b = set(), 2
+    for a in range(len(lines) - 1):
+        b = max(b, a + 2)
+        while b <= len(lines) and ends[b] - ends[a] - 1 < min_chars:
+            b += 1
+        if b > len(lines):
+            break
+        out.add((a, b))
+    a = 0
+    for b in range(2, len(lines) + 1):
+        while a + 2 < b and ends[b] - ends[a + 1] - 1 >= min_chars:
+            a += 1
+        if ends[b] - ends[a] - 1 >= min_chars:
+            out.add((a, b))
+    return sorted(out)
+
+
+def _runs(text: str, min_chars: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(place, lines) of every shortest run."""
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    return ((k, lines[a:b]) for k, (a, b) in enumerate(shortest_runs(lines, min_chars)))
+
+
+def _chunk_rows(docs: DataFrame, chunks_of: Callable, min_chars: int, with_text: bool) -> DataFrame:
+    """(id, key, at, h[, chunk]) of each chunk of two lines or more that is long enough; docs has __pg_id, __pg_key, __pg_text.
+
+    chunks_of gives the (place, lines) of a text's chunks.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,7 +115,7 @@ def _chunk_rows(docs: DataFrame, window: int, divisor: int, min_chars: int, with
                 return pa.RecordBatch.from_arrays(columns, names)
 
             for i, text in enumerate(batch.column(2).to_pylist()):
-                for k, lines in _chunks(text, window, divisor) if text is not None else ():
+                for k, lines in chunks_of(text) if text is not None else ():
                     if len(lines) < 2:
                         continue
                     chunk = b"\n".join(lines)
@@ -102,8 +144,8 @@ def _small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def _removed(hashes: DataFrame, texts: DataFrame, max_broadcast_rows: int) -> DataFrame:
-    """(id, key, ats) of the chunks to remove, by document; hashes and texts are _chunk_rows without and with the text."""
+def _repeats(hashes: DataFrame, texts: DataFrame, max_broadcast_rows: int) -> DataFrame:
+    """(id, key, at, first) of the chunks that are not their first occurrence; hashes and texts are _chunk_rows without and with the text."""
     hashes = materialised(hashes)
     repeated = materialised(hashes.groupBy("h").count().where("count > 1").select("h"))
     again = texts.join(_small(repeated, max_broadcast_rows), "h", "left_semi")
@@ -116,7 +158,19 @@ def _removed(hashes: DataFrame, texts: DataFrame, max_broadcast_rows: int) -> Da
     if not collided.isEmpty():  # different texts with one hash: their occurrences are told apart by their bytes
         exact = texts.join(collided, "h", "left_semi").join(groups.where("n > 1").drop("n"), ["h", "chunk"])
         gone = gone.unionByName(exact.select("h", "id", "key", "at", "first"))
-    return gone.where(~place.eqNullSafe(F.col("first"))).groupBy("id", "key").agg(F.collect_set("at").alias("ats"))
+    return gone.where(~place.eqNullSafe(F.col("first"))).select("id", "key", "at", "first")
+
+
+def _removed(hashes: DataFrame, texts: DataFrame, max_broadcast_rows: int) -> DataFrame:
+    """(id, key, ats) of the chunks to remove, by document."""
+    return _repeats(hashes, texts, max_broadcast_rows).groupBy("id", "key").agg(F.collect_set("at").alias("ats"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, results: tuple[str, ...]) -> tuple[list[str], DataFrame]:
+    """The columns of docs that stay, and docs with __pg_id, __pg_text, __pg_key."""
+    kept = [c for c in docs.columns if c not in results]
+    text = F.col(text_col).cast("string")
+    return kept, in_small_batches(docs).select(*kept, F.col(id_col).alias("__pg_id"), text.alias("__pg_text"), F.xxhash64(text).alias("__pg_key"))
 
 
 def line_dedup(
@@ -129,11 +183,9 @@ def line_dedup(
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """docs with text_col reduced to what stays, and n_lines, n_chunks, n_removed_chunks, n_removed_lines (of the input)."""
-    kept = [c for c in docs.columns if c not in RESULTS]
-    text = F.col(text_col).cast("string")
-    keyed = in_small_batches(docs).select(*kept, F.col(id_col).alias("__pg_id"), text.alias("__pg_text"), F.xxhash64(text).alias("__pg_key"))
+    kept, keyed = _keyed(docs, id_col, text_col, RESULTS)
     narrow = keyed.select("__pg_id", "__pg_text", "__pg_key")
-    rows = [_chunk_rows(narrow, window, divisor, min_chars, with_text) for with_text in (False, True)]
+    rows = [_chunk_rows(narrow, lambda text: _chunks(text, window, divisor), min_chars, with_text) for with_text in (False, True)]
     removed = _removed(*rows, max_broadcast_rows).toDF("__pg_i", "__pg_k", "__pg_ats")
     same = F.col("__pg_id").eqNullSafe(F.col("__pg_i")) & (F.col("__pg_key") == F.col("__pg_k"))
 
@@ -156,6 +208,41 @@ def line_dedup(
     return done.select(*[F.col("__pg_out.text").alias(c) if c == text_col else F.col(c) for c in kept], *[F.col(f"__pg_out.{c}") for c in RESULTS])
 
 
+def run_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_broadcast_rows: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """docs with text_col reduced to the lines that lie in no repeated run, and n_lines, n_removed_lines (of the input)."""
+    kept, keyed = _keyed(docs, id_col, text_col, RUN_RESULTS)
+    narrow = keyed.select("__pg_id", "__pg_text", "__pg_key")
+    rows = [_chunk_rows(narrow, lambda text: _runs(text, min_chars), min_chars, with_text) for with_text in (False, True)]
+    own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))
+    repeat = F.struct("at", F.when(own, F.col("first.at")).alias("first"))
+    removed = _repeats(*rows, max_broadcast_rows).groupBy("id", "key").agg(F.collect_set(repeat).alias("ats")).toDF("__pg_i", "__pg_k", "__pg_ats")
+    same = F.col("__pg_id").eqNullSafe(F.col("__pg_i")) & (F.col("__pg_key") == F.col("__pg_k"))
+
+    @F.arrow_udf("struct<text:string,n_lines:bigint,n_removed_lines:bigint>")
+    def staying(texts: pa.Array, removed: pa.Array) -> pa.Array:
+        out = []
+        for text, repeats in zip(texts.to_pylist(), removed.to_pylist(), strict=True):
+            if text is None:
+                out.append((None, 0, 0))
+                continue
+            lines, gone = text.encode("utf-8", "surrogatepass").split(b"\n"), set()
+            runs = shortest_runs(lines, min_chars) if repeats else []
+            for x in repeats or ():
+                a, b = runs[x["at"]]
+                if x["first"] is None or runs[x["first"]][1] <= a:
+                    gone.update(range(a, b))
+            if gone:
+                text = b"\n".join(x for i, x in enumerate(lines) if i not in gone).decode("utf-8", "surrogatepass")
+            out.append((text, len(lines), len(gone)))
+        columns = [pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 3, [pa.string(), pa.int64(), pa.int64()], strict=True)]
+        return pa.StructArray.from_arrays(columns, ["text", *RUN_RESULTS])
+
+    done = keyed.join(removed, same, "left").withColumn("__pg_out", staying("__pg_text", "__pg_ats"))
+    return done.select(*[F.col("__pg_out.text").alias(c) if c == text_col else F.col(c) for c in kept], *[F.col(f"__pg_out.{c}") for c in RUN_RESULTS])
+
+
 ORACLE_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i,
