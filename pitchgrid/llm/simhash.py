@@ -77,30 +77,36 @@ def links(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     return near.select("u", F.col("rep").alias("v"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row of docs.
-
-    component_id is the smallest doc_id reachable over links between fingerprints 3 or fewer bits apart.
-    """
-    prints = materialised(fingerprints(docs, id_col, text_col))
+def components_of(prints: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """prints(doc_id, fp) with component_id: the smallest doc_id reachable over equal fp, equal doc_id and linked(u, v) of nodes(fp, rep)."""
     with_id = prints.where("doc_id is not null")
-    nodes = materialised(with_id.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     shared = with_id.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b")
     one_id = (
         with_id.join(shared.select("doc_id"), "doc_id").join(nodes, "fp").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     )
-    parts = connected_components(links(nodes).unionAll(one_id))
+    parts = connected_components(linked.unionAll(one_id))
     found = nodes.join(parts, nodes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return prints.join(found, "fp", "left").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"),
-    )
+    return prints.join(found, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row of docs.
+
+    component_id is the smallest doc_id reachable over links between fingerprints 3 or fewer bits apart.
+    """
+    prints = materialised(fingerprints(docs, id_col, text_col))
+    nodes = materialised(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    found = components_of(prints, nodes, links(nodes))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """docs with one row of each component: the row of its smallest id, once; rows with a null id stay."""
-    classes = near_duplicates(docs, id_col, text_col)
+    return keep_smallest(docs, near_duplicates(docs, id_col, text_col), id_col, max_broadcast_rows)
+
+
+def keep_smallest(docs: DataFrame, classes: DataFrame, id_col: str, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """docs with the row of the smallest id of each component of classes(doc_id, component_id), once; rows with a null id stay."""
     gone = materialised(classes.where("component_id <> doc_id").select(F.col("doc_id").alias("__pg_gone")).distinct())
     if gone.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
         gone = F.broadcast(gone)
