@@ -20,7 +20,7 @@ from pitchgrid.operators.ranking import farthest_triplet, pair_distances, rarest
 
 # Distance to the own seed, and the margin to the others, of each growth stage
 THRESHOLDS = [(0.15, 0.25), (0.2, 0.3), (0.15, 0.25), (0.2, 0.3)]
-MIN_RELATIVE, MAX_ROUNDS = 0.85, 20
+MIN_RELATIVE = 0.85
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def grow(pool: DataFrame, seeds: list[DataFrame], components: int = 1, criterion
     taken = _checkpoint(taken)
     count = taken.count()
     for near, margin in thresholds:
-        for _ in range(MAX_ROUNDS):
+        while True:  # rows are only taken in, so their number ends the loop
             mixtures = [fit_mixture(taken.where(F.col("node") == k), "hist", components) for k in range(len(seeds))]
             rest = pool.join(taken.select("id"), "id", "left_anti")
             for k, m in enumerate(mixtures):
