@@ -115,5 +115,8 @@ def keep_smallest(docs: DataFrame, classes: DataFrame, id_col: str, max_broadcas
     if repeated.isEmpty():
         return kept
     repeated = materialised(repeated)
-    once = kept.join(repeated, F.col(id_col) == F.col("__pg_id"), "left_semi").dropDuplicates([id_col])
+    # of the rows of one id the least by their JSON, which any column type has
+    row = F.struct(*docs.columns)
+    once = kept.join(repeated, F.col(id_col) == F.col("__pg_id"), "left_semi").groupBy(F.col(id_col).alias("__pg_id")).agg(F.min_by(row, F.to_json(row)).alias("__pg_r"))
+    once = once.select("__pg_r.*")
     return kept.join(repeated, F.col(id_col) == F.col("__pg_id"), "left_anti").unionByName(once)

@@ -4,7 +4,7 @@ import pytest
 import corpus_pipeline as P
 from pitchgrid.llm import piece_codec
 from pitchgrid.llm.registry import piece_model
-from tests.llm import test_decontamination, test_line_dedup, test_simhash, test_suffix_repetition
+from tests.llm import test_decontamination, test_line_runs, test_near_copies, test_suffix_repetition
 
 DIR = "/root/testdata/sf0.001"
 
@@ -16,8 +16,9 @@ def brute(docs, items):
         n, _, _, _, repeats, covered, longest = test_suffix_repetition.brute(text)
         if n >= 50 and 100 * repeats <= 50 * n and covered <= 0.3 * n and longest <= 200:
             kept.append((d, text))
-    kept = [(d, t) for d, t, gone in test_line_dedup.brute(kept) if not gone or t.strip(" \t\n\x0b\x0c\r")]
-    kept = [(d, t) for (d, t), (_, _, root) in zip(sorted(kept), test_simhash.brute(kept), strict=True) if d == root]
+    kept = [(d, t) for d, (t, gone) in test_line_runs.brute(kept).items() if not gone or t.strip(" \t\n\x0b\x0c\r")]
+    first = test_near_copies.brute(kept)
+    kept = [(d, t) for d, t in kept if first[d] == d]
     leaks = {d for d, *_ in test_decontamination.brute(kept, items)}
     codec = piece_codec.codec(piece_model())
     return {d: np.frombuffer(codec.encode(t), np.int32).tolist() for d, t in kept if d not in leaks}
