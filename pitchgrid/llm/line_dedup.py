@@ -40,7 +40,7 @@ MAX_BROADCAST_ROWS = 1_000_000
 RESULTS = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
 RUN_RESULTS = ("n_lines", "n_removed_lines")
 #: Bytes of chunk text gathered before a batch goes back to Spark.
-BYTES_PER_BATCH = 16_000_000
+BYTES_PER_BATCH = 4_000_000
 
 
 def chunk_ends(lines: list[bytes], window: int = WINDOW, divisor: int = DIVISOR) -> list[int]:

@@ -8,9 +8,10 @@ minus infinity otherwise, and one path of weight 0 remains (merge ranks themselv
 Texts of up to ``CHUNK`` characters are encoded in one piece. A longer one is cut every ``CHUNK`` characters, at any place,
 even inside a piece. The state at a cut is the piece that reaches it: how many characters it has before and after the cut. A
 chunk is a transfer matrix from entry states to exit states; kept sparse, it is the set of (entry, exit) pairs of weight 0.
-Matrices combine associatively in the max-plus semiring (``combine``); a scan over one text's matrices gives the states at its
-cuts, and each chunk is then traced back on its own. All chunks of all texts are spread over the cluster; only matrices,
-never texts, meet by text.
+Matrices combine associatively in the max-plus semiring (``combine``). A scan in grouped rounds does so: upwards, ``FAN``
+neighbouring matrices of a text become one, until one is left of each text; downwards, the entry and exit state of a block
+give those of its members. No group holds more than ``FAN`` matrices, however long the text is, and the rounds grow with the
+logarithm of its length. Each chunk is then traced back on its own. Only matrices, never texts, meet by text.
 
 Within a chunk, no piece continues past a U+2581 that follows another character, so paths meet there: words are segmented
 once and kept in a bounded cache, and a matrix needs the ragged ends only. Texts without such places are handled, slower.
@@ -23,10 +24,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,21 +35,46 @@ from pyspark.sql import types as T
 from pitchgrid.llm.storage import in_small_batches, materialised
 
 CHUNK = 32_768
+#: Matrices combined in one group of a round.
+FAN = 8
 SPACE = "▁"
 LATIN = "A-Za-z\u00c0-\u024f"
 CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 120_000, 40_000, 32
 NONE = float("-inf")
 
 
-Matrix = set[tuple[int, int]]
+#: Weights by (entry, exit) state; what isn't there has weight minus infinity.
+Matrix = dict[tuple[int, int], float]
+MATRIX = T.ArrayType(T.StructType([T.StructField("entry", T.IntegerType()), T.StructField("leave", T.IntegerType()), T.StructField("weight", T.DoubleType())]))
 
 
 def combine(left: Matrix, right: Matrix) -> Matrix:
-    """Max-plus product of two transfer matrices given by their pairs of weight 0."""
-    after: dict[int, list[int]] = {}
-    for entry, leave in right:
-        after.setdefault(entry, []).append(leave)
-    return {(entry, leave) for entry, middle in left for leave in after.get(middle, ())}
+    """Max-plus product of two transfer matrices."""
+    after: dict[int, list[tuple[int, float]]] = {}
+    for (entry, leave), weight in right.items():
+        after.setdefault(entry, []).append((leave, weight))
+    out: Matrix = {}
+    for (entry, middle), first in left.items():
+        for leave, then in after.get(middle, ()):
+            out[entry, leave] = max(first + then, out.get((entry, leave), NONE))
+    return out
+
+
+def states(matrices: list[Matrix], entry: int = 0, leave: int = 0) -> list[tuple[int, int]]:
+    """(entry, exit) state of each of some neighbouring matrices on the best path between two states; of equal paths the one of least states."""
+    best, came = {entry: 0.0}, []
+    for m in matrices:
+        found: dict[int, tuple[float, int]] = {}
+        for (here, there), weight in sorted(m.items()):
+            if here in best and (there not in found or best[here] + weight > found[there][0]):
+                found[there] = (best[here] + weight, here)
+        came.append(found)
+        best = {there: weight for there, (weight, _) in found.items()}
+    out = []
+    for found in reversed(came):
+        out.append((found[leave][1], leave))
+        leave = found[leave][1]
+    return out[::-1]
 
 
 class Codec:
@@ -215,16 +240,16 @@ class Codec:
         meets = self._meets(s, front + self.reach, stop - 1)
         upto = meets[0] if meets else n
         ends = [] if meets is None else self._exits(self._path(s[meets[1] :], stop - meets[1]), meets[1], stop, n)
-        out: Matrix = set()
+        out: Matrix = {}
         for state in self.entries(s, front):
             before, at = self._entry(s, front, state)
             if before and not self._agree("", before):
                 continue
             last = self._path(s[at:upto], (upto if meets else stop) - at, before)
             if meets is None:
-                out |= {(state, x) for x in self._exits(last, at, stop, n)}
+                out |= {(state, x): 0.0 for x in self._exits(last, at, stop, n)}
             elif last[-1] >= 0:
-                out |= {(state, x) for x in ends}
+                out |= {(state, x): 0.0 for x in ends}
         return out
 
     def chunk_ids(self, s: str, front: int, stop: int, entry: int, leave: int) -> bytes:
@@ -240,24 +265,115 @@ class Codec:
         return self._ids_of(head) + self._marked(s[first:tail]) + self._ids_of(self._traced(rest, self._path(rest, stop - tail), end - tail))
 
 
+class Unigram:
+    """Transfer matrices of a Unigram model: a path weighs the sum of its pieces' scores; the best path wins.
+
+    States are those of ``Codec``. A piece counts in the chunk where it starts. A character without a piece of its own is one of
+    the score ``unknown``. Of equally good paths the one whose pieces start earliest is taken, piece by piece from the end.
+    """
+
+    def __init__(self, scores: dict[str, float], unknown: float) -> None:
+        self.scores, self.unknown, self.reach = scores, unknown, max(map(len, scores))
+
+    def _score(self, piece: str) -> float:
+        return self.scores.get(piece, self.unknown if len(piece) == 1 else NONE)
+
+    def _best(self, s: str, at: int, stop: int) -> dict[int, tuple[float, int]]:
+        """For every place that pieces from at on reach, starting below stop: the best weight and the start of its last piece."""
+        best = {at: (0.0, at)}
+        for i in range(at, stop):
+            if i in best:
+                for j in range(i + 1, min(i + self.reach, len(s)) + 1):
+                    weight = best[i][0] + self._score(s[i:j])
+                    if weight > max(NONE, best.get(j, (NONE, 0))[0]):
+                        best[j] = (weight, i)
+        return best
+
+    def entries(self, s: str, front: int) -> list[int]:
+        """States that the cut in front of a chunk can have."""
+        if not front:
+            return [0]
+        found = [(b, a) for b in range(1, min(self.reach, front) + 1) for a in range(min(self.reach - b, len(s) - front) + 1)]
+        return [b * self.reach + a for b, a in found if self._score(s[front - b : front + a]) > NONE]
+
+    def matrix(self, s: str, front: int, stop: int) -> Matrix:
+        """The chunk's transfer matrix; s, front and stop as for ``Codec``."""
+        out: Matrix = {}
+        for state in self.entries(s, front):
+            at = front + state % self.reach
+            best = self._best(s, at, stop)
+            if stop == len(s):
+                if stop in best:
+                    out[state, 0] = best[stop][0]
+                continue
+            for i in (x for x in best if x < stop):
+                for j in range(stop, min(i + self.reach, len(s)) + 1):
+                    if self._score(s[i:j]) > NONE:
+                        out[state, (stop - i) * self.reach + j - stop] = best[i][0] + self._score(s[i:j])
+        return out
+
+    def chunk_pieces(self, s: str, front: int, stop: int, entry: int, leave: int) -> list[str]:
+        """The pieces that start in the chunk, on the path between two states."""
+        at, out = front + entry % self.reach, []
+        best, end = self._best(s, at, stop), len(s)
+        if leave:
+            i = stop - leave // self.reach
+            out, end = [s[i : stop + leave % self.reach]], i
+        while end > at:
+            start = best[end][1]
+            out.append(s[start:end])
+            end = start
+        return out[::-1]
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     """The codec of a model file, once per Python process."""
     return Codec(path)
 
 
-def states(matrices: list[Matrix]) -> list[tuple[int, int]]:
-    """(entry, exit) state of each chunk of one text on its path of weight 0, from state 0 to state 0."""
-    reached: list[dict[int, int]] = []
-    here = {0}
-    for m in matrices:
-        reached.append({leave: entry for entry, leave in sorted(m) if entry in here})
-        here = set(reached[-1])
-    out, leave = [], 0
-    for r in reversed(reached):
-        out.append((r[leave], leave))
-        leave = r[leave]
-    return out[::-1]
+def _matrix(stored: list[dict]) -> Matrix:
+    return {(x["entry"], x["leave"]): x["weight"] for x in stored}
+
+
+def _stored(m: Matrix) -> list[dict]:
+    return [{"entry": e, "leave": x, "weight": w} for (e, x), w in sorted(m.items())]
+
+
+@F.arrow_udf(MATRIX)
+def _product(members: pa.Array) -> pa.Array:
+    """The product of each list of members (k, m)."""
+    return pa.array([_stored(reduce(combine, [_matrix(x["m"]) for x in row])) for row in members.to_pylist()], pa.list_(pa.struct([("entry", pa.int32()), ("leave", pa.int32()), ("weight", pa.float64())])))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("k", "entry", "leave")])))
+def _member_states(members: pa.Array, entry: pa.Array, leave: pa.Array) -> pa.Array:
+    """The states of each member (k, m) of a block between two states."""
+    out = []
+    for row, e, x in zip(members.to_pylist(), entry.to_pylist(), leave.to_pylist(), strict=True):
+        found = states([_matrix(y["m"]) for y in row], e, x)
+        out.append([{"k": y["k"], "entry": a, "leave": b} for y, (a, b) in zip(row, found, strict=True)])
+    return pa.array(out, pa.list_(pa.struct([("k", pa.int32()), ("entry", pa.int32()), ("leave", pa.int32())])))
+
+
+def scan(matrices: DataFrame, fan: int = FAN) -> DataFrame:
+    """(id, key, part, k, entry, leave): the states of matrices(id, key, part, k, m), from state 0 to state 0 of each (id, key, part)."""
+    of = ["id", "key", "part"]
+    blocks, top = [], matrices.agg(F.max("k")).first()[0] or 0
+    while True:
+        members = matrices.groupBy(*of, F.floor(F.col("k") / fan).cast("int").alias("k")).agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("members"))
+        blocks.append(materialised(members))
+        top //= fan
+        if not top:
+            break
+        matrices = blocks[-1].select(*of, "k", _product("members").alias("m"))
+    at = blocks[-1].withColumn("entry", F.lit(0)).withColumn("leave", F.lit(0))
+    for below in [*reversed(blocks[:-1]), None]:
+        at = at.select(*of, F.explode(_member_states("members", "entry", "leave")).alias("s")).select(*of, "s.*")
+        if below is not None:
+            same = below["id"].eqNullSafe(at["id"]) & (below["key"] == at["key"]) & (below["part"] == at["part"]) & (below["k"] == at["k"])
+            at = below.join(at, same).select(*[below[c] for c in [*of, "k", "members"]], at["entry"], at["leave"])
+    return at
 
 
 def _id_array(parts: list[bytes | None]) -> pa.ListArray:
@@ -298,21 +414,13 @@ def _encode_giants(giants: DataFrame, path: str, chunk: int) -> DataFrame:
     chunks = materialised(_chunk_table(giants.dropDuplicates(["id", "key"]), path, chunk))
     place = ["id", "key", "part", "k"]
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    @F.arrow_udf(MATRIX)
     def matrix(s: pa.Array, front: pa.Array, stop: pa.Array) -> pa.Array:
         c = codec(path)
         rows = zip(*(a.to_pylist() for a in (s, front, stop)), strict=True)
-        return pa.array([[x for pair in sorted(c.matrix(*row)) for x in pair] for row in rows], pa.list_(pa.int32()))
-
-    def scan(of: pd.DataFrame) -> pd.DataFrame:
-        of = of.sort_values("k")
-        found = states([set(map(tuple, np.asarray(m).reshape(-1, 2).tolist())) for m in of["m"]])
-        return of[place].assign(entry=[e for e, _ in found], leave=[x for _, x in found])
+        return pa.array([_stored(c.matrix(*row)) for row in rows], pa.list_(pa.struct([("entry", pa.int32()), ("leave", pa.int32()), ("weight", pa.float64())])))
 
-    kind = T.StructType([chunks.schema[c] for c in place] + [T.StructField("entry", T.IntegerType()), T.StructField("leave", T.IntegerType())])
-    # a group is one text's matrices, a few pairs for each chunk
-    matrices = chunks.select(*place, matrix("s", "front", "stop").alias("m"))
-    at = matrices.groupBy("id", "key", "part").applyInPandas(scan, kind)
+    at = scan(chunks.select(*place, matrix("s", "front", "stop").alias("m")))
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def trace(s: pa.Array, front: pa.Array, stop: pa.Array, entry: pa.Array, leave: pa.Array) -> pa.Array:

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: What a Python worker gets at a time.
-ARROW_ROWS, ARROW_BYTES = 1000, "8m"
+ARROW_ROWS, ARROW_BYTES = 1000, "2m"
 
 
 def shared_dir(spark: SparkSession) -> str:
