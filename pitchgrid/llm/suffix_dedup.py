@@ -1,40 +1,48 @@
 """Suffix-array dedup: removes bytes covered by a long string that also starts elsewhere, over a logarithmic index family.
 
 A window is ``WINDOW`` bytes. Its anchor is the k bytes inside it whose hash is least (leftmost among equals), so equal
-windows have equal anchors at equal offsets. Neighbouring windows with one anchor form a unit; units are the suffix
-samples of this index. A batch's units, grouped by (anchor hash, content hash), are its suffix array: sorted runs in which
-equal strings are neighbours. It is merge-scanned against the levels of the index. Levels of equal rank merge before the
-next batch, so n batches leave about log2(n) levels.
-
-Two units of equal content repeat each other's windows. Units of one anchor but different content may share some of their
-windows: one of each content is cut anew with longer anchors, and in the last round with anchors as long as the window,
-where a unit is a single window. Rounds get smaller by an order of magnitude; no pair of units is ever formed, so a string
-in a third of all texts costs one row per text. All counts combine in the map tasks first, and the hashes of two kinds
-together (128 bits) stand for a string.
+windows have equal anchors at equal offsets. The suffixes that start at anchors are the index's sample: neighbouring windows
+with one anchor form a unit, which is a row of the anchor's first 16 bytes (two big-endian integers, so that their order is
+the order of the bytes), its place, and a 128-bit BLAKE2b digest of the unit's bytes.
+
+First, the suffixes that can have a long match are found by an index family (``SuffixIndex``). Texts come in batches. A
+batch's suffix array holds its sampled suffixes in the order of their first 16 bytes, equal ones folded to a count. Levels of
+the rank that the batch has reached are merged with it, which scans them; it is merge-scanned (a sort-merge join) against the
+others. Each batch reports the beginnings that its arrival made repeated. n batches leave about log2(n) levels.
+
+Then only rows with a repeated beginning are compared. Two units of equal content repeat each other's windows. Units of one
+anchor but different content may share some of their windows: one of each content is cut anew with longer anchors, and in
+the last round with anchors as long as the window, where a unit is a single window. Rounds get smaller by an order of
+magnitude; no pair of units is ever formed, so a string in a third of all texts costs one row per text. All counts combine in
+the map tasks first and are written, so that adaptive execution can split hot keys of the rows that they join. Bytes are
+compared by their BLAKE2b digests: a wrong removal needs a collision of this cryptographic hash.
 
 Defined cases: a null text counts as empty and keeps no bytes; texts shorter than the window never match; a string that
-overlaps itself counts; rows equal in id and text are distinct texts that repeat each other; an empty table gives an empty
-result; extra columns are kept, those named like a result replaced.
+overlaps itself counts; rows equal in id and text repeat each other; rows of one id (null ids too) with different texts are
+told apart by the texts' XXH64; a very long text is cut in passes of ``WINDOWS_PER_PASS`` windows; an empty table gives an
+empty result; extra columns are kept, those named like a result replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchgrid.llm.storage import in_small_batches, materialised
+from pitchgrid.llm.storage import discard, in_small_batches, materialised
 
 WINDOW = 200
 #: Anchor lengths of the rounds; the last is the window.
-ANCHORS = (80, 180, WINDOW)
-BATCHES = 2
+ANCHORS = (64, 180, WINDOW)
+BATCHES = 4
+#: Bytes of a suffix by which the index orders it.
+PREFIX = 16
 #: Windows handled in one numpy pass; bounds the memory that a long text takes.
 WINDOWS_PER_PASS = 1 << 20
 ROWS_PER_BATCH = 200_000
@@ -80,42 +88,50 @@ def _least_places(h: np.ndarray, w: int) -> np.ndarray:
     return (np.minimum(behind[:n], ahead[w - 1 : w - 1 + n]) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
 
 
-def units(piece: bytes, k: int, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(h, u, lo, n) arrays of the units of a piece: anchor hash, content hash, first window, number of windows."""
+def units(piece: bytes, k: int, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(start, h, u, lo, n) arrays of the units of a piece: the anchor's first bytes in byte order and hash, two integers of
+    the digest, first window, number of windows."""
     windows = len(piece) - window + 1
     for at in range(0, max(windows, 0), WINDOWS_PER_PASS):
         part = piece[at : min(at + WINDOWS_PER_PASS, windows) + window - 1]
-        h = _anchor_hashes(np.frombuffer(part, np.uint8), k)
+        data = np.frombuffer(part, np.uint8)
+        h = _anchor_hashes(data, k)
         place = _least_places(h, window - k + 1) if k < window else np.arange(len(h))
         lo = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         n = np.diff(np.concatenate((lo, [len(place)])))
-        digest = xxhash.xxh3_64_digest
         spans = zip(lo.tolist(), (lo + n + window - 1).tolist(), strict=True)
-        u = np.frombuffer(b"".join([digest(part[a:b]) for a, b in spans]), ">i8").astype(np.int64)
-        yield h[place[lo]].view(np.int64), u, lo + at, n
+        u = np.frombuffer(b"".join([blake2b(part[a:b], digest_size=16).digest() for a, b in spans]), np.int64).reshape(-1, 2)
+        first = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, min(PREFIX, k))[place[lo]])
+        first = np.pad(first, ((0, 0), (0, PREFIX - first.shape[1])))
+        start = (first.view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+        yield start, h[place[lo]].view(np.int64), u, lo + at, n
+
+
+LONGS = ("s1", "s2", "h", "u1", "u2")
 
 
 def _unit_rows(texts: DataFrame, k: int, window: int) -> DataFrame:
-    """(h, u, id, c, lo, n) of the units of texts(id, c, text, spans); null spans: of the whole text."""
+    """(s1, s2, h, u1, u2, lo, n, id, x) of the units of texts(id, x, text, spans); null spans: of the whole text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[list[np.ndarray]] = [[], [], [], [], []]
+            held: list[list[np.ndarray]] = [[], [], [], [], [], []]
             waiting = 0
 
             def packed(batch=batch, held=held) -> pa.RecordBatch:
-                h, u, row, lo, n = (np.concatenate(x) for x in held)
+                start, h, u, row, lo, n = (np.concatenate(x) for x in held)
+                longs = [pa.array(np.ascontiguousarray(x)) for x in (start[:, 0], start[:, 1], h, u[:, 0], u[:, 1])]
                 of = pa.array(row)
-                columns = [pa.array(h), pa.array(u), batch.column(0).take(of), batch.column(1).take(of), pa.array(lo, pa.int32()), pa.array(n, pa.int32())]
-                return pa.RecordBatch.from_arrays(columns, ["h", "u", "id", "c", "lo", "n"])
+                columns = [*longs, pa.array(lo, pa.int32()), pa.array(n, pa.int32()), batch.column(0).take(of), batch.column(1).take(of)]
+                return pa.RecordBatch.from_arrays(columns, [*LONGS, "lo", "n", "id", "x"])
 
             for i in range(batch.num_rows):
                 text = (batch.column(2)[i].as_py() or "").encode("utf-8", "surrogatepass")
                 spans = batch.column(3)[i].as_py()
                 pieces = [(0, text)] if spans is None else [(s["lo"], text[s["lo"] : s["lo"] + s["n"] + window - 1]) for s in spans]
                 for base, piece in pieces:
-                    for h, u, lo, n in units(piece, k, window):
-                        for to, x in zip(held, (h, u, np.full(len(h), i), lo + base, n), strict=True):
+                    for start, h, u, lo, n in units(piece, k, window):
+                        for to, x in zip(held, (start, h, u, np.full(len(h), i), lo + base, n), strict=True):
                             to.append(x)
                         waiting += len(h)
                         if waiting >= ROWS_PER_BATCH:
@@ -126,123 +142,142 @@ def _unit_rows(texts: DataFrame, k: int, window: int) -> DataFrame:
             if waiting:
                 yield packed()
 
-    kind = T.StructType([T.StructField("h", T.LongType()), T.StructField("u", T.LongType()), texts.schema["id"], texts.schema["c"],
-                         T.StructField("lo", T.IntegerType()), T.StructField("n", T.IntegerType())])
-    return texts.select("id", "c", "text", "spans").mapInArrow(cut, kind)
+    fields = [*[T.StructField(c, T.LongType()) for c in LONGS], *[T.StructField(c, T.IntegerType()) for c in ("lo", "n")]]
+    return texts.select("id", "x", "text", "spans").mapInArrow(cut, T.StructType([*fields, texts.schema["id"], texts.schema["x"]]))
 
 
 class SuffixIndex:
-    """A logarithmic family of levels: tables (h, u, n) of distinct units and how often they occur."""
-
-    def __init__(self) -> None:
-        self.levels: list[tuple[int, DataFrame]] = []
-        self._latest: DataFrame | None = None
-
-    @staticmethod
-    def _counted(tables: list[DataFrame]) -> DataFrame:
-        out = tables[0]
-        for t in tables[1:]:
-            out = out.unionByName(t)
-        return out.groupBy("h", "u").agg(F.sum("n").alias("n"))
-
-    def _settle(self) -> None:
-        """Store the latest batch as a level of rank 0 and merge levels of equal rank."""
-        if self._latest is None:
-            return
-        tables, rank = [self._latest], 0
-        while self.levels and self.levels[-1][0] == rank:
-            tables.append(self.levels.pop()[1])
-            rank += 1
-        self.levels.append((rank, materialised(self._counted(tables).sortWithinPartitions("h", "u"))))
-        self._latest = None
+    """A logarithmic family of levels: suffix arrays (s1, s2, n) of how often a suffix with these first bytes occurs.
+
+    Kept between runs, ``levels`` takes later batches: each reports what it repeats of all that came before.
+    """
+
+    def __init__(self, levels: list[tuple[int, DataFrame]] | None = None) -> None:
+        self.levels = list(levels or [])
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Scan a batch's units (h, u) against itself and all levels: counts (h, u, n) over everything added so far."""
-        self._settle()
-        self._latest = batch.select("h", "u", F.lit(1).cast("bigint").alias("n"))
-        return self._counted([self._latest, *[t for _, t in self.levels]])
+        """Add a batch's suffixes (s1, s2): the beginnings (s1, s2) that occur twice now and did not before, and maybe others that occur twice."""
+        merging, rank = [], 0
+        while self.levels and self.levels[-1][0] == rank:
+            merging.append(self.levels.pop()[1])
+            rank += 1
+        one, stored = F.lit(1).cast("bigint"), F.col("n")
+        rows = [batch.select("s1", "s2", one.alias("n"), F.lit(0).cast("bigint").alias("had"))]
+        rows += [t.select("s1", "s2", stored, stored.alias("had")) for t in merging]
+        array = reduce(DataFrame.unionByName, rows).groupBy("s1", "s2").agg(F.sum("n").alias("n"), F.max("had").alias("had"))
+        array = materialised(array.sortWithinPartitions("s1", "s2"))
+        found = array.where("n > 1 and had <= 1").select("s1", "s2")
+        for _, level in self.levels:
+            met = array.join(level.select("s1", "s2", stored.alias("m")), ["s1", "s2"]).where("n = 1 or m = 1")
+            found = found.unionByName(met.select("s1", "s2"))
+        found = materialised(found)
+        self.levels.append((rank, array.select("s1", "s2", "n")))
+        discard(*merging)
+        return found
+
+    def drop(self) -> None:
+        """Delete the stored levels."""
+        discard(*[t for _, t in self.levels])
+        self.levels.clear()
 
 
 def _small(df: DataFrame, limit: int) -> DataFrame:
-    """df marked for broadcast if it is counted to have limit rows or fewer."""
+    """df marked for broadcast if it is counted to have limit rows or fewer; its rows are a few numbers."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def _matched(rows: DataFrame, counts: DataFrame, last: bool, limit: int) -> DataFrame:
+def _may_repeat(rows: DataFrame, batches: int, limit: int) -> DataFrame:
+    """Those of rows(s1, s2, .., id, x) whose first bytes occur twice or more, by the index family."""
+    index = SuffixIndex()
+    number = F.pmod(F.xxhash64("id", "x"), F.lit(batches))
+    found = [index.add(rows.where(number == b)) for b in range(batches)]
+    again = materialised(reduce(DataFrame.unionByName, found).distinct())
+    out = materialised(rows.join(_small(again, limit), ["s1", "s2"]).drop("s1", "s2"))
+    index.drop()
+    discard(rows, again, *found)
+    return out
+
+
+def _matched(rows: DataFrame, last: bool, limit: int) -> DataFrame:
     """rows whose content occurs twice (dup) or whose anchor has different contents (mixed)."""
-    again = counts.where("n > 1").select("h", "u", F.lit(True).alias("dup"))
-    out = rows.join(again, ["h", "u"], "inner" if last else "left")
+    unit = ["h", "u1", "u2"]
+    counts = rows.groupBy(*unit).agg(F.count("*").alias("c")).select(*unit, (F.col("c") > 1).alias("dup"))
     if last:
-        return out.withColumn("mixed", F.lit(False))
-    mixed = counts.groupBy("h").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a < b")
-    out = out.join(_small(materialised(mixed.select("h", F.lit(True).alias("mixed"))), limit), "h", "left")
-    return materialised(out.where("dup or mixed").withColumn("mixed", F.coalesce("mixed", F.lit(False))).withColumn("dup", F.coalesce("dup", F.lit(False))))
+        flags = counts.where("dup").withColumn("mixed", F.lit(False))
+    else:
+        counts = materialised(counts)
+        several = (F.min("u1") < F.max("u1")) | (F.min("u2") < F.max("u2"))
+        mixed = materialised(counts.groupBy("h").agg(several.alias("mixed")).where("mixed"))
+        flags = counts.join(_small(mixed, limit), "h", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))).where("dup or mixed")
+    return materialised(rows.join(_small(materialised(flags), limit), unit))
+
+
+def _only(texts: DataFrame, marked: DataFrame, limit: int, how: str = "left_semi") -> DataFrame | None:
+    """texts without (or with how=left_anti: only) those that are surely not in marked(id, x); None beyond limit rows of marked.
+
+    The hash of (id, x) decides, so what is broadcast is limit long integers at most.
+    """
+    of = F.xxhash64("id", "x").alias("y")
+    hashes = marked.select(of).distinct()
+    if hashes.limit(limit + 1).count() > limit:
+        return None
+    return texts.withColumn("y", of).join(F.broadcast(hashes), "y", how).drop("y")
 
 
 def repeated_spans(texts: DataFrame, window: int = WINDOW, anchors: tuple[int, ...] = ANCHORS, batches: int = BATCHES, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """(id, c, spans): merged byte spans (lo, n) of texts(id, c, text) to remove; texts without any are left out."""
+    """(id, x, spans): merged byte spans (lo, n) of texts(id, x, text) to remove; texts without any are left out."""
     if anchors[-1] != window:
         raise ValueError("the last anchor must be as long as the window")
     whole = texts.where(F.octet_length("text") >= window)
     marked, found = whole.withColumn("spans", F.lit(None).cast(SPANS)), []
     for step, k in enumerate(anchors):
-        rows = materialised(_unit_rows(marked, k, window))
-        index, last = SuffixIndex(), step == len(anchors) - 1
-        n = batches if step == 0 else 1
-        for b in range(n):
-            counts = index.add(rows.where(F.pmod(F.xxhash64("id", "c"), F.lit(n)) == b) if n > 1 else rows)
-        matched = _matched(rows, counts, last, limit)
-        found.append(matched.where("dup").select("id", "c", "lo", (F.col("n") + window - 1).alias("n")))
+        rows, last = materialised(_unit_rows(marked, k, window)), step == len(anchors) - 1
+        rows = _may_repeat(rows, batches, limit) if step == 0 else rows.drop("s1", "s2")
+        matched = _matched(rows, last, limit)
+        discard(rows)
+        found.append(matched.where("dup").select("id", "x", "lo", (F.col("n") + window - 1).alias("n")))
         if last:
             break
         # one unit of each content whose anchor has others
-        one = matched.where("mixed").groupBy("h", "u").agg(F.min(F.struct("id", "c", "lo", "n")).alias("s")).select("s.*")
-        lists = one.groupBy("id", "c").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-        marked = _with_lists(whole, lists)
-    all_found = found[0]
-    for f in found[1:]:
-        all_found = all_found.unionByName(f)
-
-    @F.arrow_udf(SPANS)
-    def merged(spans: pa.Array) -> pa.Array:
-        out = []
-        for s in spans.to_pylist():
-            runs: list[list[int]] = []
-            for lo, n in sorted((x["lo"], x["n"]) for x in s):
-                if runs and lo <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], lo + n)
-                else:
-                    runs.append([lo, lo + n])
-            out.append([{"lo": a, "n": b - a} for a, b in runs])
-        return pa.array(out, pa.list_(pa.struct([("lo", pa.int32()), ("n", pa.int32())])))
-
-    spans = all_found.groupBy("id", "c").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    return spans.select("id", "c", merged("spans").alias("spans"))
-
-
-def _with_lists(texts: DataFrame, lists: DataFrame) -> DataFrame:
-    """texts joined with one list of spans each."""
-    same = texts["id"].eqNullSafe(lists["id"]) & (texts["c"] == lists["c"])
-    return texts.join(lists, same).select(*[texts[c] for c in texts.columns], lists["spans"])
+        one = matched.where("mixed").groupBy("h", "u1", "u2").agg(F.min(F.struct("id", "x", "lo", "n")).alias("s")).select("s.*")
+        lists = materialised(one.groupBy("id", "x").agg(F.collect_list(F.struct("lo", "n")).alias("spans")))
+        some = _only(whole, lists, limit)
+        some = whole if some is None else some
+        same = F.col("id").eqNullSafe(F.col("__pg_i")) & (F.col("x") == F.col("__pg_x"))
+        marked = some.join(lists.toDF("__pg_i", "__pg_x", "spans"), same).select("id", "x", "text", "spans")
+    spans = reduce(DataFrame.unionByName, found).groupBy("id", "x").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    return materialised(spans.select("id", "x", _merged("spans").alias("spans")))
+
+
+@F.arrow_udf(SPANS)
+def _merged(spans: pa.Array) -> pa.Array:
+    """The union of each list of spans."""
+    out = []
+    for s in spans.to_pylist():
+        runs: list[list[int]] = []
+        for lo, n in sorted((x["lo"], x["n"]) for x in s):
+            if runs and lo <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], lo + n)
+            else:
+                runs.append([lo, lo + n])
+        out.append([{"lo": a, "n": b - a} for a, b in runs])
+    return pa.array(out, pa.list_(pa.struct([("lo", pa.int32()), ("n", pa.int32())])))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = BATCHES, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """docs with text_col replaced by ``kept`` (binary, the bytes that stay), and n_bytes, n_removed, n_spans."""
     kept = [c for c in docs.columns if c not in RESULTS]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = in_small_batches(docs).select(*kept, F.col(id_col).alias("__pg_id"), text.alias("__pg_text"))
-    ids = keyed.groupBy("__pg_id").count().where("count > 1").limit(1).count()
-    # rows are told apart by id; where ids repeat, also by their place among the rows of that id and text
-    if ids:
-        order = F.row_number().over(Window.partitionBy("__pg_id").orderBy("__pg_text"))
-        keyed = materialised(keyed.withColumn("__pg_c", order.cast("bigint")))
-    else:
-        keyed = keyed.withColumn("__pg_c", F.lit(0).cast("bigint"))
+    keyed = in_small_batches(docs).select(*[F.col(c).alias(f"__pg_c_{c}") for c in kept if c != text_col], F.col(id_col).alias("id"), text.alias("text"))
+    keyed = keyed.withColumn("x", F.xxhash64("text"))
     anchors = tuple(round(a * window / WINDOW) for a in ANCHORS)
-    narrow = keyed.select(F.col("__pg_id").alias("id"), F.col("__pg_c").alias("c"), F.col("__pg_text").alias("text"))
-    spans = repeated_spans(narrow, window, anchors, batches, limit)
-    same = F.col("__pg_id").eqNullSafe(F.col("__pg_i")) & (F.col("__pg_c") == F.col("__pg_j"))
-    joined = keyed.join(spans.toDF("__pg_i", "__pg_j", "__pg_spans"), same, "left")
+    spans = repeated_spans(keyed.select("id", "x", "text"), window, anchors, batches, limit)
+    some, others = _only(keyed, spans, limit), _only(keyed, spans, limit, "left_anti")
+    some = keyed if some is None else some
+    found = spans.toDF("__pg_i", "__pg_x", "spans")
+    joined = some.join(found, F.col("id").eqNullSafe(F.col("__pg_i")) & (F.col("x") == F.col("__pg_x")), "left").drop("__pg_i", "__pg_x")
+    if others is not None:
+        joined = joined.unionByName(others.withColumn("spans", F.lit(None).cast(SPANS)))
 
     @F.arrow_udf("struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary>")
     def stay(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -257,8 +292,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 to.append(x)
         return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(out, [*[pa.int64()] * 3, pa.binary()], strict=True)], list(RESULTS))
 
-    done = joined.withColumn("__pg_out", stay("__pg_text", "__pg_spans"))
-    return done.select(*[c for c in kept if c != text_col], *[F.col(f"__pg_out.{c}") for c in RESULTS])
+    done = joined.withColumn("__pg_out", stay("text", "spans"))
+    return done.select(*[F.col(f"__pg_c_{c}").alias(c) for c in kept if c != text_col], *[F.col(f"__pg_out.{c}") for c in RESULTS])
 
 
 def dedup_digests(deduped: DataFrame, id_col: str = "doc_id") -> DataFrame:

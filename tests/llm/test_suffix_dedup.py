@@ -62,13 +62,43 @@ def test_driver_documents(spark):
     assert got == sorted((str(r.doc_id), *x) for r, x in zip(rows, want, strict=True))
 
 
-def test_levels_merge_geometrically(spark):
-    index, batch = S.SuffixIndex(), spark.createDataFrame([(1, 2), (1, 3)], "h long, u long")
-    for n in range(1, 6):
-        counts = index.add(batch)
-        assert {tuple(r) for r in counts.collect()} == {(1, 2, n), (1, 3, n)}
-    index._settle()
-    assert [rank for rank, _ in index.levels] == [2, 0]
+def test_levels_merge_geometrically_and_report_what_a_batch_repeats(spark):
+    rng, index, seen, ranks = random.Random(6), S.SuffixIndex(), {}, []
+    for _ in range(7):
+        batch = [(rng.randrange(9), rng.randrange(9)) for _ in range(12)] + [(100, -1)]
+        got = {tuple(r) for r in index.add(spark.createDataFrame(batch, "s1 long, s2 long")).collect()}
+        once = {k for k, n in seen.items() if n == 1} | (set(batch) - seen.keys())
+        for k in batch:
+            seen[k] = seen.get(k, 0) + 1
+        assert {k for k in once if seen[k] > 1} <= got <= {k for k in seen if seen[k] > 1}
+        ranks.append([rank for rank, _ in index.levels])
+    assert ranks == [[0], [1], [1, 0], [2], [2, 0], [2, 1], [2, 1, 0]]
+    stored = {}
+    for _, level in index.levels:
+        rows = [tuple(r) for r in level.collect()]
+        for x, y, n in rows:
+            stored[x, y] = stored.get((x, y), 0) + n
+    assert stored == seen
+
+
+def test_a_stored_index_takes_a_later_batch(spark):
+    def suffixes(*texts):
+        rows = spark.createDataFrame([(i, 0, t, None) for i, t in enumerate(texts)], S.T.StructType().add("id", "long").add("x", "long").add("text", "string").add("spans", S.SPANS))
+        return S._unit_rows(rows, 64, WINDOW)
+
+    first = S.SuffixIndex()
+    assert first.add(suffixes(LONG)).count() == 0
+    later = S.SuffixIndex(first.levels)
+    assert later.add(suffixes("other " * 40 + LONG[200:600])).count() > 0
+    assert [rank for rank, _ in later.levels] == [1]
+    assert later.add(suffixes("".join(RNG.choice("ghijkl") for _ in range(500)))).count() == 0
+
+
+def test_levels_are_in_the_order_of_the_suffixes_bytes(spark):
+    text = LONG.encode()
+    for start, _, _, lo, _ in S.units(text, S.WINDOW):
+        at = sorted(range(len(lo)), key=lambda i: text[lo[i] : lo[i] + S.PREFIX])
+        assert sorted(map(tuple, start.tolist())) == [tuple(start[i].tolist()) for i in at]
 
 
 def test_long_text_is_handled_in_passes(monkeypatch):
@@ -78,4 +108,4 @@ def test_long_text_is_handled_in_passes(monkeypatch):
     S._powers.cache_clear()
     parts = [np.concatenate(x) for x in zip(*S.units(text, 80), strict=True)]
     S._powers.cache_clear()
-    assert whole[3].sum() == parts[3].sum() == len(text) - S.WINDOW + 1
+    assert whole[4].sum() == parts[4].sum() == len(text) - S.WINDOW + 1
