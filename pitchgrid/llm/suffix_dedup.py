@@ -88,9 +88,17 @@ def _least_places(h: np.ndarray, w: int) -> np.ndarray:
     return (np.minimum(behind[:n], ahead[w - 1 : w - 1 + n]) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
 
 
-def units(piece: bytes, k: int, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(start, h, u, lo, n) arrays of the units of a piece: the anchor's first bytes in byte order and hash, two integers of
-    the digest, first window, number of windows."""
+def _starts(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The first n bytes, PREFIX at most, at each place, as pairs of integers in the order of the bytes."""
+    first = np.zeros((len(at), PREFIX), np.uint8)
+    for i in range(min(n, PREFIX)):
+        first[:, i] = data[at + i]
+    return (first.view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def units(piece: bytes, k: int, window: int = WINDOW, starts: bool = True) -> Iterator[tuple[np.ndarray | None, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(start, h, u, lo, n) arrays of the units of a piece: the anchor's first bytes in byte order (None without starts) and
+    hash, two integers of the digest, first window, number of windows."""
     windows = len(piece) - window + 1
     for at in range(0, max(windows, 0), WINDOWS_PER_PASS):
         part = piece[at : min(at + WINDOWS_PER_PASS, windows) + window - 1]
@@ -101,36 +109,33 @@ def units(piece: bytes, k: int, window: int = WINDOW) -> Iterator[tuple[np.ndarr
         n = np.diff(np.concatenate((lo, [len(place)])))
         spans = zip(lo.tolist(), (lo + n + window - 1).tolist(), strict=True)
         u = np.frombuffer(b"".join([blake2b(part[a:b], digest_size=16).digest() for a, b in spans]), np.int64).reshape(-1, 2)
-        first = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, min(PREFIX, k))[place[lo]])
-        first = np.pad(first, ((0, 0), (0, PREFIX - first.shape[1])))
-        start = (first.view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
-        yield start, h[place[lo]].view(np.int64), u, lo + at, n
-
-
-LONGS = ("s1", "s2", "h", "u1", "u2")
+        yield _starts(data, place[lo], k) if starts else None, h[place[lo]].view(np.int64), u, lo + at, n
 
 
-def _unit_rows(texts: DataFrame, k: int, window: int) -> DataFrame:
-    """(s1, s2, h, u1, u2, lo, n, id, x) of the units of texts(id, x, text, spans); null spans: of the whole text."""
+def _unit_rows(texts: DataFrame, k: int, window: int, starts: bool = True) -> DataFrame:
+    """(s1, s2, h, u1, u2, lo, n, id, x) of the units of texts(id, x, text, spans), without s1 and s2 if not starts; null spans: of the whole text."""
+    names = [*["s1", "s2"] * starts, "h", "u1", "u2"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            held: list[list] = [[], [], [], [], [], []]
             waiting = 0
 
             def packed(batch=batch, held=held) -> pa.RecordBatch:
-                start, h, u, row, lo, n = (np.concatenate(x) for x in held)
-                longs = [pa.array(np.ascontiguousarray(x)) for x in (start[:, 0], start[:, 1], h, u[:, 0], u[:, 1])]
+                h, u, row, lo, n = (np.concatenate(x) for x in held[1:])
+                pairs = [np.concatenate(held[0]), u] if starts else [u]
+                columns = [pa.array(np.ascontiguousarray(x[:, i])) for x in pairs for i in (0, 1)]
+                longs = [*columns[:-2], pa.array(h), *columns[-2:]]
                 of = pa.array(row)
                 columns = [*longs, pa.array(lo, pa.int32()), pa.array(n, pa.int32()), batch.column(0).take(of), batch.column(1).take(of)]
-                return pa.RecordBatch.from_arrays(columns, [*LONGS, "lo", "n", "id", "x"])
+                return pa.RecordBatch.from_arrays(columns, [*names, "lo", "n", "id", "x"])
 
             for i in range(batch.num_rows):
                 text = (batch.column(2)[i].as_py() or "").encode("utf-8", "surrogatepass")
                 spans = batch.column(3)[i].as_py()
                 pieces = [(0, text)] if spans is None else [(s["lo"], text[s["lo"] : s["lo"] + s["n"] + window - 1]) for s in spans]
                 for base, piece in pieces:
-                    for start, h, u, lo, n in units(piece, k, window):
+                    for start, h, u, lo, n in units(piece, k, window, starts):
                         for to, x in zip(held, (start, h, u, np.full(len(h), i), lo + base, n), strict=True):
                             to.append(x)
                         waiting += len(h)
@@ -142,7 +147,7 @@ def _unit_rows(texts: DataFrame, k: int, window: int) -> DataFrame:
             if waiting:
                 yield packed()
 
-    fields = [*[T.StructField(c, T.LongType()) for c in LONGS], *[T.StructField(c, T.IntegerType()) for c in ("lo", "n")]]
+    fields = [*[T.StructField(c, T.LongType()) for c in names], *[T.StructField(c, T.IntegerType()) for c in ("lo", "n")]]
     return texts.select("id", "x", "text", "spans").mapInArrow(cut, T.StructType([*fields, texts.schema["id"], texts.schema["x"]]))
 
 
@@ -186,13 +191,13 @@ def _small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def _may_repeat(rows: DataFrame, batches: int, limit: int) -> DataFrame:
+def _may_repeat(rows: DataFrame, batches: int) -> DataFrame:
     """Those of rows(s1, s2, .., id, x) whose first bytes occur twice or more, by the index family."""
     index = SuffixIndex()
     number = F.pmod(F.xxhash64("id", "x"), F.lit(batches))
     found = [index.add(rows.where(number == b)) for b in range(batches)]
     again = materialised(reduce(DataFrame.unionByName, found).distinct())
-    out = materialised(rows.join(_small(again, limit), ["s1", "s2"]).drop("s1", "s2"))
+    out = materialised(rows.join(again, ["s1", "s2"]).drop("s1", "s2"))
     index.drop()
     discard(rows, again, *found)
     return out
@@ -209,7 +214,7 @@ def _matched(rows: DataFrame, last: bool, limit: int) -> DataFrame:
         several = (F.min("u1") < F.max("u1")) | (F.min("u2") < F.max("u2"))
         mixed = materialised(counts.groupBy("h").agg(several.alias("mixed")).where("mixed"))
         flags = counts.join(_small(mixed, limit), "h", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False))).where("dup or mixed")
-    return materialised(rows.join(_small(materialised(flags), limit), unit))
+    return materialised(rows.join(materialised(flags), unit))
 
 
 def _only(texts: DataFrame, marked: DataFrame, limit: int, how: str = "left_semi") -> DataFrame | None:
@@ -231,8 +236,8 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, anchors: tuple[int, .
     whole = texts.where(F.octet_length("text") >= window)
     marked, found = whole.withColumn("spans", F.lit(None).cast(SPANS)), []
     for step, k in enumerate(anchors):
-        rows, last = materialised(_unit_rows(marked, k, window)), step == len(anchors) - 1
-        rows = _may_repeat(rows, batches, limit) if step == 0 else rows.drop("s1", "s2")
+        rows, last = materialised(_unit_rows(marked, k, window, starts=step == 0)), step == len(anchors) - 1
+        rows = _may_repeat(rows, batches) if step == 0 else rows
         matched = _matched(rows, last, limit)
         discard(rows)
         found.append(matched.where("dup").select("id", "x", "lo", (F.col("n") + window - 1).alias("n")))
