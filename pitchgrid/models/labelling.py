@@ -6,9 +6,6 @@ is cut by a reliable checkpoint per round, and the loop ends when no more rows a
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,20 +14,13 @@ from pitchgrid.models import classifier
 from pitchgrid.models.clustering import Mixture, fit_mixture, kmeans, log_likelihood
 from pitchgrid.operators.aggregation import class_medians
 from pitchgrid.operators.ranking import farthest_triplet, pair_distances, rarest_class_first
+from pitchgrid.sources.shared import checkpointed
 
 # Distance to the own seed, and the margin to the others, of each growth stage
 THRESHOLDS = [(0.15, 0.25), (0.2, 0.3), (0.15, 0.25), (0.2, 0.3)]
 MIN_RELATIVE = 0.85
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "pitchgrid-checkpoint")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def _relative(rows: DataFrame, score: str) -> DataFrame:
     """rows with rel: score relative to the table's best, at most 1; for a best that isn't positive the ratio is inverted."""
     best = rows.agg(F.max(score)).first()[0]
@@ -56,7 +46,7 @@ def grow(pool: DataFrame, seeds: list[DataFrame], components: int = 1, criterion
     taken = seeds[0].withColumn("node", F.lit(0))
     for k, s in enumerate(seeds[1:], 1):
         taken = taken.unionByName(s.withColumn("node", F.lit(k)))
-    taken = _checkpoint(taken)
+    taken = checkpointed(taken)
     count = taken.count()
     for near, margin in thresholds:
         while True:  # rows are only taken in, so their number ends the loop
@@ -70,7 +60,7 @@ def grow(pool: DataFrame, seeds: list[DataFrame], components: int = 1, criterion
             ordered = F.array_sort(distances)
             ok = (F.greatest(*[F.col(f"rel{k}") for k in range(len(seeds))]) >= MIN_RELATIVE) & (ordered[0] < near) & (ordered[0] < ordered[1] - margin)
             new = rest.where(ok).select("id", "hist", (F.array_position(distances, F.array_min(distances)) - 1).cast("int").alias("node"))
-            taken = _checkpoint(taken.unionByName(new))
+            taken = checkpointed(taken.unionByName(new))
             before, count = count, taken.count()
             if count == before:
                 break
@@ -85,7 +75,7 @@ def label_players(
 
     min_probability is the gate of a regression on approximate kernel features, so it is lower than a kernel machine's.
     """
-    found = _checkpoint(kmeans(rows.select("id", "hist"), "hist", clusters, root=True))
+    found = checkpointed(kmeans(rows.select("id", "hist"), "hist", clusters, root=True))
     large = [r[0] for r in found.groupBy("cluster").count().where(F.col("count") > min_cluster).orderBy("cluster").collect()]  # at most clusters rows
     if len(large) < 3:
         raise ValueError(f"only {len(large)} clusters have more than {min_cluster} members; three are needed")
@@ -99,7 +89,7 @@ def label_players(
     model = classifier.fit(grown, "hist", "node", classifier.fourier_features(dimension, gamma))
     guessed = classifier.classify(model, rows.select("id", "hist"), "hist")
     guessed = guessed.withColumn("old", (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("int"))
-    guessed = _checkpoint(guessed.select("id", "hist", "old", F.array_max("probabilities").alias("probability")))
+    guessed = checkpointed(guessed.select("id", "hist", "old", F.array_max("probabilities").alias("probability")))
     renamed = guessed.join(F.broadcast(rarest_class_first(guessed)), "old")  # three classes
     return renamed.where(F.col("probability") >= min_probability).select("id", "hist", "category", "probability")
 

@@ -6,6 +6,9 @@ of a half are a few per frame: the group is bounded by the video's length.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import islice
 from math import ceil
 
 import numpy as np
@@ -32,33 +35,45 @@ def mean_best_overlap(a: np.ndarray, b: np.ndarray) -> float:
     return float(m.max(axis=1).mean() if len(a) <= len(b) else m.max(axis=0).mean())
 
 
-def search(detected: list[np.ndarray], video: list[np.ndarray]) -> list[tuple[int, float]]:
-    """(video frame, mean overlap) for each detection frame; frame -1 if none could be tested."""
-    if not detected:
-        return []
-    n, step = len(video), int(2 * len(video) / len(detected))
-    low, high, out = 0, min(step, n), []
-    for boxes in detected:
-        if not len(boxes):
-            out.append((low + step // 2, NO_DETECTIONS))
-            high = min(low + 10 * step, n)
-            continue
-        best, at, tested = -np.inf, -1, set()
-        for _ in range(MAX_WIDENINGS):
-            fresh = [i for i in range(low, high) if i not in tested]
-            if not fresh:
-                break
-            scores = [mean_best_overlap(boxes, video[i]) for i in fresh]
-            k = int(np.argmax(scores))
-            if scores[k] > best:
-                best, at = scores[k], fresh[k]
+@dataclass
+class Search:
+    """A window [low, high) over n video frames that follows the detections; it grows by half a step a side at a time."""
+
+    n: int
+    step: int
+    low: int
+    high: int
+
+    def rings(self) -> Iterator[list[int]]:
+        """Frames in the window, then those that each widening opens at its two sides; ends where none are opened."""
+        opened = list(range(self.low, self.high))
+        while opened:
+            yield opened
+            left, right = max(self.low - self.step // 2, 0), min(self.high + self.step // 2, self.n)
+            opened = [*range(left, self.low), *range(self.high, right)]
+            self.low, self.high = left, right
+
+    def advance(self, score: Callable[[int], float]) -> tuple[int, float]:
+        """The first ring's best frame that is good enough, or else the best of all rings; the window moves past it."""
+        frame, best = -1, -np.inf
+        for ring in islice(self.rings(), MAX_WIDENINGS):
+            frame, best = max([(frame, best), *((i, score(i)) for i in ring)], key=lambda x: x[1])
             if best >= GOOD_ENOUGH:
                 break
-            tested.update(fresh)
-            low, high = max(low - step // 2, 0), min(high + step // 2, n)
-        out.append((at, float(best)))
-        low, high = max(at + step // 4, 0), min(at + ceil(4 * step / 5), n)
-    return out
+        self.low, self.high = max(frame + self.step // 4, 0), min(frame + ceil(4 * self.step / 5), self.n)
+        return frame, best
+
+    def skip(self) -> tuple[int, float]:
+        """The answer for a frame without detections; the window reaches further for the next."""
+        self.high = min(self.low + 10 * self.step, self.n)
+        return self.low + self.step // 2, NO_DETECTIONS
+
+
+def search(detected: list[np.ndarray], video: list[np.ndarray]) -> list[tuple[int, float]]:
+    """(video frame, mean overlap) for each detection frame; frame -1 if none could be tested."""
+    step = 2 * len(video) // max(len(detected), 1)
+    window = Search(len(video), step, 0, min(step, len(video)))
+    return [window.advance(lambda i, boxes=boxes: mean_best_overlap(boxes, video[i])) if len(boxes) else window.skip() for boxes in detected]
 
 
 def _frames(rows: pd.DataFrame, n: int) -> list[np.ndarray]:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitchgrid.functions.vectors import bhattacharyya, triangle_area
+from pitchgrid.sources.shared import checkpointed
 
 
 def flow_index(k: Column, n_flow: Column, n_frames: Column) -> Column:
@@ -41,9 +42,10 @@ def number_within(rows: DataFrame, by: list[str], order: list[str], digits: int
 def contiguous_parts(rows: DataFrame, order: str, parts: int) -> DataFrame:
     """rows with part 1..parts, contiguous in order. Sizes differ by one at most.
 
-    Ranges of the order column are counted first, so no task sees more than its own range.
+    Ranges of the order column are counted first, so no task sees more than its own range. Their bounds are sampled anew each
+    time that they are drawn, so the table is written once with the number of each row's range.
     """
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
+    ranged = checkpointed(rows.repartitionByRange(order).withColumn("__p", F.spark_partition_id()))
     ranged = ranged.withColumn("__i", F.row_number().over(W.partitionBy("__p").orderBy(order)))
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")

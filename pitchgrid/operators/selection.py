@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,8 +69,10 @@ def class_filter_with_fallback(members: DataFrame, medians: DataFrame, keepers:
 
 def share_of_max(rows: DataFrame, by: list[str], score: str) -> DataFrame:
     """rows with share: score over the largest score of its class; null where that is not positive."""
-    most = F.max(score).over(W.partitionBy(*by))
-    return rows.withColumn("share", F.when(most > 0, F.col(score) / most))
+    most = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.max(score).alias("__most"))  # one row a class
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    share = F.when(F.col("__most") > 0, F.col(score) / F.col("__most"))
+    return rows.join(most, same).withColumn("share", share).drop("__most", *[f"__{c}" for c in by])
 
 
 def min_max(rows: DataFrame, value: str, out: str = "scaled") -> DataFrame:

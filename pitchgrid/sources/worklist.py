@@ -23,8 +23,8 @@ def frame_path(match: Column, half: Column, frame: Column) -> Column:
     return F.concat(match, F.lit("/"), half.cast("string"), F.lit("_HQ/frames/"), F.lpad((frame + 1).cast("string"), 5, "0"), F.lit(".jpg"))
 
 
-# Stage and its output's file in a match's folder
-OUTPUTS = {"velocity": "velocity_results", "labels": "player_labeling", "classification": "team_classification_results", "join": "player_velocity_team_results"}
+#: Each stage and its output's file in a match's folder.
+OUTPUTS = {"velocity": "velocity", "labels": "labels", "classification": "classification", "join": "results"}
 
 
 def output_path(match: Column, stage: str) -> Column:

@@ -66,6 +66,52 @@ def test_split_sizes_round_half_to_even(spark, n, want):
     assert ranking.stratified_split(rows, "category", "id", 0.1).where("split = 'valid'").count() == want
 
 
+def test_contiguous_parts_without_exchange_reuse(spark):
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = ranking.contiguous_parts(spark.range(50_000).selectExpr("id * 7919 % 50000 as id").repartition(16), "id", 5).orderBy("id").collect()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+    assert [r.part for r in got] == [1 + i // 10_000 for i in range(50_000)]
+
+
+def test_search_equals_a_search_of_all_windows():
+    rng = np.random.default_rng(9)
+
+    def brute(detected, video):
+        n, step, out = len(video), int(2 * len(video) / len(detected)), []
+        low, high = 0, min(step, n)
+        for boxes in detected:
+            if not len(boxes):
+                out.append((low + step // 2, alignment.NO_DETECTIONS))
+                high = min(low + 10 * step, n)
+                continue
+            seen = []
+            for k in range(alignment.MAX_WIDENINGS):
+                a, b = max(low - k * (step // 2), 0), min(high + k * (step // 2), n)
+                if b - a <= len(seen) or low >= high:
+                    break
+                scores = {i: alignment.mean_best_overlap(boxes, video[i]) for i in range(a, b)}
+                seen += [i for i in range(a, b) if i not in seen]
+                if max(scores.values()) >= alignment.GOOD_ENOUGH:
+                    break
+            best = max((alignment.mean_best_overlap(boxes, video[i]) for i in seen), default=-np.inf)
+            at = next((i for i in seen if alignment.mean_best_overlap(boxes, video[i]) == best), -1)
+            out.append((at, best))
+            low, high = max(at + step // 4, 0), min(at + -(-4 * step // 5), n)
+        return out
+
+    def boxes(n):
+        corner = rng.integers(0, 40, (n, 2))
+        return np.hstack([corner, corner + rng.integers(5, 30, (n, 2))]).astype(float)
+
+    for _ in range(30):
+        video = [boxes(rng.integers(0, 4)) for _ in range(rng.integers(1, 60))]
+        detected = [boxes(rng.integers(0, 4)) if rng.random() < 0.5 else video[rng.integers(len(video))] for _ in range(rng.integers(1, 30))]
+        assert alignment.search(detected, video) == brute(detected, video)
+
+
 def test_contiguous_parts(spark):
     got = ranking.contiguous_parts(spark.range(23), "id", 4).orderBy("id").collect()
     assert [r.part for r in got] == [1] * 6 + [2] * 6 + [3] * 6 + [4] * 5

@@ -50,7 +50,7 @@ def test_worklist_and_resume(spark, tmp_path):
     p = write(tmp_path / "w.txt", "a/b \nc/d\n\n")
     work = worklist.read_worklist(spark, p)
     assert [r.path for r in worklist.pending(work, spark.createDataFrame([("c/d",)], "path string"), ["path"]).collect()] == ["a/b"]
-    assert spark.range(1).select(worklist.output_path(F.lit("m"), "join")).first()[0] == "m/player_velocity_team_results"
+    assert spark.range(1).select(worklist.output_path(F.lit("m"), "join")).first()[0] == "m/results"
 
 
 def test_stage_writes_replace_their_partitions_alone(spark, tmp_path):
