@@ -11,7 +11,8 @@ worker holds one conversation at a time. Rendering every prefix costs time in pr
 conversation's length, which any black-box template implies.
 
 Defined cases: rows go by turn, null turns first, ties by role, then text, repeated rows kept; null roles and texts are
-empty; rows with a null conv_id form one conversation; an empty table gives no rows; extra columns are ignored.
+empty; a row with a null conv_id is a conversation of its own; very long texts are rendered whole; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -103,12 +104,12 @@ def render_incrementally(template, turns: list[Turn], loss_roles: tuple[str, ...
 
 
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[Turn]]]:
-    """(conv_id, turns) of rows sorted by conversation."""
+    """(conv_id, turns) of rows sorted by conversation; each row with a null conv_id is a conversation of its own."""
     current, turns, started = None, [], False
     for batch in batches:
         ids, roles, texts = (batch.column(k).to_pylist() for k in range(3))
         for conv, role, text in zip(ids, roles, texts, strict=True):
-            if started and conv != current:
+            if started and (conv != current or conv is None):
                 yield current, turns
                 turns = []
             current, started = conv, True
@@ -145,7 +146,8 @@ def format_chats(conversations: DataFrame, template=None, loss_roles: tuple[str,
         F.col("conv_id").cast("bigint").alias("conv_id"), F.col("role").cast("string").alias("role"),
         F.col("text").cast("string").alias("text"), F.col("turn").cast("bigint").alias("turn"),
     )
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(render, SCHEMA)
+    apart = F.when(F.col("conv_id").isNull(), F.xxhash64("role", "text", "turn"))  # rows without a conversation are spread
+    return rows.repartition("conv_id", apart).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(render, SCHEMA)
 
 
 def chat_digests(formatted: DataFrame, template=None) -> DataFrame:

@@ -11,7 +11,8 @@ The sketches and the candidates' ids are broadcast only if counted to be within
 same joins shuffle.
 
 Defined cases: null or wordless texts and items match nothing; rows with one doc_id (item_id) in common count as one
-document (item); rows with a null id are never reported; empty tables give an empty result; extra columns are ignored.
+document (item); rows with a null id are never reported, but ``decontaminate`` judges each row by its own text and removes
+them too; very long texts are searched whole; empty tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -102,10 +103,13 @@ def contaminated(
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", max_broadcast_rows: int = MAX_BROADCAST_ROWS, **options
 ) -> DataFrame:
-    """docs without the documents that hold a benchmark item; rows with a null id stay."""
-    pairs = contaminated(docs, benchmark, id_col=id_col, max_broadcast_rows=max_broadcast_rows, **options)
+    """docs without the documents that hold a benchmark item, judged row by row: ids, null or repeated ones too, don't matter."""
+    text_col = options.get("text_col", "text")
+    # equal texts are judged alike, so the text's digest is the id
+    keyed = docs.withColumn("__pg_key", F.unhex(F.md5(F.col(text_col).cast("string"))))
+    pairs = contaminated(keyed, benchmark, id_col="__pg_key", max_broadcast_rows=max_broadcast_rows, **options)
     leaks = _small(materialised(pairs.select(F.col("doc_id").alias("__pg_leak")).distinct()), max_broadcast_rows)
-    return docs.join(leaks, F.col(id_col) == F.col("__pg_leak"), "left_anti")
+    return keyed.join(leaks, F.col("__pg_key") == F.col("__pg_leak"), "left_anti").drop("__pg_key")
 
 
 ORACLE_SQL = r"""

@@ -27,6 +27,12 @@ def test_digests_are_read_back(spark):
     assert C.format_chats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_each_row_without_a_conversation_is_one_of_its_own(spark):
+    rows = [(None, i % 3, "user", f"text {i // 2}", "x") for i in range(300)] + [(1, 0, "user", "word " * 200_000, "x")]
+    out = C.chat_digests(C.format_chats(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert len(out) == 301 and {r.n_turns for r in out} == {1} and max(r.formatted_chars for r in out) > 1_000_000
+
+
 class Counting:
     """Tells in front how many turns there are, so it rewrites history."""
 
