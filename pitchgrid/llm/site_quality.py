@@ -1,6 +1,8 @@
 """Quality classifier by hierarchical empirical Bayes over documents, paths and hosts.
 
-A logistic regression on surface measures of whole texts, fitted on all labelled rows, gives each document its own evidence p.
+A document's own evidence p comes from logistic regressions on surface measures of its whole text, fitted on labelled rows.
+There are two models. Ids fall into two folds by a hash, and each row is scored by the model that learnt from the other
+fold, so no row's evidence comes from its own label.
 Sums of p by path and host give the posteriors of sites: a host's mean is shrunk toward the global mean and a path's
 toward its host's, as (sum + k * mean above) / (n + k). The strengths k are estimated from the table: the moments of the
 group means against their sampling variance (more spread between groups, less shrinkage), so a sparse site stays near the
@@ -8,12 +10,14 @@ level above. A document's own evidence is left out of its site's sums. The score
 sigmoid(logit(p) + logit(path posterior) - logit(global mean)).
 
 Sums combine in the map tasks, so a host with a third of all rows is no bottleneck; the table of sites is broadcast only if
-counted to be small, and joined by a shuffle that Spark can split otherwise. Five numbers a model and two strengths reach the
-driver. Texts are never shuffled.
-
-Defined cases: null texts count as empty; a null host or path is a site of its own; rows with a null id or label are not
-learnt from; without both labels every document's own evidence is the smoothed share of good labels (0.5 without any);
-repeated rows count as often as they occur; an empty table gives an empty result; columns named like a result are replaced.
+counted to be small, and joined by a shuffle that Spark can split otherwise. Nine numbers a model and two strengths
+reach the driver. Texts are never shuffled.
+
+Defined cases: null texts count as empty, very long ones are measured whole; a null host or path is a site of its own; rows
+with a null id or label are not learnt from; an id labelled twice counts as two rows; where a fold's model finds no rows of
+both labels, its rows' evidence is the smoothed share of good labels (0.5 without any); equal scores are judged alike, a
+score of just the threshold is kept; repeated rows count as often as they occur; an empty table gives an empty result;
+columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -25,12 +29,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitchgrid.llm.storage import materialised
+from pitchgrid.llm.storage import discard, materialised
 
 FEATURES = ("log_words", "symbols", "digits", "capitals", "word_length", "distinct_words", "line_length", "repeated_lines")
 RESULTS = ("doc_score", "host_posterior", "path_posterior", "score", "kept")
 THRESHOLD, MAX_BROADCAST_ROWS = 0.5, 1_000_000
-MIN_STRENGTH, MAX_STRENGTH, EDGE = 1.0, 1e4, 1e-4
+MIN_STRENGTH, MAX_STRENGTH, EDGE, FOLDS = 1.0, 1e4, 1e-4, 2
 
 
 def measures(text: Column) -> list[Column]:
@@ -55,11 +59,13 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _evidence(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Column:
-    """Each row's own evidence: an expression over the measures, fitted on the labelled rows."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-    known = known.select(F.col(id_col).alias("__pg_id"), (F.col(label_col) == 1).cast("double").alias("__pg_y")).distinct()
-    rows = materialised(measured.select("__pg_id", *FEATURES).join(known, "__pg_id"))
+def fold(id_: Column) -> Column:
+    """The fold of an id."""
+    return F.coalesce(F.pmod(F.xxhash64(id_.cast("string")), F.lit(FOLDS)), F.lit(0))
+
+
+def _model(rows: DataFrame) -> Column:
+    """Evidence as an expression over the measures, fitted on rows(*FEATURES, __pg_y)."""
     n, good = rows.agg(F.count("*"), F.coalesce(F.sum("__pg_y"), F.lit(0.0))).first()
     if not 0 < good < n:
         return F.lit((good + 1) / (n + 2))
@@ -71,6 +77,18 @@ def _evidence(measured: DataFrame, labels: DataFrame, id_col: str, label_col: st
     return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
 
 
+def _evidence(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Column:
+    """Each row's own evidence, by the model of the other fold."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    known = known.select(F.col(id_col).alias("__pg_id"), (F.col(label_col) == 1).cast("double").alias("__pg_y")).distinct()
+    rows = materialised(measured.select("__pg_id", *FEATURES).join(known, "__pg_id"))
+    of, out = fold(F.col("__pg_id")), F.lit(None).cast("double")
+    for k in range(FOLDS):
+        out = F.when(of == k, _model(rows.where(of != k))).otherwise(out)
+    discard(rows)
+    return out
+
+
 def _strength(groups: DataFrame, mean: Column) -> float:
     """How many documents the level above is worth: method of moments on groups (n, s) around mean."""
     m = groups.where("n > 0").agg(
