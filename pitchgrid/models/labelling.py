@@ -33,7 +33,7 @@ def _seed(members: DataFrame, min_likelihood: float) -> DataFrame:
     return _relative(scored, "s").where(F.col("rel") >= min_likelihood).select("id", "hist")
 
 
-def _distance(mixture: Mixture, criterion: str):
+def mixture_distance(mixture: Mixture, criterion: str):
     """Distance of the histogram to the mixture's components: their median, or the least."""
     means = [F.array(*[F.lit(max(float(x), 0.0)) for x in m]) for m in mixture.means]
     each = F.array_sort(F.array(*[F.coalesce(bhattacharyya(F.col("hist"), m), F.lit(1.0)) for m in means]))
@@ -55,7 +55,7 @@ def grow(pool: DataFrame, seeds: list[DataFrame], components: int = 1, criterion
             for k, m in enumerate(mixtures):
                 best = taken.where(F.col("node") == k).agg(F.max(log_likelihood(m, F.col("hist")))).first()[0]
                 own = log_likelihood(m, F.col("hist"))
-                rest = rest.withColumn(f"rel{k}", own / best if best > 0 else F.lit(best) / own).withColumn(f"d{k}", _distance(m, criterion))
+                rest = rest.withColumn(f"rel{k}", own / best if best > 0 else F.lit(best) / own).withColumn(f"d{k}", mixture_distance(m, criterion))
             distances = F.array(*[F.col(f"d{k}") for k in range(len(seeds))])
             ordered = F.array_sort(distances)
             ok = (F.greatest(*[F.col(f"rel{k}") for k in range(len(seeds))]) >= MIN_RELATIVE) & (ordered[0] < near) & (ordered[0] < ordered[1] - margin)
@@ -67,6 +67,11 @@ def grow(pool: DataFrame, seeds: list[DataFrame], components: int = 1, criterion
     return taken
 
 
+def large_clusters(found: DataFrame, min_cluster: int) -> DataFrame:
+    """(cluster, n) of the clusters with more than min_cluster members."""
+    return found.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > min_cluster)
+
+
 def label_players(
     rows: DataFrame, clusters: int = 10, min_cluster: int = 100, min_likelihood: float = 0.99, min_probability: float = 0.8,
     gamma: float = 0.1, components: int = 1,
@@ -76,7 +81,7 @@ def label_players(
     min_probability is the gate of a regression on approximate kernel features, so it is lower than a kernel machine's.
     """
     found = checkpointed(kmeans(rows.select("id", "hist"), "hist", clusters, root=True))
-    large = [r[0] for r in found.groupBy("cluster").count().where(F.col("count") > min_cluster).orderBy("cluster").collect()]  # at most clusters rows
+    large = [r[0] for r in large_clusters(found, min_cluster).orderBy("cluster").collect()]  # at most clusters rows
     if len(large) < 3:
         raise ValueError(f"only {len(large)} clusters have more than {min_cluster} members; three are needed")
     medians = class_medians(found.where(F.col("cluster").isin(large)).withColumnRenamed("cluster", "category"))
@@ -106,9 +111,13 @@ def relative_likelihood_filter(members: DataFrame, min_likelihood: float = 0.99)
 
 def label_dark_and_bright(rows: DataFrame, **options) -> DataFrame:
     """label_players apart for rows(id, hist, is_dark), the bright side's teams renamed to the dark side's nearest."""
+    return with_names_of(*(label_players(rows.where(c), **options) for c in (F.col("is_dark"), ~F.col("is_dark"))))
+
+
+def with_names_of(dark: DataFrame, bright: DataFrame) -> DataFrame:
+    """dark and bright as one table; bright's teams 1 and 2 trade names if dark's are nearer that way."""
     from pitchgrid.operators.ranking import closest_pairs
 
-    dark, bright = (label_players(rows.where(c), **options) for c in (F.col("is_dark"), ~F.col("is_dark")))
     pair = closest_pairs(class_medians(dark), class_medians(bright), [1, 2]).first()
     swap = pair is not None and pair["dark"] != pair["bright"]
     renamed = F.when(F.col("category").isin(1, 2), 3 - F.col("category")).otherwise(F.col("category"))

@@ -70,6 +70,14 @@ def running_mean(rows: DataFrame, by: list[str], order: list[str], value: str, w
     return rows.withColumn("running_mean", F.try_divide(F.sum(F.col(value) * k).over(w).cast("double"), F.sum(k).over(w).cast("double")))
 
 
+def mean_vectors(frames: DataFrame, by: list[str]) -> DataFrame:
+    """(by, mean): the element-wise mean of the arrays values of each group; partial sums combine in the map tasks."""
+    each = frames.select(*by, F.posexplode("values").alias("pos", "v"))
+    means = each.groupBy(*by, "pos").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "m")))
+    return means.groupBy(*by).agg(F.transform(ordered, lambda x: x["m"]).alias("mean"))
+
+
 def temporal_mean(frames: DataFrame, by: list[str], cap: float | None = None) -> DataFrame:
     """(by, pos, mean): mean of absolute values at each place of the frames' arrays, capped."""
     each = frames.select(*by, F.posexplode("values").alias("pos", "v"))

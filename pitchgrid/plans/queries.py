@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -509,6 +511,230 @@ def annotated_boxes(spark, d):
     return rows.select("frame_idx", "det_idx", G.corners(b["x1"], b["y1"], b["x2"] - b["x1"], b["y2"] - b["y1"]).alias("b")).select("frame_idx", "det_idx", "b.*")
 
 
+# stored stages and scans of files: tables are written in the shared folder and read by the engine's own readers
+
+def _match_half() -> list:
+    """match and half of a frame number."""
+    match = F.concat(F.lit("m"), (F.col("frame_idx") % 10).cast("string"))
+    return [match.alias("match"), (F.col("frame_idx") % 2 + 1).cast("int").alias("half")]
+
+
+def _stored(spark: SparkSession, rows: DataFrame, name: str, ddl: str) -> DataFrame:
+    """rows written as a stage's result and read back under the stage's schema."""
+    from pitchgrid.sources.shared import new_path
+    from pitchgrid.sources.sinks import write_stage
+
+    path = new_path(spark, name)
+    write_stage(rows.to(spark.createDataFrame([], ddl).schema), path)
+    return spark.read.schema(ddl).parquet(path)
+
+
+@query(
+    with_sql("det", "seg")
+    + """SELECT 'm' || frame_idx % 10 AS match, (frame_idx % 2 + 1)::INT AS half, frame_idx, seg_idx, round(score::FLOAT::DOUBLE, 6) AS score, x1, y1, x2, y2 FROM seg
+    WHERE class_id = 0 AND score::FLOAT::DOUBLE > 0.65E0"""
+)
+def segmentation_scan(spark, d):
+    from pitchgrid.schema import SEGMENTATION
+    from pitchgrid.sources.readers import read_segmentation
+    from pitchgrid.sources.shared import new_path
+    from pitchgrid.sources.sinks import write_stage
+
+    path = new_path(spark, "segmentation")
+    rows = A.segmentation(spark, d).select(*_match_half(), *[F.col(c).cast("int").alias(c) for c in ("frame_idx", "seg_idx")], F.col("class_id").cast("smallint").alias("class_id"), F.col("score").cast("float").alias("score"), "bbox", F.expr("cast(array() as array<array<struct<x:int,y:int>>>)").alias("mask"))
+    write_stage(rows.to(spark.createDataFrame([], SEGMENTATION).schema), path)
+    people = read_segmentation(spark, path, min_score=0.65, person_only=True)
+    return people.select("match", "half", "frame_idx", "seg_idx", F.round(F.col("score").cast("double"), 6).alias("score"), "bbox.*")
+
+
+@query(ORACLES["result_join"].replace("SELECT o_orderkey AS frame_idx,", "SELECT 'm' || o_orderkey % 10 AS match, (o_orderkey % 2 + 1)::INT AS half, o_orderkey AS frame_idx,"))
+def stored_result_join(spark, d):
+    """Velocities and team scores are written as their stages write them; the join reads these files."""
+    from pitchgrid import schema
+    from pitchgrid.plans.match import FRAME
+
+    people = matching.person_index(A.segmentation(spark, d), ["frame_idx"], "seg_idx").select(*_match_half(), "frame_idx", "person_idx", "score", "bbox.*")
+    motion = aggregation.dominant_orientation(A.flow(spark, d), ["frame", "person"])
+    motion = motion.select(F.col("person").alias("frame_idx"), F.col("frame").alias("person_idx"), "vx", "vy").select(*_match_half(), *[F.col(c).cast("int").alias(c) for c in ("frame_idx", "person_idx")], "vx", "vy")
+    teams = table(spark, d, "embeddings").select(F.col("vec_id").alias("frame_idx"), F.col("label").alias("person_idx"), F.col("embedding").cast("array<float>").alias("logits"))
+    teams = teams.select(*_match_half(), *[F.col(c).cast("int").alias(c) for c in ("frame_idx", "person_idx")], "logits")
+    velocity, scores = _stored(spark, motion, "velocity", schema.VELOCITY), _stored(spark, teams, "teams", schema.TEAM_SCORES)
+    velocity = velocity.withColumns({"vx": F.round("vx", 6), "vy": F.round("vy", 6)})
+    scores = scores.select(*FRAME, "person_idx", F.get("logits", F.lit(0)).cast("double").alias("first_logit"))
+    return matching.result_join(_frames(spark, d).select(*_match_half(), "frame_idx"), people, velocity, scores, FRAME)
+
+
+@query(
+    with_sql("det")
+    + """, m AS (SELECT frame_idx // 100 AS match, frame_idx % 100 AS frame_idx, det_idx FROM det)
+    SELECT o_orderkey // 100 AS match, o_orderkey % 100 AS frame_idx, det_idx FROM orders JOIN m ON m.match = o_orderkey // 100 AND m.frame_idx = o_orderkey % 100 // 2"""
+)
+def repaired_gather(spark, d):
+    from pitchgrid.sources.sinks import gather_repaired
+
+    match = F.floor(F.col("frame_idx") / 100).alias("match")
+    frames = A.detections(spark, d).select(match, (F.col("frame_idx") % 100).alias("frame_idx"), "det_idx")
+    repaired = _frames(spark, d).select(match, (F.col("frame_idx") % 100).alias("frame_idx"), F.floor(F.col("frame_idx") % 100 / 2).alias("all_frame_idx"))
+    return gather_repaired(frames, repaired, ["match"])
+
+
+@query("SELECT 'm' || o_orderkey || '/' || o_orderpriority AS path FROM orders")
+def worklist_scan(spark, d):
+    from pitchgrid.sources.shared import new_path
+    from pitchgrid.sources.worklist import read_worklist
+
+    path = new_path(spark, "worklist")
+    table(spark, d, "orders").select(F.concat(F.lit("m"), F.col("o_orderkey").cast("string"), F.lit("/"), "o_orderpriority", F.lit("  "))).write.text(path)
+    return read_worklist(spark, path)
+
+
+@query("SELECT 'm' || o_orderkey AS match_path, 1 AS half, (o_custkey % 6000)::INT AS n_flow FROM orders UNION ALL SELECT 'm' || o_orderkey, 2, (o_orderkey % 5400)::INT FROM orders")
+def flow_count_scan(spark, d):
+    from pitchgrid.sources.readers import read_flow_counts
+    from pitchgrid.sources.shared import new_path
+
+    path = new_path(spark, "flow-counts")
+    rows = table(spark, d, "orders").select(F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("match_path"), (F.col("o_custkey") % 6000).alias("num_frames_first_half"), (F.col("o_orderkey") % 5400).alias("num_frames_second_half"))
+    rows.write.option("header", True).csv(path)
+    return read_flow_counts(spark, path)
+
+
+@query(
+    with_sql("det")
+    + """, r AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 4E0 / 3 WHEN 1 THEN 16E0 / 15 WHEN 2 THEN 1E0 ELSE 3E0 / 4 END AS sar FROM supplier)
+    SELECT 'm' || s AS match, frame_idx, det_idx, trunc(CASE WHEN sar > 1 THEN x1 * sar ELSE x1 END)::INT AS x1, trunc(y1)::INT AS y1, trunc(CASE WHEN sar > 1 THEN x2 * sar ELSE x2 END)::INT AS x2, trunc(y2)::INT AS y2
+    FROM det JOIN r ON s = s_suppkey"""
+)
+def aspect_ratio_lookup(spark, d):
+    from pitchgrid.sources.readers import read_aspect_ratios, scaled_detections
+    from pitchgrid.sources.shared import new_path
+
+    path, s = new_path(spark, "aspect-ratios"), F.col("s_suppkey") % 4
+    sar = F.when(s == 0, "4:3").when(s == 1, "16:15").when(s == 2, "N/A").otherwise("3:4").alias("SAR")
+    table(spark, d, "supplier").select(F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("match_path"), sar).write.option("header", True).csv(path)
+    rows = A.detections(spark, d).select(F.concat(F.lit("m"), F.col("s").cast("string")).alias("match"), "frame_idx", "det_idx", "bbox")
+    return scaled_detections(rows, read_aspect_ratios(spark, path)).select("match", "frame_idx", "det_idx", "bbox.*")
+
+
+@query(
+    with_sql("det")
+    + """SELECT 'f' || frame_idx AS asset, (row_number() OVER (PARTITION BY frame_idx ORDER BY s % 5, x1, y1, x2, y2) - 1)::INT AS region_idx, (s % 5)::INT AS category, x1, y1, x2, y2 FROM det WHERE q > 20"""
+)
+def annotation_roundtrip(spark, d):
+    """Boxes become annotation documents; their regions are read from the text of these."""
+    from pitchgrid.schema import ANNOTATION
+    from pitchgrid.sources.annotations import annotation_json, regions_of
+
+    boxes = A.detections(spark, d).where("q > 20").select(F.concat(F.lit("f"), F.col("frame_idx").cast("string")).alias("asset"), (F.col("s") % 5).cast("int").alias("category"), "bbox")
+    parsed = annotation_json(boxes).select(F.from_json("value", ANNOTATION).alias("a"))
+    return regions_of(parsed.select(F.col("a.asset.name").alias("name"), "a.regions")).select("asset", "region_idx", "category", "bbox.*")
+
+
+@query(with_sql("det") + "SELECT frame_idx, det_idx, trunc((x1 + x2) / 2)::DOUBLE AS x, y2 AS y FROM det")
+def foot_point(spark, d):
+    x, y = G.foot_point(F.col("bbox"))
+    return A.detections(spark, d).select("frame_idx", "det_idx", x.alias("x"), y.alias("y"))
+
+
+@query(
+    """WITH t AS (SELECT event_id, round(value * 900E0 * 1000000)::BIGINT AS us FROM events WHERE value >= 0), w AS (SELECT *, us // 1000000 AS s, us % 1000000 AS r FROM t)
+    SELECT event_id, CASE s // 86400 WHEN 0 THEN '' WHEN 1 THEN '1 day, ' ELSE s // 86400 || ' days, ' END || s % 86400 // 3600 || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0')
+      || CASE r WHEN 0 THEN '' ELSE '.' || lpad(r::VARCHAR, 6, '0') END AS clock, round(us / 1000000E0, 6) AS seconds FROM w"""
+)
+def clock_times(spark, d):
+    from pitchgrid.functions.clock import clock_seconds, clock_text
+
+    rows = table(spark, d, "events").where("value >= 0").select("event_id", clock_text(F.col("value") * 900.0).alias("clock"))
+    return rows.withColumn("seconds", F.round(clock_seconds(F.col("clock")), 6))
+
+
+@query(
+    """WITH m AS (SELECT label, k, avg(embedding[k]::DOUBLE) AS m FROM embeddings, unnest(range(1, len(embedding) + 1)) AS r(k) GROUP BY ALL),
+    e AS (SELECT vec_id, label, round(avg((embedding[k]::DOUBLE - m) * (embedding[k]::DOUBLE - m)), 9) AS mse FROM embeddings JOIN m USING (label) WHERE k <= len(embedding) GROUP BY ALL)
+    SELECT vec_id, label, mse FROM e WHERE mse < 0.0155E0"""
+)
+def overlay_similarity(spark, d):
+    """Patches that look like the mean patch of their group."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("values"))
+    joined = e.join(aggregation.mean_vectors(e, ["label"]), "label")  # one mean per group
+    return joined.select("vec_id", "label", F.round(V.squared_error(F.col("values"), F.col("mean")), 9).alias("mse")).where("mse < 0.0155")
+
+
+_FIXED = ([0.125] * 8, [1.0] + [0.0] * 7, [0.0] * 4 + [0.25] * 4)
+
+
+@query(
+    with_sql("hist", "members")
+    + f", e AS (SELECT category, id, list_sort([{', '.join(f'coalesce({bhattacharyya_sql("hist", str(v) + "::DOUBLE[]")}, 1E0)' for v in _FIXED)}]) AS d FROM members)"
+    + "SELECT category, id, round(d[1], 6) AS nearest, round(d[2], 6) AS middle FROM e"
+)
+def component_distances(spark, d):
+    from pitchgrid.models.clustering import Mixture
+    from pitchgrid.models.labelling import mixture_distance
+
+    fixed = Mixture(np.full(3, 1 / 3), np.array(_FIXED), np.zeros((3, 8, 8)))
+    both = {"nearest": mixture_distance(fixed, "min"), "middle": mixture_distance(fixed, "median")}
+    return A.members(spark, d).select("category", "id", *[F.round(c, 6).alias(k) for k, c in both.items()])
+
+
+@query("WITH c AS (SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY 1) SELECT vec_id, cluster, n FROM embeddings JOIN c ON cluster = label WHERE n > (SELECT avg(n) FROM c)")
+def large_cluster_members(spark, d):
+    from pitchgrid.models.labelling import large_clusters
+
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("cluster"))
+    mean = rows.groupBy("cluster").count().agg(F.avg("count")).first()[0] or 0.0
+    return rows.join(large_clusters(rows, mean), "cluster").select("vec_id", "cluster", "n")
+
+
+@query(
+    with_sql("det")
+    + """, b AS (SELECT frame_idx, det_idx, s % 4 AS category, x2 - x1 AS w, y2 - y1 AS h FROM det),
+    g AS (SELECT category, avg(w) AS mw, avg(h) AS mh, avg(w * w) - avg(w) * avg(w) + 1E-6 AS vw, avg(h * h) - avg(h) * avg(h) + 1E-6 AS vh, avg(w * h) - avg(w) * avg(h) AS c FROM b GROUP BY 1),
+    l AS (SELECT b.*, -0.5E0 * (vh * (w - mw) * (w - mw) - 2 * c * (w - mw) * (h - mh) + vw * (h - mh) * (h - mh)) / (vw * vh - c * c) - 0.5E0 * ln(vw * vh - c * c) - ln(2 * pi()) AS ll FROM b JOIN g USING (category)),
+    r AS (SELECT *, max(ll) OVER (PARTITION BY category) AS best FROM l)
+    SELECT frame_idx, det_idx, category FROM r WHERE CASE WHEN best > 0 THEN ll / best ELSE best / ll END > 0.9123E0"""
+)
+def relative_likelihood(spark, d):
+    from pitchgrid.models.labelling import relative_likelihood_filter
+
+    size = F.array(F.col("bbox.x2") - F.col("bbox.x1"), F.col("bbox.y2") - F.col("bbox.y1")).alias("hist")
+    rows = A.detections(spark, d).select("frame_idx", "det_idx", (F.col("s") % 4).alias("category"), size)
+    return relative_likelihood_filter(rows, 0.9123).select("frame_idx", "det_idx", "category")
+
+
+@query(
+    ORACLES["dark_bright_pair"].split("\n    SELECT a.category AS dark")[0]
+    + f""", pair AS (SELECT a.category AS dark, b.category AS bright FROM hm a JOIN hm b ON a.side = 0 AND b.side = 1
+      ORDER BY round({bhattacharyya_sql('a.md', 'b.md')}, 9), 1, 2 LIMIT 1)
+    SELECT id, id % 2 = 0 AS is_dark, CASE WHEN id % 2 = 1 AND category IN (1, 2) AND (SELECT dark <> bright FROM pair) THEN 3 - category ELSE category END AS category FROM members"""
+)
+def dark_bright_union(spark, d):
+    from pitchgrid.models.labelling import with_names_of
+
+    m = A.members(spark, d).withColumn("is_dark", F.col("id") % 2 == 0)
+    return with_names_of(m.where("is_dark"), m.where("not is_dark")).select("id", "is_dark", "category")
+
+
+@query(
+    """WITH c AS (SELECT p_partkey, p_partkey * 37 % 256 AS r, p_partkey * 101 % 256 AS g, p_size * 53 % 256 AS b FROM part), x AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM c),
+    y AS (SELECT *, CASE WHEN hi > lo THEN hi - lo ELSE 1 END::DOUBLE AS span FROM x),
+    z AS (SELECT *, CASE WHEN hi = lo THEN 0E0 WHEN hi = r THEN (g - b) / span WHEN hi = g THEN 2 + (b - r) / span ELSE 4 + (r - g) / span END * 60 AS hue FROM y)
+    SELECT p_partkey, round_even(CASE WHEN hue < 0 THEN hue + 360 ELSE hue END / 2, 0)::INT % 180 AS hue, round_even(255 * (hi - lo) / CASE WHEN hi > 0 THEN hi ELSE 1 END::DOUBLE, 0)::INT AS saturation, hi::INT AS brightness FROM z"""
+)
+def hsv_colours(spark, d):
+    """One pixel a row through the colour conversion that histograms use, in Arrow batches."""
+    from pitchgrid.functions.pixels import to_hsv
+
+    @F.arrow_udf("struct<hue:int,saturation:int,brightness:int>")
+    def hsv(r: pa.Array, g: pa.Array, b: pa.Array) -> pa.Array:
+        out = to_hsv(np.stack([np.asarray(c, np.uint8) for c in (r, g, b)], axis=-1)).astype(np.int32)
+        return pa.StructArray.from_arrays([pa.array(out[:, i]) for i in range(3)], ["hue", "saturation", "brightness"])
+
+    key = F.col("p_partkey")
+    pixel = [(c % 256).cast("int") for c in (key * 37, key * 101, F.col("p_size") * 53)]
+    return table(spark, d, "part").select("p_partkey", hsv(*pixel).alias("c")).select("p_partkey", "c.*")
+
+
 # learned models and sequential alignment: no SQL; tests hold their invariants
 
 

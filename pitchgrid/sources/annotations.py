@@ -20,7 +20,8 @@ def tag_category(tag: Column, tags: dict[str, int] | None = None) -> Column:
     return out
 
 
-def _regions(rows: DataFrame, tags: dict[str, int] | None) -> DataFrame:
+def regions_of(rows: DataFrame, tags: dict[str, int] | None = None) -> DataFrame:
+    """(asset, region_idx, category, bbox) of rows(name, regions); rows without regions are left out."""
     each = rows.where(F.size("regions") > 0).select("name", F.posexplode("regions").alias("region_idx", "r"))
     b = F.col("r.boundingBox")
     name = F.expr("substring(name, 1, length(name) - 4)")
@@ -33,18 +34,18 @@ def _regions(rows: DataFrame, tags: dict[str, int] | None) -> DataFrame:
 def read_annotation_dir(spark: SparkSession, path: str, tags: dict[str, int] | None = None) -> DataFrame:
     """(asset, region_idx, category, bbox) from one JSON file per asset; assets without regions have no rows."""
     rows = spark.read.schema(schema.ANNOTATION).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return _regions(rows.select(F.col("asset.name").alias("name"), "regions"), tags)
+    return regions_of(rows.select(F.col("asset.name").alias("name"), "regions"), tags)
 
 
 def read_annotation_export(spark: SparkSession, path: str, tags: dict[str, int] | None = None) -> DataFrame:
     """The same from a single export with a map of assets."""
     rows = spark.read.schema(schema.ANNOTATION_EXPORT).option("multiLine", True).option("mode", "FAILFAST").json(path)
     each = rows.select(F.explode(F.map_values("assets")).alias("a"))
-    return _regions(each.select(F.col("a.asset.name").alias("name"), F.col("a.regions").alias("regions")), tags)
+    return regions_of(each.select(F.col("a.asset.name").alias("name"), F.col("a.regions").alias("regions")), tags)
 
 
 def annotation_json(boxes: DataFrame, tags: dict[str, int] | None = None) -> DataFrame:
-    """(asset, value): one JSON document per asset of boxes(asset, category, bbox), regions with four corner points."""
+    """(asset, value): one JSON document per asset of boxes(asset, category, bbox), regions with four corner points, in the order of category and corners."""
     names = F.create_map(*[F.lit(x) for name, k in (tags or TAGS).items() for x in (k, name)])
     b = F.col("bbox")
     point = lambda x, y: F.struct(b[x].alias("x"), b[y].alias("y"))
@@ -53,5 +54,5 @@ def annotation_json(boxes: DataFrame, tags: dict[str, int] | None = None) -> Dat
         F.struct(b["x1"].alias("left"), b["y1"].alias("top"), (b["y2"] - b["y1"]).alias("height"), (b["x2"] - b["x1"]).alias("width")).alias("boundingBox"),
         F.array(point("x1", "y1"), point("x2", "y1"), point("x2", "y2"), point("x1", "y2")).alias("points"),
     )
-    per_asset = boxes.withColumn("id", F.uuid()).groupBy("asset").agg(F.collect_list(region).alias("regions"))
+    per_asset = boxes.withColumn("id", F.uuid()).groupBy("asset").agg(F.transform(F.array_sort(F.collect_list(F.struct("category", b.alias("b"), region.alias("r")))), lambda x: x["r"]).alias("regions"))
     return per_asset.select("asset", F.to_json(F.struct(F.struct(F.concat("asset", F.lit(".jpg")).alias("name")).alias("asset"), "regions")).alias("value"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchgrid import schema
-from pitchgrid.functions.geometry import box
+from pitchgrid.functions.geometry import box, scaled_x, truncated_box
 
 
 def _json(spark: SparkSession, path: str | list[str], ddl: str) -> DataFrame:
@@ -52,6 +52,17 @@ def read_aspect_ratios(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("match_path", ratio(F.col("SAR")).alias("sar"))
 
 
+def scaled_detections(detections: DataFrame, ratios: DataFrame) -> DataFrame:
+    """detections with boxes in display pixels: x stretched by their match's ratio where that is over 1, all truncated.
+
+    ratios has (match_path, sar), as read_aspect_ratios gives it; detections have match. Matches without a ratio are left out.
+    """
+    joined = detections.join(ratios.withColumnRenamed("match_path", "match"), "match")
+    b = F.col("bbox")
+    wide = box(scaled_x(b["x1"], F.col("sar")), b["y1"], scaled_x(b["x2"], F.col("sar")), b["y2"])
+    return joined.withColumn("bbox", truncated_box(wide, F.lit(1.0), F.lit(1.0))).drop("sar")
+
+
 def read_segmentation(spark: SparkSession, path: str, min_score: float | None = None, person_only: bool = False) -> DataFrame:
     """Instances stored as Parquet; strictly over min_score, people alone if asked. Both filters reach the scan."""
     rows = spark.read.schema(schema.SEGMENTATION).parquet(path)

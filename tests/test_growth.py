@@ -19,7 +19,7 @@ def test_a_stage_grows_until_nothing_more_is_taken(spark, monkeypatch):
 
     monkeypatch.setattr(labelling, "fit_mixture", fit)
     monkeypatch.setattr(labelling, "log_likelihood", lambda m, hist: F.lit(1.0))
-    monkeypatch.setattr(labelling, "_distance", distance)
+    monkeypatch.setattr(labelling, "mixture_distance", distance)
     pool = spark.createDataFrame([(i, [float(i)]) for i in range(26)], "id long, hist array<double>")
     seeds = [pool.where(F.col("id") == 0), *[spark.createDataFrame([(i, [99.0])], pool.schema) for i in (101, 102)]]
     grown = labelling.grow(pool, seeds, thresholds=[(0.15, 0.25)])

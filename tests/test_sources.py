@@ -77,3 +77,17 @@ def test_match_listing_and_configs(spark, tmp_path):
     assert config.load(config.VelocityConfig, '{"region_clusters": 6}').region_clusters == 6
     with pytest.raises(ValueError, match="unknown"):
         config.load(config.TrainingConfig, '{"epochs": 6}')
+
+
+def test_times_of_day_and_back(spark):
+    import datetime
+
+    from pitchgrid.functions.clock import clock_seconds, clock_text
+
+    given = [0.0, 59.0, 3600.5, 86399.999999, 86400.0, 200000.25]
+    rows = spark.createDataFrame([(x,) for x in given] + [(None,)], "s double").withColumn("t", clock_text(F.col("s")))
+    got = {r.s: (r.t, r.back) for r in rows.withColumn("back", clock_seconds(F.col("t"))).collect()}
+    assert got.pop(None) == (None, None)
+    for x, (t, back) in got.items():
+        assert t == str(datetime.timedelta(seconds=x)) and abs(back - x) < 1e-6
+    assert spark.sql("select 'half past nine' as t").select(clock_seconds(F.col("t"))).first()[0] is None
