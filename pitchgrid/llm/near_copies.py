@@ -43,16 +43,16 @@ BUCKETS = 512
 MISS = 1e-15
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The distinct shingle hashes of a text in ascending order, as signed integers."""
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles of so many words in ascending order, as signed integers."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.int64)
     line = b" ".join(words)
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32).tolist()
     starts, ends = [0, *(i + 1 for i in gaps)], [*gaps, len(line)]
-    last = max(1, len(words) - SHINGLE + 1)
-    spans = zip(starts[:last], ends[min(SHINGLE, len(words)) - 1 :], strict=True)
+    last = max(1, len(words) - size + 1)
+    spans = zip(starts[:last], ends[min(size, len(words)) - 1 :], strict=True)
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(line[s:e], SEED) for s, e in spans), np.uint64, last).view(np.int64))
 
 

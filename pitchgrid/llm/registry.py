@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchgrid.llm import ball_trees, chat_format, decontamination, line_dedup, merkle, piece_codec, secret_scan, simhash, site_quality, suffix_dedup, suffix_repetition, toxicity
+from pitchgrid.llm import ball_trees, chat_format, decontamination, line_dedup, merkle, minhash, piece_codec, secret_scan, simhash, site_quality, suffix_dedup, suffix_repetition, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,9 +79,13 @@ def op12_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_trees.cluster_digests(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_quality_rules, op4_secret_scan, op5_chat_formatting, op6_sentencepiece, op7_toxicity, op8_site_quality, op9_suffix_dedup, op10_decontamination, op11_merkle_manifest, op12_ball_clusters)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_quality_rules, op4_secret_scan, op5_chat_formatting, op6_sentencepiece, op7_toxicity, op8_site_quality, op9_suffix_dedup, op10_decontamination, op11_merkle_manifest, op12_ball_clusters, op13_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": suffix_repetition.ORACLE_SQL, "op1_line_dedup": line_dedup.ORACLE_SQL, "op5_chat_formatting": chat_format.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op12_ball_clusters": ball_trees.ORACLE_SQL}
+    return {"op3_quality_rules": suffix_repetition.ORACLE_SQL, "op1_line_dedup": line_dedup.ORACLE_SQL, "op5_chat_formatting": chat_format.ORACLE_SQL, "op10_decontamination": decontamination.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op12_ball_clusters": ball_trees.ORACLE_SQL, "op13_minhash": minhash.ORACLE_SQL}
