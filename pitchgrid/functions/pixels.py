@@ -119,13 +119,22 @@ def dilate(mask: np.ndarray, element: np.ndarray, mirrored: bool = False) -> np.
     return out
 
 
-def erode(mask: np.ndarray, element: np.ndarray) -> np.ndarray:
+def ellipse(size: int) -> np.ndarray:
+    """The filled ellipse in a square of even or odd size around its middle pixel, as wide in each row as the circle of half the size is."""
+    r = size // 2
+    y = np.arange(size) - r
+    reach = np.rint(np.sqrt(np.maximum(r * r - y * y, 0)))[:, None]
+    return np.abs(np.arange(size) - r)[None, :] <= reach
+
+
+def erode(mask: np.ndarray, element: np.ndarray, beyond: bool = False) -> np.ndarray:
+    """beyond: what the picture's outside counts as."""
     h, w = element.shape
-    return ~dilate(~np.pad(mask, ((h, h), (w, w))), element, mirrored=True)[h:-h, w:-w]
+    return ~dilate(~np.pad(mask, ((h, h), (w, w)), constant_values=beyond), element, mirrored=True)[h:-h, w:-w]
 
 
-def opened(mask: np.ndarray, element: np.ndarray) -> np.ndarray:
-    return dilate(erode(mask, element), element)
+def opened(mask: np.ndarray, element: np.ndarray, beyond: bool = False) -> np.ndarray:
+    return dilate(erode(mask, element, beyond), element)
 
 
 def half(mask: np.ndarray, part: str = "all") -> np.ndarray:
@@ -143,14 +152,6 @@ def body_histogram(rgb: np.ndarray, polygons: list[np.ndarray], radius: int = 2,
     return colour_histogram(rgb, half(erode(fill(polygons, rgb.shape[:2]), disk(radius)), part), kind)
 
 
-def blur(x: np.ndarray, size: int) -> np.ndarray:
-    """Mean over a square window, edges repeated."""
-    before, after = size // 2, size - 1 - size // 2
-    padded = np.pad(x.astype(float), [(before, after), (before, after)] + [(0, 0)] * (x.ndim - 2), mode="edge")
-    sums = np.pad(padded.cumsum(axis=0).cumsum(axis=1), [(1, 0), (1, 0)] + [(0, 0)] * (x.ndim - 2))
-    return (sums[size:, size:] - sums[:-size, size:] - sums[size:, :-size] + sums[:-size, :-size]) / size**2
-
-
 def lloyd(points: np.ndarray, k: int, rounds: int = 30, fit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Labels and centres of k-means, started on evenly spaced sorted points; fitted on fit if given."""
     x = points if fit is None else fit
@@ -166,29 +167,42 @@ def lloyd(points: np.ndarray, k: int, rounds: int = 30, fit: np.ndarray | None =
     return nearest(points), centres
 
 
-def components(mask: np.ndarray) -> list[np.ndarray]:
-    """The 4-connected parts of a mask, in order of their first pixel."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        padded = np.pad(label, 1)
-        near = np.maximum.reduce([label, padded[:-2, 1:-1], padded[2:, 1:-1], padded[1:-1, :-2], padded[1:-1, 2:]])
-        near = np.where(mask, near, 0)
-        if (near == label).all():
-            return [label == v for v in sorted(set(label[mask].tolist()), key=lambda v: int(np.flatnonzero(label == v)[0]))]
-        label = near
-
-
-def large_parts(mask: np.ndarray, min_share: float) -> np.ndarray:
-    """The parts of a mask that cover min_share of the picture."""
-    return np.logical_or.reduce([p for p in components(mask) if p.sum() >= min_share * mask.size] or [np.zeros_like(mask)])
+def labelled(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
+    """0 outside the mask, else the number of the pixel's part from 1 on, in order of first pixels. Rows' runs are merged with those above."""
+    parent, runs, above = [], [], []
+    reach = 1 if diagonal else 0
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for y, row in enumerate(mask):
+        edges = np.flatnonzero(np.diff(row.astype(np.int8), prepend=0, append=0))
+        here, at = [], 0
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            k = len(parent)
+            parent.append(k)
+            while at < len(above) and above[at][1] + reach <= a:
+                at += 1
+            for c, _, other in above[at:]:
+                if c - reach >= b:
+                    break
+                one, two = sorted((root(k), root(other)))
+                parent[two] = one
+            here.append((a, b, k))
+            runs.append((y, a, b, k))
+        above = here
+    names, out = {}, np.zeros(mask.shape, int)
+    for y, a, b, k in runs:
+        out[y, a:b] = names.setdefault(root(k), len(names) + 1)
+    return out
 
 
-def dark_regions(rgb: np.ndarray, blur_size: int = 15, open_size: int = 5, min_share: float = 0.05) -> np.ndarray:
-    """The darker of two brightness classes of the blurred picture, cleaned."""
-    light = blur(to_lab(rgb)[..., 0], blur_size).reshape(-1, 1)
-    label, centres = lloyd(light, 2, fit=light[np.linspace(0, len(light) - 1, max(len(light) // 2, 2)).astype(int)])
-    dark = (label == centres[:, 0].argmin()).reshape(rgb.shape[:2])
-    return large_parts(opened(dark, np.ones((open_size, open_size), bool)), min_share)
+def components(mask: np.ndarray) -> list[np.ndarray]:
+    """The 4-connected parts of a mask, in order of their first pixel."""
+    label = labelled(mask)
+    return [label == k for k in range(1, label.max(initial=0) + 1)]
 
 
 def contours(mask: np.ndarray) -> list[np.ndarray]:
@@ -235,51 +249,96 @@ def dequantized(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.stack([(c.astype(np.float32) - 128) / np.float32(127.999) for c in (u, v)], axis=-1)
 
 
-def fixed_regions(mean_flow: np.ndarray, clusters: int = 4, max_energy: float = 0.01, grow: int = 2, blur_size: int = 5) -> np.ndarray:
-    """Where the mean absolute flow over many frames stays still: overlays on the picture."""
-    x = blur(mean_flow, blur_size).reshape(-1, 2)
-    label, centres = lloyd(x, clusters)
-    still = np.flatnonzero((centres**2).sum(axis=1) / 2 < max_energy)
-    return dilate(np.isin(label, still).reshape(mean_flow.shape[:2]), disk(grow))
+def filled(part: np.ndarray) -> np.ndarray:
+    """A part with its holes."""
+    outside = labelled(~np.pad(part, 1))
+    return (outside != outside[0, 0])[1:-1, 1:-1]
 
 
-def field_mask(rgb: np.ndarray, people: np.ndarray, fixed: np.ndarray, clusters: int = 5, rounds: int = 30, max_error: float = 0.01, open_size: int = 8, min_share: float = 0.15) -> np.ndarray:
-    """The field: the largest colour class and those near it, without people and overlays, cleaned.
+def outline(part: np.ndarray) -> np.ndarray:
+    """(x, y) of a filled part's pixels that have a neighbour outside."""
+    p = np.pad(part, 1)
+    inside = p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:]
+    return np.argwhere(part & ~inside)[:, ::-1]
 
-    Classes join from the largest to the smallest, each compared with the running mean colour in doubles.
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of integer points, in order round it."""
+    p = sorted(set(map(tuple, points.tolist())))
+    if len(p) < 3:
+        return np.array(p)
+
+    def chain(ordered: list) -> list:
+        out: list = []
+        for q in ordered:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]):
+                out.pop()
+            out.append(q)
+        return out[:-1]
+
+    return np.array(chain(p) + chain(p[::-1]))
+
+
+def large_hulls(mask: np.ndarray, min_share: float) -> np.ndarray:
+    """mask within the hulls of its large parts: those whose outline through pixel centres has an area of (min_share times the longer side) squared.
+
+    A part's outline with b pixels encloses n - b / 2 - 1 if n pixels lie on or in it (Pick's theorem).
     """
-    free = ~(people | fixed)
-    points = rgb[free].astype(float)
-    if len(points) < clusters:
-        return np.zeros(rgb.shape[:2], bool)
-    label, centres = lloyd(points, clusters, rounds, points[np.linspace(0, len(points) - 1, max(len(points) // 2, clusters)).astype(int)])
-    order = np.argsort(-np.bincount(label, minlength=clusters), kind="stable")
+    keep, least = np.zeros(mask.shape, bool), (min_share * max(mask.shape)) ** 2
+    label = labelled(mask, diagonal=True)
+    for k in range(1, label.max(initial=0) + 1):
+        ys, xs = np.nonzero(label == k)
+        height, width = int(np.ptp(ys)) + 1, int(np.ptp(xs)) + 1
+        if height * width >= least:
+            part = filled(label[ys.min() : ys.min() + height, xs.min() : xs.min() + width] == k)
+            border = outline(part)
+            if part.sum() - len(border) / 2 - 1 >= least:
+                keep |= fill([hull(border) + [xs.min(), ys.min()]], mask.shape)
+    return mask & keep
+
+
+def field_mask(
+    rgb: np.ndarray, people: list[tuple[list[int], list[np.ndarray]]], overlays: list[tuple[list[int], np.ndarray, np.ndarray]] = (), clusters: int = 5,
+    rounds: int = 30, max_difference: float = 0.011, max_error: float = 0.01, open_size: int = 8, min_share: float = 0.15,
+) -> np.ndarray:
+    """The field: the largest colour class and those near it, cleaned.
+
+    people are boxes with polygons inside them, overlays boxes with a mask and a mean patch. People are painted black, and so
+    is an overlay that the picture shows; these pixels are clustered like the others. Classes join from the largest to the
+    smallest, each compared with the running mean colour in doubles. The classes are fitted on half of the pixels.
+    """
+    rgb = rgb.copy()
+    for box, mask, mean in overlays:
+        cut = patch(rgb, box, copy=False)
+        if cut.shape == mean.shape and (((np.where(mask[..., None], cut, 0).astype(float) - mean) ** 2).mean() / 65025) <= max_difference:
+            cut[mask] = 0
+    for box, polygons in people:
+        cut = patch(rgb, box, copy=False)
+        if cut.size:
+            cut[...] = paint(cut, polygons, 0)
+    points = rgb.reshape(-1, 3).astype(float)
+    sample = np.linspace(0, len(points) - 1, max(len(points) // 2, 1)).astype(int)
+    label, centres = lloyd(points, clusters, rounds, points[sample])
+    order = np.argsort(-np.bincount(label[sample], minlength=clusters), kind="stable")
+    centres = np.floor(centres)
     colour, chosen = centres[order[0]], [order[0]]
     for c in order[1:]:
         if ((centres[c] - colour) ** 2).mean() / 65025 < max_error:
             chosen.append(c)
             colour = (colour + centres[c]) / 2
-    out = np.zeros(rgb.shape[:2], bool)
-    out[free] = np.isin(label, chosen)
-    return large_parts(opened(out, np.ones((open_size, open_size), bool)), min_share)
-
-
-def overlay_patches(region: np.ndarray, frames: np.ndarray) -> list[tuple[tuple[int, int, int, int], np.ndarray]]:
-    """(box, mean patch) of each part of a fixed region, averaged over frames and kept under 255."""
-    out = []
-    for part in components(region):
-        ys, xs = np.nonzero(part)
-        box = (int(xs.min()), int(ys.min()), int(xs.max()) + 1, int(ys.max()) + 1)
-        cut = np.stack([patch(f, box, copy=False) for f in frames]).astype(float).mean(axis=0)
-        out.append((box, np.minimum(cut, 255)))
-    return out
+    return large_hulls(opened(np.isin(label, chosen).reshape(rgb.shape[:2]), ellipse(open_size), beyond=True), min_share)
 
 
-def instance_patches(masks: np.ndarray, boxes: np.ndarray) -> list[np.ndarray]:
-    """Each instance's mask cut to its box."""
-    return [patch(m, b) for m, b in zip(masks, boxes, strict=True)]
+def moments(vectors: np.ndarray) -> list[float]:
+    """Sums of u*u, v*v, u*v, the count, and counts of u and v in [0, 1] and in [-1, 0), in the order that ``orientation`` takes them."""
+    u, v = vectors.astype(float).reshape(-1, 2).T
+    up, down = (lambda x: int(((x >= 0) & (x <= 1)).sum())), (lambda x: int(((x >= -1) & (x < 0)).sum()))
+    return [float(u @ u), float(v @ v), float(u @ v), float(len(u)), up(u), down(u), up(v), down(v)]
 
 
-def at_source_size(flow: np.ndarray, shape: tuple[int, int], top: int, bottom: int, left: int, right: int) -> np.ndarray:
-    """Flow resized to the undistorted picture and padded to its full size."""
-    return with_borders(resized(flow, shape), top, bottom, left, right)
+def scaled_person(box: list[float], polygons: list[np.ndarray], scale: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A box scaled and truncated, and the polygons inside it scaled by what has become of its sides."""
+    box = np.asarray(box, float)
+    out = (np.tile(scale, 2) * box).astype(int)
+    sides = np.maximum(box[2:] - box[:2], 1)
+    return out, [((out[2:] - out[:2]) / sides * p).astype(int) for p in polygons]

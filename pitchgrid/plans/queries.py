@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,22 +13,7 @@ from pitchgrid.adapters import bhattacharyya_sql, table, with_sql
 from pitchgrid.functions import geometry as G
 from pitchgrid.functions import vectors as V
 from pitchgrid.operators import aggregation, matching, ranking, selection
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL if it has any."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from pitchgrid.plans.registry import ORACLES, QUERIES, query
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     left = A.detections(spark, d).select("frame_idx", F.col("det_idx").alias("l"), F.col("bbox").alias("lbox"))

@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-from pitchgrid.plans.queries import ORACLES, QUERIES
+from pitchgrid.plans import picture_queries, queries  # noqa: F401
+from pitchgrid.plans.registry import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 

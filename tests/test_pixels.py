@@ -43,7 +43,6 @@ def test_morphology_components_and_outlines():
     m[1:6, 1:6] = m[8:10, 8:11] = True
     assert P.erode(m, np.ones((3, 3), bool)).sum() == 9
     assert [p.sum() for p in P.components(m)] == [25, 6]
-    assert P.large_parts(m, 0.1).sum() == 25
     assert P.opened(m, np.ones((3, 3), bool)).sum() == 25
     outline = P.contours(m)[0]
     x, y = outline[:, 0], outline[:, 1]
@@ -58,16 +57,60 @@ def test_borders():
     assert m.sum() == 4 * 6  # a border of 0 blanks nothing
 
 
-def test_field_and_overlay_masks():
+def test_parts_equal_a_flood_fill():
+    rng = np.random.default_rng(4)
+    for diagonal in (False, True):
+        m = rng.random((30, 40)) < 0.45
+        seen, want = np.zeros(m.shape, int), 0
+        for y, x in np.argwhere(m):
+            if not seen[y, x]:
+                want += 1
+                todo = [(y, x)]
+                while todo:
+                    b, a = todo.pop()
+                    if 0 <= b < 30 and 0 <= a < 40 and m[b, a] and not seen[b, a]:
+                        seen[b, a] = want
+                        todo += [(b + q, a + p) for q in (-1, 0, 1) for p in (-1, 0, 1) if diagonal or 0 in (q, p)]
+        assert (P.labelled(m, diagonal) == seen).all()
+
+
+def test_a_hull_closes_bays_but_not_small_parts():
+    m = np.zeros((40, 40), bool)
+    m[5:30, 5:30] = True
+    m[5:20, 15:18] = False  # a bay, open to the top
+    m[25, 25] = False  # a hole
+    m[35:38, 35:38] = True  # area 4 through pixel centres, less than (0.15 * 40) squared
+    kept = P.large_hulls(m, 0.15)
+    assert kept[5:30, 5:30].sum() == m[5:30, 5:30].sum() and not kept[35:38, 35:38].any()
+    square = np.array([(x, y) for x in range(5, 9) for y in range(2, 6)])
+    assert sorted(P.hull(square).tolist()) == [[5, 2], [5, 5], [8, 2], [8, 5]]
+    thin = np.zeros((40, 40), bool)
+    thin[0, :] = True  # 40 pixels, more than 36, but no area
+    assert not P.large_hulls(thin, 0.15).any()
+
+
+def picture():
     rgb = np.full((40, 60, 3), (40, 160, 50), np.uint8)
     rgb[:10] = (200, 30, 30)
-    rgb[20:24, 20:24] = (250, 250, 250)
-    people = P.fill([np.array([(30, 20), (34, 20), (34, 30), (30, 30)])], (40, 60))
-    field = P.field_mask(rgb, people, np.zeros((40, 60), bool), open_size=2)
-    assert not field[:10].any() and not (field & people).any() and field[12:].mean() > 0.8
-    flow = np.full((30, 30, 2), 0.5)
-    flow[:6, :6] = 0
-    assert P.fixed_regions(flow, clusters=2, grow=0, blur_size=1)[:6, :6].all()
+    return rgb
+
+
+def test_field_without_people_and_overlays():
+    rgb = picture()
+    logo = np.zeros((6, 10, 3), np.uint8)
+    logo[:, :5], logo[:, 5:] = (40, 165, 55), (35, 155, 45)
+    rgb[30:36, 4:14] = logo  # green like the field: only the overlay keeps it out
+    person = ([30, 20, 36, 32], [np.array([(0, 0), (4, 0), (4, 10), (0, 10)])])
+    overlay = ([4, 30, 14, 36], np.ones((6, 10), bool), logo.astype(float))
+    field = P.field_mask(rgb, [person], [overlay], open_size=2)
+    assert not field[:10].any() and not field[20:31, 30:35].any() and not field[30:36, 4:14].any() and field[12:].mean() > 0.8
+    other = ([4, 30, 14, 36], np.ones((6, 10), bool), 255.0 - logo)
+    assert P.field_mask(rgb, [person], [other], open_size=2)[31:35, 6:12].all()  # an overlay that the picture doesn't show
+
+
+def test_ellipse_and_edge():
+    assert P.ellipse(1).all() and P.ellipse(3).tolist() == [[False, True, False], [True] * 3, [False, True, False]]
+    assert P.opened(np.ones((9, 9), bool), P.ellipse(8), beyond=True).all()
 
 
 def test_person_vectors_and_velocities(spark):
