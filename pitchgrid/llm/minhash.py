@@ -119,10 +119,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ids = materialised(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct())
     few = ids.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
     found = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = materialised(found.select("doc_id", _sets("t").alias("s")).where(F.size("s") > 0).distinct())
+    sets = materialised(found.select("doc_id", _sets("t").alias("s")).distinct())
     both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     common, total = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
-    out = materialised(both.where(common * 100 >= (total - common) * 80).select("u", "v").distinct())
+    out = materialised(both.where((common > 0) & (common * 100 >= (total - common) * 80)).select("u", "v").distinct())
     discard(pairs, ids, sets)
     return out
 
