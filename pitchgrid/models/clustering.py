@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pitchgrid.functions.vectors import bhattacharyya, total
 from pitchgrid.operators.selection import min_max
 
 SEED, RIDGE = 42, 1e-6
@@ -29,6 +31,54 @@ def kmeans(rows: DataFrame, column: str, k: int, root: bool = False, max_iter: i
     return model.transform(v).drop("__v")
 
 
+def euclidean(u: Column, v: Column) -> Column:
+    return F.sqrt(total(F.zip_with(u, v, lambda x, y: (x - y) * (x - y))))
+
+
+#: Distances that distance_kmeans knows by name.
+DISTANCES = {"euclidean": euclidean, "bhattacharyya": bhattacharyya}
+
+
+def nearest(column: Column, centres: np.ndarray, distance: Callable[[Column, Column], Column]) -> Column:
+    """The number of the nearest of a bounded number of frozen centres, the first among ties; no distance counts as the farthest."""
+    each = F.array(*[F.coalesce(distance(column, F.array(*[F.lit(float(x)) for x in c])), F.lit(float("inf"))) for c in centres])
+    return (F.array_position(each, F.array_min(each)) - 1).cast("int")
+
+
+def lloyd_round(rows: DataFrame, column: str, centres: np.ndarray, distance: Callable[[Column, Column], Column]) -> np.ndarray:
+    """The means of the rows nearest to each centre; a centre without rows stays. Sums combine in the map tasks, means reach the driver."""
+    each = rows.select(nearest(F.col(column), centres, distance).alias("c"), F.posexplode(column).alias("pos", "v"))
+    out = centres.copy()
+    for r in each.groupBy("c", "pos").agg(F.avg(F.col("v").cast("double")).alias("m")).collect():
+        out[r["c"], r["pos"]] = r["m"]
+    return out
+
+
+def first_centres(rows: DataFrame, column: str, key: str, k: int) -> np.ndarray:
+    """The arrays of the k rows whose keys have the smallest digests: a start that doesn't depend on the cluster."""
+    order = F.md5(F.concat(F.lit(f"{SEED}:"), F.col(key).cast("string")))
+    return np.asarray([r[0] for r in rows.where(F.col(column).isNotNull()).orderBy(order, key).select(F.col(column).cast("array<double>")).limit(k).collect()], float)
+
+
+def distance_kmeans(
+    rows: DataFrame, column: str, key: str, k: int, distance: str | Callable[[Column, Column], Column] = "bhattacharyya", max_rounds: int = 100, tolerance: float = 1e-6
+) -> tuple[DataFrame, np.ndarray]:
+    """(rows with cluster, centres) of k-means under any distance of two array columns.
+
+    Rounds assign rows to the nearest of frozen centres and take means, until centres move by no more than tolerance in all.
+    Each round is one grouped sum over rows; give a written table. Only k means per round reach the driver.
+    """
+    metric = DISTANCES[distance] if isinstance(distance, str) else distance
+    centres = first_centres(rows, column, key, k)
+    for _ in range(max_rounds if len(centres) else 0):
+        moved = lloyd_round(rows, column, centres, metric)
+        done = np.sqrt(((moved - centres) ** 2).sum(axis=1)).sum() <= tolerance
+        centres = moved
+        if done:
+            break
+    return rows.withColumn("cluster", nearest(F.col(column), centres, metric) if len(centres) else F.lit(None).cast("int")), centres
+
+
 @dataclass
 class Mixture:
     """Weights, means and covariances of a fitted mixture."""
@@ -65,6 +115,11 @@ def fit_gaussian(rows: DataFrame, column: str) -> Mixture:
     v = np.asarray([r[1] for r in sorted(parts.groupBy("pos").agg(F.sum("v")).collect())])  # (dimension + 1) squared numbers
     if not len(v):
         raise ValueError("no rows to fit")
+    return gaussian_of(v)
+
+
+def gaussian_of(v: np.ndarray) -> Mixture:
+    """The Gaussian of a flat matrix of moments: count, sums and products of (1, x)."""
     d = round(len(v) ** 0.5)
     v = v.reshape(d, d) / v[0]
     return Mixture(np.ones(1), v[:1, 1:], (v[1:, 1:] - np.outer(v[0, 1:], v[0, 1:]))[None])

@@ -6,12 +6,17 @@ is cut by a reliable checkpoint per round, and the loop ends when no more rows a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitchgrid.functions.vectors import bhattacharyya
 from pitchgrid.models import classifier
-from pitchgrid.models.clustering import Mixture, fit_mixture, kmeans, log_likelihood
+from pitchgrid.models.clustering import Mixture, distance_kmeans, fit_mixture, gaussian_of, log_likelihood
 from pitchgrid.operators.aggregation import class_medians
 from pitchgrid.operators.ranking import farthest_triplet, pair_distances, rarest_class_first
 from pitchgrid.sources.shared import checkpointed
@@ -74,13 +79,15 @@ def large_clusters(found: DataFrame, min_cluster: int) -> DataFrame:
 
 def label_players(
     rows: DataFrame, clusters: int = 10, min_cluster: int = 100, min_likelihood: float = 0.99, min_probability: float = 0.8,
-    gamma: float = 0.1, components: int = 1,
+    gamma: float = 0.1, components: int = 1, distance: str = "bhattacharyya", min_candidate_likelihood: float = 0.99,
 ) -> DataFrame:
     """(id, category, probability): 0 for the referee, 1 and 2 for the teams.
 
     min_probability is the gate of a regression on approximate kernel features, so it is lower than a kernel machine's.
+    Of the candidates that pass it, those stay whose likelihood under one Gaussian of their class is over
+    min_candidate_likelihood of the best; 0 or less keeps all with a likelihood.
     """
-    found = checkpointed(kmeans(rows.select("id", "hist"), "hist", clusters, root=True))
+    found = checkpointed(distance_kmeans(checkpointed(rows.select("id", "hist")), "hist", "id", clusters, distance)[0])
     large = [r[0] for r in large_clusters(found, min_cluster).orderBy("cluster").collect()]  # at most clusters rows
     if len(large) < 3:
         raise ValueError(f"only {len(large)} clusters have more than {min_cluster} members; three are needed")
@@ -96,17 +103,56 @@ def label_players(
     guessed = guessed.withColumn("old", (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("int"))
     guessed = checkpointed(guessed.select("id", "hist", "old", F.array_max("probabilities").alias("probability")))
     renamed = guessed.join(F.broadcast(rarest_class_first(guessed)), "old")  # three classes
-    return renamed.where(F.col("probability") >= min_probability).select("id", "hist", "category", "probability")
+    candidates = renamed.where(F.col("probability") >= min_probability).select("id", "hist", "category", "probability")
+    return relative_likelihood_filter(candidates, min_candidate_likelihood)
+
+
+def class_gaussians(members: DataFrame) -> dict:
+    """{category: one Gaussian} of members(category, hist), by moments: a few numbers per class reach the driver."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            groups: dict = {}
+            for c, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                groups.setdefault(c, []).append(h)
+            for c, rows in groups.items():
+                x = np.hstack([np.ones((len(rows), 1)), np.asarray(rows, float)])
+                held[c] = held[c] + x.T @ x if c in held else x.T @ x
+        for c, m in held.items():
+            yield pa.RecordBatch.from_pydict({"category": pa.array([c] * m.size, pa.int64()), "pos": np.arange(m.size), "v": m.ravel()})
+
+    known = members.where(F.col("hist").isNotNull()).select(F.col("category").cast("bigint"), F.col("hist").cast("array<double>"))
+    parts = known.mapInArrow(sums, "category bigint, pos bigint, v double").groupBy("category", "pos").agg(F.sum("v").alias("v"))
+    found: dict = {}
+    for r in parts.orderBy("category", "pos").collect():
+        found.setdefault(r["category"], []).append(r["v"])
+    return {c: gaussian_of(np.asarray(v)) for c, v in found.items()}
 
 
 def relative_likelihood_filter(members: DataFrame, min_likelihood: float = 0.99) -> DataFrame:
-    """Members of each class whose likelihood under one Gaussian of the class is near the best; classes are a handful."""
-    out = None
-    for c in [r[0] for r in members.select("category").distinct().orderBy("category").collect()]:
-        own = members.where(F.col("category") == c)
-        kept = _relative(own.withColumn("s", log_likelihood(fit_mixture(own, "hist", 1), F.col("hist"))), "s").where(F.col("rel") > min_likelihood).drop("s", "rel")
-        out = kept if out is None else out.unionByName(kept)
-    return members.limit(0) if out is None else out
+    """Members of each class whose likelihood under one Gaussian of the class is near the best; classes are a handful.
+
+    One pass takes the moments of all classes, a second one the scores, which are written.
+    """
+    gaussians = class_gaussians(members)
+
+    @F.arrow_udf(T.DoubleType())
+    def score(category: pa.Array, hist: pa.Array) -> pa.Array:
+        out: list[float | None] = [None] * len(category)
+        groups: dict = {}
+        for i, (c, h) in enumerate(zip(category.to_pylist(), hist.to_pylist(), strict=True)):
+            if h is not None:
+                groups.setdefault(c, []).append((i, h))
+        for c, rows in groups.items():
+            for (i, _), s in zip(rows, gaussians[c].log_likelihood(np.asarray([h for _, h in rows], float)).tolist(), strict=True):
+                out[i] = s
+        return pa.array(out, pa.float64())
+
+    scored = checkpointed(members.withColumn("__s", score(F.col("category").cast("bigint"), F.col("hist").cast("array<double>"))))
+    best = F.broadcast(scored.groupBy(F.col("category").alias("__c")).agg(F.max("__s").alias("__best")))  # one row a class
+    ratio = F.when(F.col("__best") > 0, F.col("__s") / F.col("__best")).otherwise(F.try_divide(F.col("__best"), F.col("__s")))
+    return scored.join(best, F.col("category").eqNullSafe(F.col("__c"))).where(ratio > min_likelihood).drop("__s", "__c", "__best")
 
 
 def label_dark_and_bright(rows: DataFrame, **options) -> DataFrame:

@@ -7,6 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitchgrid.functions.vectors import orientation
+from pitchgrid.operators.placing import largest_group
+from pitchgrid.sources.shared import checkpointed
+
+#: Rows of a group whose median one task takes; buckets of a round of the selection beyond that.
+HEAP_ROWS, BUCKETS = 1_000_000, 1024
 
 
 def count_instances(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -31,12 +36,43 @@ def dense_histograms(sparse: DataFrame, by: list[str], bins: int) -> DataFrame:
     return sparse.groupBy(*by).agg(pairs.alias("m")).select(*by, filled.alias("hist"))
 
 
-def class_medians(members: DataFrame) -> DataFrame:
+def _narrowed(rows: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
+    """targets(by, side, rank, lo, hi) narrowed to the bucket that holds the rank; rank counts from the first value in lo..hi."""
+    inside = rows.join(targets, by).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+    share = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
+    counts = inside.groupBy(*by, "side", "rank", bucket.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # a window has BUCKETS rows at most
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*by, "side").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    found = counts.withColumn("before", before).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
+    return found.select(*by, "side", (F.col("rank") - F.col("before")).alias("rank"), "lo", "hi")
+
+
+def exact_medians(rows: DataFrame, by: list[str], value: str, heap_rows: int = HEAP_ROWS) -> DataFrame:
+    """(by, m): the median of value per group, interpolated; nulls are left out.
+
+    Groups of up to heap_rows rows are sorted in a task each. Beyond that the two middle ranks are selected: values are
+    counted in BUCKETS buckets between the least and the largest, and only the bucket that holds the rank is looked at
+    again, until it has one distinct value. Counts combine in the map tasks, so no group is gathered.
+    """
+    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    if largest_group(rows, by) <= heap_rows:
+        return rows.groupBy(*by).agg(F.median("v").alias("m"))
+    ends = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.expr(f"(n - {1 - k}) div 2").alias("rank")) for k in (0, 1)])).alias("s")
+    targets = checkpointed(ends.select(*by, sides, "lo", "hi").select(*by, "s.*", "lo", "hi"))
+    done = targets.where("lo = hi")
+    while not (targets := targets.where("lo < hi")).isEmpty():
+        targets = checkpointed(_narrowed(rows, targets, by))
+        done = done.unionByName(targets.where("lo = hi"))
+    return done.groupBy(*by).agg(F.avg("lo").alias("m"))
+
+
+def class_medians(members: DataFrame, heap_rows: int = HEAP_ROWS) -> DataFrame:
     """(category, median): the element-wise median of hist per class, interpolated."""
     each = members.select("category", F.posexplode("hist").alias("pos", "v"))
-    medians = each.groupBy("category", "pos").agg(F.median("v").alias("m"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "m")))
-    return medians.groupBy("category").agg(F.transform(ordered, lambda x: x["m"]).alias("median"))
+    return exact_medians(each, ["category", "pos"], "v", heap_rows).groupBy("category").agg(F.transform(ordered, lambda x: x["m"]).alias("median"))
 
 
 def second_moments(vectors: DataFrame, by: list[str]) -> DataFrame:

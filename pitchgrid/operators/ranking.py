@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitchgrid.functions.vectors import bhattacharyya, triangle_area
+from pitchgrid.operators.placing import placed
 from pitchgrid.sources.shared import checkpointed
 
 
@@ -25,18 +26,18 @@ def sampling_index(k: Column, n_frames: Column, samples: int) -> Column:
     return F.ceil(k * (n_frames - 1) / (samples - 1)).cast("bigint")
 
 
-def stratified_split(rows: DataFrame, category: str, key: str, share: float) -> DataFrame:
+def stratified_split(rows: DataFrame, category: str, key: str, share: float, window_rows: int | None = None) -> DataFrame:
     """rows with split: per class round-half-even(share * n) rows are 'valid', one at least if n > 1; by hash order."""
-    w = W.partitionBy(category)
-    order = w.orderBy(F.md5(F.col(key).cast("string")), key)
-    n = F.count("*").over(w)
+    order = placed(rows.withColumn("__hash", F.md5(F.col(key).cast("string"))), [category], ["__hash", key], window_rows)
+    n = F.col("__of")
     wanted = F.when(n > 1, F.greatest(F.bround(F.lit(share) * n, 0), F.lit(1.0))).otherwise(F.lit(0.0))
-    return rows.withColumn("split", F.when(F.row_number().over(order) <= wanted, "valid").otherwise("train"))
+    return order.withColumn("split", F.when(F.col("__place") < wanted, "valid").otherwise("train")).drop("__hash", "__place", "__of")
 
 
-def number_within(rows: DataFrame, by: list[str], order: list[str], digits: int = 5) -> DataFrame:
+def number_within(rows: DataFrame, by: list[str], order: list[str], digits: int = 5, window_rows: int | None = None) -> DataFrame:
     """rows with file_name: the zero-padded running number within each group."""
-    return rows.withColumn("file_name", F.concat(F.lpad(F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("string"), digits, "0"), F.lit(".jpg")))
+    number = F.lpad((F.col("__place") + 1).cast("string"), digits, "0")
+    return placed(rows, by, order, window_rows).withColumn("file_name", F.concat(number, F.lit(".jpg"))).drop("__place", "__of")
 
 
 def contiguous_parts(rows: DataFrame, order: str, parts: int) -> DataFrame:

@@ -669,6 +669,23 @@ def large_cluster_members(spark, d):
     return rows.join(large_clusters(rows, mean), "cluster").select("vec_id", "cluster", "n")
 
 
+@query(
+    with_sql("hist", "members")
+    + f""", h AS (SELECT category * 1000000 + id AS key, hist FROM members),
+    c AS (SELECT row_number() OVER (ORDER BY md5('42:' || key), key) - 1 AS c, hist AS centre FROM h QUALIFY c < 4),
+    a AS (SELECT key, hist, arg_min(c, (d, c)) AS c FROM (SELECT key, h.hist, c, coalesce({bhattacharyya_sql("h.hist", "c.centre")}, 'inf'::DOUBLE) AS d FROM h, c) GROUP BY key, hist)
+    SELECT c::INT AS cluster, k - 1 AS pos, round(avg(hist[k]), 9) AS mean FROM a, unnest(range(1, 9)) AS r(k) GROUP BY c, k"""
+)
+def bhattacharyya_round(spark, d):
+    """One round of k-means under the Bhattacharyya distance, from four fixed histograms."""
+    from pitchgrid.models import clustering
+
+    rows = A.members(spark, d).select((F.col("category") * 1000000 + F.col("id")).alias("key"), "hist")
+    starts = clustering.first_centres(rows, "hist", "key", 4)
+    each = rows.select(clustering.nearest(F.col("hist"), starts, V.bhattacharyya).alias("cluster"), F.posexplode("hist").alias("pos", "v"))
+    return each.groupBy("cluster", F.col("pos").cast("bigint").alias("pos")).agg(F.round(F.avg("v"), 9).alias("mean"))
+
+
 @query(
     with_sql("det")
     + """, b AS (SELECT frame_idx, det_idx, s % 4 AS category, x2 - x1 AS w, y2 - y1 AS h FROM det),
