@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchgrid.functions.vectors import bhattacharyya
-from pitchgrid.models import classifier
 from pitchgrid.models.clustering import Mixture, distance_kmeans, fit_mixture, gaussian_of, log_likelihood
+from pitchgrid.models.kernel_machine import confident, fit_machine
 from pitchgrid.operators.aggregation import class_medians
 from pitchgrid.operators.ranking import farthest_triplet, pair_distances, rarest_class_first
 from pitchgrid.sources.shared import checkpointed
@@ -78,13 +78,13 @@ def large_clusters(found: DataFrame, min_cluster: int) -> DataFrame:
 
 
 def label_players(
-    rows: DataFrame, clusters: int = 10, min_cluster: int = 100, min_likelihood: float = 0.99, min_probability: float = 0.8,
+    rows: DataFrame, clusters: int = 10, min_cluster: int = 100, min_likelihood: float = 0.99, min_probability: float = 0.99,
     gamma: float = 0.1, components: int = 1, distance: str = "bhattacharyya", min_candidate_likelihood: float = 0.99,
 ) -> DataFrame:
     """(id, category, probability): 0 for the referee, 1 and 2 for the teams.
 
-    min_probability is the gate of a regression on approximate kernel features, so it is lower than a kernel machine's.
-    Of the candidates that pass it, those stay whose likelihood under one Gaussian of their class is over
+    min_probability is the gate of a kernel machine whose probabilities are calibrated on rows that it hasn't seen; a class
+    of n grown rows can't pass (n + 1) / (n + 2). Of the candidates that pass it, those stay whose likelihood under one Gaussian of their class is over
     min_candidate_likelihood of the best; 0 or less keeps all with a likelihood.
     """
     found = checkpointed(distance_kmeans(checkpointed(rows.select("id", "hist")), "hist", "id", clusters, distance)[0])
@@ -97,11 +97,9 @@ def label_players(
         raise ValueError("no three clusters span a triangle")
     seeds = [_seed(found.where(F.col("cluster") == corner[c]), min_likelihood) for c in "abc"]
     grown = grow(found.select("id", "hist"), seeds, components)
-    dimension = len(grown.select("hist").first()[0])
-    model = classifier.fit(grown, "hist", "node", classifier.fourier_features(dimension, gamma))
-    guessed = classifier.classify(model, rows.select("id", "hist"), "hist")
-    guessed = guessed.withColumn("old", (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("int"))
-    guessed = checkpointed(guessed.select("id", "hist", "old", F.array_max("probabilities").alias("probability")))
+    machine = fit_machine(grown, "hist", "node", "id", gamma)
+    guessed = confident(rows.select("id", "hist"), machine, "hist", 0.0).withColumnRenamed("category", "old")
+    guessed = checkpointed(guessed.select("id", "hist", "old", "probability"))
     renamed = guessed.join(F.broadcast(rarest_class_first(guessed)), "old")  # three classes
     candidates = renamed.where(F.col("probability") >= min_probability).select("id", "hist", "category", "probability")
     return relative_likelihood_filter(candidates, min_candidate_likelihood)

@@ -758,7 +758,7 @@ def fixpoint_growth(spark, d):
     from pitchgrid.models import labelling
 
     m = A.members(spark, d).withColumn("id", F.col("id") * 10 + F.col("category"))
-    return labelling.label_players(m.select("id", "hist"), clusters=6, min_cluster=20).select("id", "category", F.round("probability", 6).alias("probability"))
+    return labelling.label_players(m.select("id", "hist"), clusters=6, min_cluster=20, min_probability=0.5, min_candidate_likelihood=0.5).select("id", "category", F.round("probability", 6).alias("probability"))
 
 
 @query()

@@ -36,7 +36,7 @@ def test_kmeans_separates(teams):
 
 
 def test_labels_follow_the_teams(teams):
-    out = labelling.label_players(teams.select("id", "hist"), clusters=3, min_cluster=10, min_candidate_likelihood=0.2).join(teams, "id").collect()
+    out = labelling.label_players(teams.select("id", "hist"), clusters=3, min_cluster=10, min_likelihood=0.3, min_probability=0.5, min_candidate_likelihood=0.2).join(teams, "id").collect()
     assert len(out) > 100
     assert {(r.truth == 0) for r in out if r.category == 0} == {True}
     assert len({(r.truth, r.category) for r in out}) == 3
@@ -71,7 +71,7 @@ def test_labels_drop_planted_outliers(spark, teams):
     """A histogram between team and nothing passes the classifier's gate, but not the last filter."""
     odd = spark.createDataFrame([(1000, [0.2, 0.74, 0.03, 0.03]), (1001, [0.02, 0.5, 0.02, 0.46])], "id int, hist array<double>")
     rows = teams.select("id", "hist").unionByName(odd)
-    loose, strict = ({r.id for r in labelling.label_players(rows, clusters=3, min_cluster=10, min_probability=0.5, min_candidate_likelihood=x).collect()} for x in (-1e9, 0.2))
+    loose, strict = ({r.id for r in labelling.label_players(rows, clusters=3, min_cluster=10, min_likelihood=0.3, min_probability=0.5, min_candidate_likelihood=x).collect()} for x in (-1e9, 0.2))
     assert 1000 in loose and not strict & {1000, 1001} and len(strict) > 100
 
 
