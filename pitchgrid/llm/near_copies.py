@@ -56,11 +56,16 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(line[s:e], SEED) for s, e in spans), np.uint64, last).view(np.int64))
 
 
-def prefix_length(n: int, popular: int) -> int:
-    """How many of the first shingles of a set of n, popular of them popular and thus last, find its similar sets."""
+def prefix_length(n: int, popular: int, miss: float | None = MISS) -> int:
+    """How many of the first shingles of a set of n, popular of them popular and thus last, find its similar sets.
+
+    miss is the probability that a pair is missed; with None or 0 the prefix is whole and none is.
+    """
     whole = n - (4 * n + 4) // 5 + 1
+    if not miss:
+        return whole
     apart = n / (5 * (n - popular)) if popular < n else 1.0  # at most so many of the others are not in a similar set
-    return whole if apart >= 1 else min(whole, math.ceil(math.log(MISS) / math.log(apart)))
+    return whole if apart >= 1 else min(whole, math.ceil(math.log(miss) / math.log(apart)))
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -75,7 +80,7 @@ def _popular(texts: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.s for r in many.select("s").collect()], np.int64))
 
 
-def _prints(docs: DataFrame, popular: np.ndarray) -> DataFrame:
+def _prints(docs: DataFrame, popular: np.ndarray, miss: float | None = MISS) -> DataFrame:
     """(doc_id, fp, n, odd, prefix): a digest of the set, its size, parity bitmap and prefix; docs has doc_id, t."""
 
     @F.arrow_udf("struct<fp:binary,n:int,odd:array<bigint>,prefix:array<bigint>>")
@@ -91,7 +96,7 @@ def _prints(docs: DataFrame, popular: np.ndarray) -> DataFrame:
             if n and len(popular):
                 late = popular[np.minimum(np.searchsorted(popular, s), len(popular) - 1)] == s
                 s, n_late = np.concatenate((s[~late], s[late])), int(late.sum())
-            prefixes.append(s[: prefix_length(n, n_late)])
+            prefixes.append(s[: prefix_length(n, n_late, miss)])
         columns = [pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), *[pa.array(x, pa.list_(pa.int64())) for x in (odds, prefixes)]]
         return pa.StructArray.from_arrays(columns, ["fp", "n", "odd", "prefix"])
 
@@ -135,10 +140,13 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return stars.unionAll(_similar(alike(rest.select("u", "v")), docs))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of every row of docs; component_id is the smallest doc_id reachable over links."""
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", miss: float | None = MISS) -> DataFrame:
+    """(doc_id, component_id) of every row of docs; component_id is the smallest doc_id reachable over links.
+
+    With miss=None prefixes are whole: no link is lost, at a fifth of all shingles in the candidate search.
+    """
     texts = in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    prints = materialised(_prints(texts, _popular(texts)))
+    prints = materialised(_prints(texts, _popular(texts), miss))
     same = [F.first(c).alias(c) for c in ("n", "odd", "prefix")]
     nodes = materialised(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), *same))
     return components_of(prints.select("doc_id", "fp"), nodes.select("fp", "rep"), links(nodes, texts)).select("doc_id", "component_id")

@@ -56,6 +56,13 @@ def test_every_similar_pair_is_linked(spark, monkeypatch, sample):
     assert got == brute(rows)
 
 
+def test_exact_prefixes(spark):
+    assert N.prefix_length(1000, 0, None) == N.prefix_length(1000, 0, 0) == 201 > N.prefix_length(1000, 0)
+    rows = list(enumerate(edited(12)))
+    got = {r.doc_id: r.component_id for r in N.near_copies(spark.createDataFrame(rows, SCHEMA), miss=None).collect()}
+    assert got == brute(rows)
+
+
 def test_driver_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: r.component_id for r in N.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
