@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from pitchgrid.llm.components import connected_components
 from pitchgrid.llm.near_copies import BUCKETS, shingles
-from pitchgrid.llm.simhash import MAX_BROADCAST_ROWS, components_of
+from pitchgrid.llm.simhash import MAX_BROADCAST_ROWS
 from pitchgrid.llm.storage import discard, in_small_batches, materialised
 
 SHINGLE, ROWS, BANDS = 4, 5, 64
@@ -163,6 +163,14 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return linked.unionAll(_confirmed(rest, docs))
 
 
+def _node_components(filled: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """(fp, component_id) of every node, over linked(u, v) and rows of filled(doc_id, fp) with one id and several sets."""
+    several = filled.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id")
+    one_id = filled.join(several, "doc_id").join(nodes.select("fp", "rep"), "fp").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    parts = connected_components(linked.unionAll(one_id))
+    return nodes.join(parts, nodes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+
+
 def minhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs: the smallest doc_id reachable over links, and whether it is the row's own."""
     texts = in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
@@ -170,8 +178,7 @@ def minhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = [F.first(c).alias(c) for c in ("n", "odd", "keys")]
     nodes = materialised(prints.where("doc_id is not null and fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), *same))
     filled = prints.where("fp is not null").select("doc_id", "fp", "n")
-    found = components_of(filled.select("doc_id", "fp"), nodes.select("fp", "rep"), links(nodes, texts)).select("fp", "component_id").where("component_id is not null").distinct()
-    out = filled.join(found, "fp", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    out = filled.join(_node_components(filled, nodes, links(nodes, texts)), "fp", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     out = out.unionAll(prints.where("fp is null").select("doc_id", "n", "doc_id"))
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
