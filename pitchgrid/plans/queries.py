@@ -224,10 +224,15 @@ def repaired_index_map(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), ranking.repaired_flow_index(F.col("o_orderkey"), F.lit(3200), F.lit(200000)).alias("flow_idx"))
 
 
-@query("WITH g AS (SELECT k, CAST(ceil(k * 14999 / 539::DOUBLE) AS BIGINT) AS frame_idx FROM range(540) r(k)) SELECT k, frame_idx, o_custkey FROM g JOIN orders ON o_orderkey = frame_idx")
+@query(
+    """WITH n AS (SELECT max(o_orderkey) + 1 AS n FROM orders), g AS (SELECT k, CAST(ceil(k * (n - 1) / 539::DOUBLE) AS BIGINT) AS frame_idx FROM range(540) r(k), n)
+    SELECT k, frame_idx, o_custkey FROM g JOIN orders ON o_orderkey = frame_idx"""
+)
 def sampling_grid(spark, d):
-    grid = spark.range(540).select(F.col("id").alias("k"), ranking.sampling_index(F.col("id"), F.lit(15000), 540).alias("frame_idx"))
+    """540 frames spread evenly over all, whose number is that of the last order."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("frame_idx"), "o_custkey")
+    frames = orders.agg((F.max("frame_idx") + 1).alias("n"))
+    grid = spark.range(540).crossJoin(F.broadcast(frames)).select(F.col("id").alias("k"), ranking.sampling_index(F.col("id"), F.col("n"), 540).alias("frame_idx"))
     return F.broadcast(grid).join(orders, "frame_idx").select("k", "frame_idx", "o_custkey")  # 540 rows
 
 
