@@ -59,7 +59,7 @@ def _written(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
 
 _FLOW = """fl AS (
   SELECT vec_id % 7 AS m, vec_id // 7 % 2 + 1 AS h, vec_id // 14 AS i, k % 8 AS x, k // 8 AS y,
-    (greatest(0, least(255, floor(128 + 100 * embedding[k + 1]::DOUBLE))) - 128) / 127.999E0 AS u, (greatest(0, least(255, floor(128 + 100 * embedding[64 - k]::DOUBLE))) - 128) / 127.999E0 AS v
+    greatest(0, least(255, floor(128 + 100 * embedding[k + 1]::DOUBLE))) - 128 AS bu, greatest(0, least(255, floor(128 + 100 * embedding[64 - k]::DOUBLE))) - 128 AS bv
   FROM embeddings, range(64) r(k) WHERE len(embedding) = 64),
 n AS (SELECT m, h, count(DISTINCT i) AS n_flow, count(DISTINCT i) FILTER (i % 2 = 0) AS n_frames FROM fl GROUP BY m, h),
 fr AS (SELECT m, h, f, ceil(n_flow * (f + 1) / n_frames::DOUBLE)::BIGINT - 1 AS i FROM n, unnest(range(n_frames)) r(f))"""
@@ -69,7 +69,7 @@ _ORIENT = "CASE WHEN count(*) = 0 THEN 0 ELSE sum(u * u + v * v) / count(*) END
 
 @query(
     f"""WITH {_FLOW}
-    SELECT 'm' || m AS match, h::INT AS half, y::INT AS y, x::INT AS x, round(avg(abs(u)), 9) AS u, round(avg(abs(v)), 9) AS v FROM fr JOIN fl USING (m, h, i) GROUP BY m, h, y, x"""
+    SELECT 'm' || m AS match, h::INT AS half, y::INT AS y, x::INT AS x, round(avg(abs(bu)) / 127.999E0, 9) AS u, round(avg(abs(bv)) / 127.999E0, 9) AS v FROM fr JOIN fl USING (m, h, i) GROUP BY m, h, y, x"""
 )
 def mean_flow_of_files(spark, d):
     """Both series of flow pictures are listed, paired with frames by the looked-up counts, opened and averaged."""
@@ -84,12 +84,12 @@ def mean_flow_of_files(spark, d):
 
 @query(
     f"""WITH {_FLOW},
-    px AS (SELECT m, h, f, u, v, x BETWEEN f % 3 AND f % 3 + 2 AND y BETWEEN f % 2 AND f % 2 + 1 AS first, x BETWEEN 2 + f % 4 AND 4 + f % 4 AND y BETWEEN 4 AND 6 AS second, x < 6 AS green
+    px AS (SELECT m, h, f, (bu::FLOAT / 127.999::FLOAT)::DOUBLE AS u, (bv::FLOAT / 127.999::FLOAT)::DOUBLE AS v, x BETWEEN f % 3 AND f % 3 + 2 AND y BETWEEN f % 2 AND f % 2 + 1 AS first, x BETWEEN 2 + f % 4 AND 4 + f % 4 AND y BETWEEN 4 AND 6 AS second, x < 6 AS green
       FROM fr JOIN fl USING (m, h, i) WHERE f % 5 <> 4),
     g AS (SELECT m, h, f, {_ORIENT.format("u", "cos")} AS gx, {_ORIENT.format("v", "sin")} AS gy FROM px WHERE green AND NOT first GROUP BY m, h, f),
     p AS (SELECT m, h, f, person_idx, {_ORIENT.format("u", "cos")} AS px, {_ORIENT.format("v", "sin")} AS py
       FROM (SELECT *, 0 AS person_idx FROM px WHERE first UNION ALL SELECT *, 1 FROM px WHERE second) GROUP BY m, h, f, person_idx)
-    SELECT 'm' || m AS match, h::INT AS half, f::INT AS frame_idx, person_idx, round(px - gx, 6) AS vx, round(py - gy, 6) AS vy, round(gx, 6) AS field_vx, round(gy, 6) AS field_vy FROM p JOIN g USING (m, h, f)"""
+    SELECT 'm' || m AS match, h::INT AS half, f::INT AS frame_idx, person_idx, round(px - gx, 6) + 0E0 AS vx, round(py - gy, 6) + 0E0 AS vy, round(gx, 6) + 0E0 AS field_vx, round(gy, 6) + 0E0 AS field_vy FROM p JOIN g USING (m, h, f)"""
 )
 def velocity_of_files(spark, d):
     """Velocities of two people a frame from pictures: the first one's outline is cut out of the field, the second one has none."""
@@ -108,7 +108,7 @@ def velocity_of_files(spark, d):
     frames = vectors.where("i % 2 = 0").selectExpr("match", "half", "cast(i div 2 as int) as frame_idx").where("frame_idx % 5 <> 4")
     each = frames.select("match", "half", "frame_idx", F.explode(F.array(*people)).alias("p")).select("match", "half", "frame_idx", "p.*")
     out = half_velocities(each, listing, counts, frame_counts(listing), VelocityConfig(opening_size=1), with_overlays=False)
-    return out.select("match", "half", "frame_idx", "person_idx", *[F.round(c, 6).alias(c) for c in ("vx", "vy", "field_vx", "field_vy")])
+    return out.select("match", "half", "frame_idx", "person_idx", *[(F.round(c, 6) + 0.0).alias(c) for c in ("vx", "vy", "field_vx", "field_vy")])  # no negative zero
 
 
 @query(
