@@ -1,7 +1,8 @@
 """Re-alignment of detection frames to video frames by a sequential window search.
 
-The search carries a window from one detection frame to the next, so a video's half is one group; halves run in parallel. Boxes
-of a half are a few per frame: the group is bounded by the video's length.
+The search carries a window from one detection frame to the next. Only that is done in order: all scores are computed ahead by
+Spark, for a band of video frames around the place where each detection frame is expected. A fold then walks the scores of a
+half until its window leaves the bands, and the next round lays bands around the place that it reached.
 """
 
 from __future__ import annotations
@@ -14,25 +15,57 @@ from math import ceil
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pitchgrid.functions.geometry import iou
+from pitchgrid.sources.shared import checkpointed
+
 GOOD_ENOUGH, MAX_WIDENINGS, NO_DETECTIONS, ONE_EMPTY = 0.5, 30, 3.0, -1.0
 
+#: Half steps that a band reaches beyond the expected window on each side, in the first round.
+MARGIN = 4
+#: A round asks for as many frames of a half as their bands hold so many scores for each video frame, and for one at least.
+BUDGET = 64
+#: Video frames in a tile; bands meet the frames of the tiles that they touch.
+TILE = 64
+#: Each level's bands reach four times as far as those of the level before.
+MAX_LEVEL = 12
+
+_STATE = "half_id string, n bigint, m bigint, at bigint, low bigint, high bigint, level int"
+
+
+def boxes_by_frame(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, half_id, frame_idx, boxes) of every frame from 0 on; boxes with a null edge are left out, their frames stay.
 
-def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """IoU of every box of a with every box of b, edges inclusive."""
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    shared = np.clip(high - low + 1, 0, None).prod(axis=2)
-    size = lambda x: (x[:, 2:] - x[:, :2] + 1).prod(axis=1)
-    return shared / (size(a)[:, None] + size(b)[None, :] - shared)
+    half_id names the values of keys and isn't null where they are.
+    """
+    whole = F.col("bbox").isNotNull()
+    for edge in ("x1", "y1", "x2", "y2"):
+        whole = whole & F.col(f"bbox.{edge}").isNotNull()
+    named = rows.select(*keys, F.to_json(F.struct(*keys)).alias("half_id"), F.col("frame_idx").cast("bigint").alias("frame_idx"), F.when(whole, F.col("bbox")).alias("bbox"))
+    return named.where("frame_idx >= 0").groupBy(*keys, "half_id", "frame_idx").agg(F.collect_list("bbox").alias("boxes"))
 
 
-def mean_best_overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Mean of the best overlaps of the side with fewer boxes."""
-    if not len(a) or not len(b):
-        return ONE_EMPTY
-    m = overlaps(a, b)
-    return float(m.max(axis=1).mean() if len(a) <= len(b) else m.max(axis=0).mean())
+def band_scores(bands: DataFrame, video: DataFrame) -> DataFrame:
+    """(half_id, frame_idx, video_idx, score) of each band's frame with the video frames that have boxes.
+
+    The score is the mean of the best overlaps of the side with fewer boxes (the band's, if equal); it has 9 digits, so that the
+    order of addition is no matter. A box with an empty union overlaps by 0.
+
+    bands has half_id, frame_idx, boxes, first and beyond (exclusive). The join is by the half and a tile of video frames, so
+    neither a long half nor a busy one meets in one task.
+    """
+    pair = ["half_id", "tile", "frame_idx", "video_idx"]
+    left = bands.where("first < beyond").withColumn("tile", F.explode(F.expr(f"sequence(first div {TILE}, (beyond - 1) div {TILE})")))
+    right = video.select("half_id", F.expr(f"frame_idx div {TILE}").alias("tile"), F.col("frame_idx").alias("video_idx"), F.col("boxes").alias("others"))
+    # scoring costs far more than a row's bytes, so partitions must not be merged by size; both groupings keep the join's
+    parts = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = left.repartition(parts, "half_id", "tile").join(right, ["half_id", "tile"]).where("video_idx >= first and video_idx < beyond")
+    fewer = F.size("boxes") <= F.size("others")
+    chosen = pairs.select(*pair, F.posexplode(F.when(fewer, F.col("boxes")).otherwise(F.col("others"))).alias("i", "a"), F.when(fewer, F.col("others")).otherwise(F.col("boxes")).alias("others"))
+    best = chosen.select(*pair, "i", "a", F.explode("others").alias("b")).groupBy(*pair, "i").agg(F.max(F.coalesce(iou(F.col("a"), F.col("b")), F.lit(0.0))).alias("best"))
+    return best.groupBy(*pair).agg(F.round(F.avg("best"), 9).alias("score")).drop("tile")
 
 
 @dataclass
@@ -69,34 +102,119 @@ class Search:
         return self.low + self.step // 2, NO_DETECTIONS
 
 
-def search(detected: list[np.ndarray], video: list[np.ndarray]) -> list[tuple[int, float]]:
-    """(video frame, mean overlap) for each detection frame; frame -1 if none could be tested."""
-    step = 2 * len(video) // max(len(detected), 1)
-    window = Search(len(video), step, 0, min(step, len(video)))
-    return [window.advance(lambda i, boxes=boxes: mean_best_overlap(boxes, video[i])) if len(boxes) else window.skip() for boxes in detected]
-
-
-def _frames(rows: pd.DataFrame, n: int) -> list[np.ndarray]:
-    boxes = [np.empty((0, 4))] * n
-    for i, g in rows.groupby("frame_idx"):
-        if 0 <= i < n:
-            boxes[int(i)] = g.sort_values(["x1", "y1", "x2", "y2"])[["x1", "y1", "x2", "y2"]].to_numpy(float)
-    return boxes
+class Unknown(Exception):
+    """A score outside the band was asked for."""
+
+
+def _score(band) -> Callable[[int], float]:
+    """Look-up of a frame's scores; a video frame within the band but without a score has no boxes."""
+    known = {} if band.video is None else dict(zip(band.video, band.scores, strict=True))
+
+    def score(i: int) -> float:
+        if not band.first <= i < band.beyond:
+            raise Unknown
+        return known.get(i, ONE_EMPTY)
+
+    return score
+
+
+def _fold(states: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """A half's next state, and (frame, overlap) of the frames settled on the way."""
+    s = states.iloc[0]
+    n, m, at, level = (int(s[c]) for c in ("n", "m", "at", "level"))
+    bands = {b.frame_idx: b for b in rows.itertuples()}
+    window = Search(m, 2 * m // n, int(s["low"]), int(s["high"]))
+    asked, found = int(s["asked"]), []
+    for frame in range(at, at + asked):
+        low, high = window.low, window.high
+        try:
+            found.append(window.advance(_score(bands[frame])) if frame in bands else window.skip())
+        except Unknown:
+            window.low, window.high = low, high
+            break
+    if len(found) < asked / 2:
+        level = min(level + 1, MAX_LEVEL)
+    elif len(found) == asked:
+        level = max(level - 1, 0)
+    row = (s["half_id"], n, m, at + len(found), window.low, window.high, level, at, [f for f, _ in found], [b for _, b in found])
+    return pd.DataFrame([row], columns=["half_id", "n", "m", "at", "low", "high", "level", "since", "frames", "scores"])
+
+
+def _rounds(states: DataFrame) -> DataFrame:
+    """states with half_step, margin (video frames beyond the window) and asked, the frames that this round asks for."""
+    out = states.withColumn("half_step", F.expr("2 * m div n div 2"))
+    out = out.withColumn("margin", F.expr(f"least(half_step * {MARGIN} * shiftleft(1L, 2 * level), m)"))
+    width = "least(2 * margin + 2 * half_step + 1, m + 1)"
+    return out.withColumn("asked", F.expr(f"least(greatest({BUDGET} * m div {width}, 1L), n - at)"))
+
+
+def _with_gaps(detected: DataFrame) -> DataFrame:
+    """(half_id, frame_idx, boxes, missed) of the frames with boxes; missed counts the frames without any right before. Only numbers are sorted by half."""
+    some = detected.where(F.size("boxes") > 0).select("half_id", "frame_idx", "boxes")
+    before = F.lag("frame_idx", 1, -1).over(W.partitionBy("half_id").orderBy("frame_idx"))
+    gaps = some.select("half_id", "frame_idx", (F.col("frame_idx") - before - 1).alias("missed"))
+    return some.join(gaps, ["half_id", "frame_idx"])
+
+
+def _bands(rounds: DataFrame, detected: DataFrame) -> DataFrame:
+    """Bands of the frames that are asked for in this round, with the bounds (least, most) of what a search can reach at all."""
+    frames = rounds.withColumn("frame_idx", F.explode(F.expr("sequence(at, at + asked - 1)")))
+    low = F.col("low") + F.expr("(frame_idx - at) * m div n")
+    # a window that has passed frames without detections has stayed behind and reaches further
+    missed = F.least(F.col("missed"), F.col("frame_idx") - F.col("at"))
+    low = low - F.when(missed > 0, F.expr("missed * m div n + 1")).otherwise(0)
+    wide = F.col("high") - F.col("low")
+    usual = F.when(missed > 0, F.expr("10 * (2 * m div n)")).otherwise(2 * F.col("half_step"))
+    high = low + F.when(F.col("frame_idx") == F.col("at"), wide).otherwise(F.greatest(wide, usual))
+    inside = lambda c: F.least(F.greatest(c, F.lit(0)), F.col("m"))
+    bounds = {}
+    for names, by in ((("first", "beyond"), F.col("margin")), (("least", "most"), F.col("margin") + MAX_WIDENINGS * F.col("half_step"))):
+        bounds |= dict(zip(names, (inside(low - by), inside(high + by)), strict=True))
+    joined = frames.join(detected, ["half_id", "frame_idx"]).withColumn("missed", missed)
+    return joined.withColumns(bounds).select("half_id", "frame_idx", "boxes", *bounds)
+
+
+def _known(bands: DataFrame, video: DataFrame) -> DataFrame:
+    """Scores of all bands; a frame with nothing good enough in its band gets all that a search could reach."""
+    marks = lambda b: b.select("half_id", "frame_idx", "first", "beyond")
+    near = checkpointed(band_scores(bands, video))
+    good = near.groupBy("half_id", "frame_idx").agg(F.max("score").alias("best")).where(F.col("best") >= GOOD_ENOUGH)
+    poor = bands.join(good, ["half_id", "frame_idx"], "left_anti").withColumns({"first": F.col("least"), "beyond": F.col("most")})
+    fine = bands.join(good, ["half_id", "frame_idx"], "left_semi")
+    scores = near.join(good, ["half_id", "frame_idx"], "left_semi").unionByName(band_scores(poor, video))
+    lists = scores.groupBy("half_id", "frame_idx").agg(F.collect_list(F.struct("video_idx", "score")).alias("s"))
+    lists = lists.select("half_id", "frame_idx", F.col("s.video_idx").alias("video"), F.col("s.score").alias("scores"))
+    return marks(fine).unionByName(marks(poor)).join(lists, ["half_id", "frame_idx"], "left")
 
 
 def align(detections: DataFrame, segmentation: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, frame_idx, all_frame_idx, mean_iou); both inputs have keys, frame_idx and bbox. Frames are dense from 0."""
-    flat = lambda df: df.select(*keys, F.col("frame_idx").cast("bigint").alias("frame_idx"), "bbox.*")
-    left, right = flat(detections), flat(segmentation)
-    schema = ", ".join(f"{k} {left.schema[k].dataType.simpleString()}" for k in keys) + ", frame_idx bigint, all_frame_idx int, mean_iou double"
-
-    def run(d: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if d.empty:
-            return pd.DataFrame({**{k: s[k].iloc[:0] for k in keys}, "frame_idx": [], "all_frame_idx": [], "mean_iou": []})
-        n = int(d["frame_idx"].max()) + 1
-        found = search(_frames(d, n), _frames(s, int(s["frame_idx"].max()) + 1 if len(s) else 0))
-        out = pd.DataFrame(found, columns=["all_frame_idx", "mean_iou"])
-        out["mean_iou"] = out["mean_iou"].replace(-np.inf, ONE_EMPTY).round(6)
-        return out.assign(frame_idx=range(n), **{k: d[k].iloc[0] for k in keys})[[*keys, "frame_idx", "all_frame_idx", "mean_iou"]]
-
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    """(keys, frame_idx, all_frame_idx, mean_iou) of every detection frame from 0 to the half's last; both inputs have keys, frame_idx and bbox.
+
+    Frame -1 with an overlap of -1 if no video frame could be tested. A task of the fold holds numbers only, of one half:
+    (detection frame, video frame, score), ten half steps per frame at first and BUDGET per video frame where no frame's band is
+    poor. Frames before 0 or without a number are left out; boxes with a null edge count as none; null keys are a half of their own.
+
+    Rounds end when every half is through: most halves need one if frames are spread evenly, and each round settles a frame
+    of each open half at least, since the first frame's band has its window in the middle and reaches as far as a search.
+    """
+    detected, video = (checkpointed(boxes_by_frame(df, keys)) for df in (detections, segmentation))
+    halves = detected.groupBy(*keys, "half_id").agg((F.max("frame_idx") + 1).alias("n"))
+    sizes = video.groupBy("half_id").agg((F.max("frame_idx") + 1).alias("m"))
+    start = halves.join(sizes, "half_id", "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    start = start.selectExpr("half_id", "n", "m", "0L as at", "0L as low", "least(2 * m div n, m) as high", "0 as level")
+    people = checkpointed(_with_gaps(detected))
+    states, done = checkpointed(start), None
+    while not states.isEmpty():
+        rounds = _rounds(states)
+        bands = checkpointed(_bands(rounds, people))
+        rows = _known(bands, video).withColumnRenamed("half_id", "half")
+        folded = rounds.groupBy("half_id").cogroup(rows.groupBy("half")).applyInPandas(_fold, f"{_STATE}, since bigint, frames array<bigint>, scores array<double>")
+        folded = checkpointed(folded)
+        settled = folded.select("half_id", "since", F.posexplode(F.arrays_zip("frames", "scores")).alias("i", "found"))
+        done = settled if done is None else done.unionByName(settled)
+        states = folded.where("at < n").drop("since", "frames", "scores")
+    names = halves.select(*keys, "half_id")
+    if done is None:
+        return names.selectExpr(*keys, "0L as frame_idx", "0 as all_frame_idx", "0D as mean_iou").where("false")
+    score = F.when(F.col("found.scores") == float("-inf"), ONE_EMPTY).otherwise(F.round("found.scores", 6))
+    return done.join(names, "half_id").select(*keys, (F.col("since") + F.col("i")).alias("frame_idx"), F.col("found.frames").cast("int").alias("all_frame_idx"), score.alias("mean_iou"))

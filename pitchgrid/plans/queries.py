@@ -740,7 +740,7 @@ def hsv_colours(spark, d):
     return table(spark, d, "part").select("p_partkey", hsv(*pixel).alias("c")).select("p_partkey", "c.*")
 
 
-# learned models and sequential alignment: no SQL; tests hold their invariants
+# sequential alignment, and learned models without SQL, whose invariants are tested
 
 
 @query()
@@ -766,15 +766,63 @@ def fixpoint_growth(spark, d):
     return labelling.label_players(m.select("id", "hist"), clusters=6, min_cluster=20, min_probability=0.5, min_candidate_likelihood=0.5).select("id", "category", F.round("probability", 6).alias("probability"))
 
 
-@query()
+# 100 orders stand for one video; each of its frames is shown twice. All pairs' overlaps, then the mean of the smaller side's best
+_WINDOW_SCORES = """, d AS (SELECT frame_idx // 100 AS match, frame_idx % 100 AS f, det_idx AS i, x1, y1, x2, y2, count(*) OVER (PARTITION BY frame_idx) AS n_d FROM det),
+    s AS (SELECT frame_idx // 100 AS match, frame_idx % 100 * 2 AS v, seg_idx AS j, x1, y1, x2, y2, count(*) OVER (PARTITION BY frame_idx) AS n_s FROM seg),
+    size AS (SELECT match, n, coalesce(m, 0) AS m, coalesce(2 * m // n, 0) AS step FROM (SELECT match, max(f) + 1 AS n FROM d GROUP BY match) LEFT JOIN (SELECT match, max(v) + 1 AS m FROM s GROUP BY match) USING (match)),
+    sides AS (SELECT d.match, d.f, s.v, d.i, s.j, n_d, n_s, greatest(0, least(d.x2, s.x2) - greatest(d.x1, s.x1) + 1) * greatest(0, least(d.y2, s.y2) - greatest(d.y1, s.y1) + 1) AS shared,
+      (d.x2 - d.x1 + 1) * (d.y2 - d.y1 + 1) + (s.x2 - s.x1 + 1) * (s.y2 - s.y1 + 1) AS total FROM d JOIN s USING (match) {0}),
+    chosen AS (SELECT match, f, v, CASE WHEN n_d <= n_s THEN i ELSE j END AS c, max(shared::DOUBLE / (total - shared)) AS o FROM sides GROUP BY ALL),
+    scores AS MATERIALIZED (SELECT match, f, v, round(avg(o), 9) AS score FROM chosen GROUP BY ALL)"""
+
+
+def _videos(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    match = F.expr("frame_idx div 100").alias("match")
+    det = A.detections(spark, d).select(match, (F.col("frame_idx") % 100).alias("frame_idx"), "bbox")
+    return det, A.segmentation(spark, d).select(match, (F.col("frame_idx") % 100 * 2).alias("frame_idx"), "bbox")
+
+
+@query(
+    with_sql("det", "seg")
+    + _WINDOW_SCORES.format("JOIN size z USING (match) WHERE s.v BETWEEN f * m // n - z.step AND f * m // n + z.step - 1")
+    + "SELECT match, f AS frame_idx, v AS video_idx, score FROM scores"
+)
+def window_band_scores(spark, d):
+    """Scores of each detection frame with the video frames within a step of the expected place."""
+    from pitchgrid.operators import alignment
+
+    detected, video = (alignment.boxes_by_frame(rows, ["match"]) for rows in _videos(spark, d))
+    size = [rows.groupBy("half_id").agg((F.max("frame_idx") + 1).alias(n)) for rows, n in ((detected, "n"), (video, "m"))]
+    at = F.expr("frame_idx * m div n")
+    bands = detected.join(size[0].join(size[1], "half_id"), "half_id").withColumn("step", F.expr("2 * m div n"))
+    bands = bands.withColumns({"first": F.greatest(at - F.col("step"), F.lit(0)), "beyond": F.least(at + F.col("step"), F.col("m"))})
+    scores = alignment.band_scores(bands.select("half_id", "frame_idx", "boxes", "first", "beyond"), video)
+    return scores.select(F.get_json_object("half_id", "$.match").cast("bigint").alias("match"), "frame_idx", "video_idx", "score")
+
+
+@query(
+    with_sql("det", "seg").replace("WITH ", "WITH RECURSIVE ", 1)
+    + _WINDOW_SCORES.format("")
+    + """, people AS (SELECT DISTINCT match, f FROM d),
+    walk AS (SELECT match, -1::BIGINT AS f, n, m, step, 0::BIGINT AS low, least(step, m)::BIGINT AS high, 0::BIGINT AS found, 0::DOUBLE AS best FROM size
+      UNION ALL SELECT match, f + 1, n, m, step,
+        CASE WHEN v IS NULL THEN low ELSE greatest(v + step // 4, 0) END, CASE WHEN v IS NULL THEN least(low + 10 * step, m) ELSE least(v + ceil(4 * step / 5E0)::BIGINT, m) END,
+        coalesce(v, low + step // 2), CASE WHEN v IS NULL THEN 3E0 ELSE score END
+      FROM (SELECT w.*, CASE WHEN p.f IS NULL THEN NULL ELSE coalesce(c.v, -1) END AS v, CASE WHEN c.v IS NULL THEN -1E0 ELSE coalesce(x.score, -1E0) END AS score,
+          row_number() OVER (PARTITION BY w.match ORDER BY
+            CASE WHEN coalesce(x.score, -1E0) >= 0.5E0 THEN c.ring ELSE 1000 END, coalesce(x.score, -1E0) DESC, c.ring, c.v) AS place
+        FROM walk w LEFT JOIN people p ON p.match = w.match AND p.f = w.f + 1
+        LEFT JOIN (SELECT match, v, low, high, CASE WHEN v >= low AND v < high THEN 0 WHEN v < low THEN ceil((low - v) / (step // 2)::DOUBLE) ELSE ceil((v - high + 1) / (step // 2)::DOUBLE) END AS ring
+          FROM (SELECT w.match, w.low, w.high, w.step, unnest(range(greatest(w.low - 29 * (w.step // 2), 0), least(w.high + 29 * (w.step // 2), w.m))) AS v FROM walk w WHERE w.low < w.high)) c
+          ON c.match = w.match AND p.f IS NOT NULL
+        LEFT JOIN scores x ON x.match = w.match AND x.f = w.f + 1 AND x.v = c.v
+        WHERE w.f + 1 < w.n) WHERE place = 1)
+    SELECT match, f AS frame_idx, found::INT AS all_frame_idx, round(best, 6) AS mean_iou FROM walk WHERE f >= 0"""
+)
 def align_windows(spark, d):
     from pitchgrid.operators.alignment import align
 
-    # 100 orders stand for one video; each of its frames is shown twice
-    match = F.floor(F.col("frame_idx") / 100).alias("match")
-    det = A.detections(spark, d).select(match, (F.col("frame_idx") % 100).alias("frame_idx"), "bbox")
-    seg = A.segmentation(spark, d).select(match, (F.col("frame_idx") % 100 * 2).alias("frame_idx"), "bbox")
-    return align(det, seg, ["match"])
+    return align(*_videos(spark, d), ["match"])
 
 
 @query()
