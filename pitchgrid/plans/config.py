@@ -41,6 +41,7 @@ class TrainingConfig:
     classes: int = 5
     max_epochs: int = 100
     batch_size: int = 96
+    max_steps: int = 100
     learning_rate: float = 0.001
     patience: int = 7
     seed: int = 42

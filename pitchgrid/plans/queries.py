@@ -13,7 +13,9 @@ from pitchgrid.adapters import bhattacharyya_sql, table, with_sql
 from pitchgrid.functions import geometry as G
 from pitchgrid.functions import vectors as V
 from pitchgrid.operators import aggregation, matching, ranking, selection
+from pitchgrid.plans.config import TrainingConfig
 from pitchgrid.plans.registry import ORACLES, QUERIES, query
+from pitchgrid.sources.shared import checkpointed, new_path
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     left = A.detections(spark, d).select("frame_idx", F.col("det_idx").alias("l"), F.col("bbox").alias("lbox"))
@@ -825,6 +827,30 @@ def align_windows(spark, d):
     return align(*_videos(spark, d), ["match"])
 
 
+@query(
+    """WITH r AS (SELECT label AS y, p, embedding[p + 1]::DOUBLE AS x FROM embeddings, range(64) t(p) WHERE len(embedding) = 64 UNION ALL SELECT label, 64, 1 FROM embeddings WHERE len(embedding) = 64)
+    SELECT (c * 65 + p)::INT AS place, round(sum((0.1E0 - (y = c)::INT) * x), 6) + 0E0 AS total FROM r, range(10) k(c) GROUP BY c, p"""
+)
+def epoch_gradient(spark, d):
+    """The summed gradient of the first step of training, from weights of zero."""
+    from pitchgrid.models.epochs import summed_gradient
+
+    sums = summed_gradient(table(spark, d, "embeddings"), "embedding", "label", np.zeros((10, 65))).where("place < 650")
+    return sums.select("place", (F.round("total", 6) + 0.0).alias("total"))
+
+
+@query()
+def epoch_training(spark, d):
+    """Losses of three epochs over a stratified split of all vectors."""
+    from pitchgrid.models.epochs import train_epochs
+
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("category"), F.col("embedding").cast("array<double>").alias("hist"))
+    parts = checkpointed(ranking.stratified_split(rows, "category", "vec_id", 0.2))
+    config = TrainingConfig(classes=10, max_epochs=3, max_steps=4, learning_rate=0.01)
+    states = train_epochs(parts.where("split = 'train'"), parts.where("split = 'valid'"), "hist", "category", "vec_id", 64, config, new_path(spark, "states"))
+    return states.select("epoch", *[F.round(c, 6).alias(c) for c in ("train_loss", "valid_loss", "accuracy")], "learning_rate")
+
+
 @query()
 def team_classifier(spark, d):
     from pitchgrid.models import classifier

@@ -34,6 +34,6 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(df.collect(), df.columns) == rows(sql.fetchall(), columns)
 
 
-@pytest.mark.parametrize("name", ["kmeans_assign", "gmm_size_filter", "align_windows", "team_classifier"])
+@pytest.mark.parametrize("name", ["kmeans_assign", "gmm_size_filter", "team_classifier", "epoch_training"])
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
