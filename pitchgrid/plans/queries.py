@@ -742,6 +742,26 @@ def hsv_colours(spark, d):
     return table(spark, d, "part").select("p_partkey", hsv(*pixel).alias("c")).select("p_partkey", "c.*")
 
 
+@query(
+    """SELECT 'm' || o_custkey % 50 AS match, (1 + o_custkey % 2)::INT AS half, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, min(CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 2 END)::INT AS first_run
+    FROM (SELECT * REPLACE (o_custkey % 50 AS o_custkey) FROM orders) GROUP BY ALL"""
+)
+def published_stage(spark, d):
+    """A stage in three runs: one is lost before it publishes, one does a third of the halves, the last one does the rest."""
+    from pitchgrid.sources import manifest
+
+    root = new_path(spark, "stages")
+    match = F.col("o_custkey") % 50
+    orders = table(spark, d, "orders").select(F.concat(F.lit("m"), match.cast("string")).alias("match"), (1 + match % 2).cast("int").alias("half"), F.col("o_orderkey").cast("bigint").alias("k"), (match % 3).alias("third"))
+    work = orders.select("match", "half", "third").distinct()
+    rows = lambda left, run: orders.join(left.select("match", "half"), ["match", "half"]).select("match", "half", "k", F.lit(run).alias("run"))
+    manifest.write_version(rows(work, 0), root, "people")
+    manifest.run_stage(work.where("third = 0"), root, "people", lambda left: rows(left, 1))
+    manifest.run_stage(work, root, "people", lambda left: rows(left, 2))
+    out = manifest.read_published(spark, root, "people", "k bigint, run int")
+    return out.groupBy("match", "half").agg(F.count("*").alias("n"), F.sum("k").alias("keys"), F.min("run").alias("first_run"))
+
+
 # sequential alignment, and learned models without SQL, whose invariants are tested
 
 
