@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchgrid.adapters import table
+from pitchgrid.functions.augment import BITS, ONE, Recipe, resize_weights
 from pitchgrid.functions.pictures import png
 from pitchgrid.operators.grid import connected_parts, gaussian_smooth, gaussian_weights
 from pitchgrid.plans.config import VelocityConfig
 from pitchgrid.plans.registry import query
 from pitchgrid.schema import BOX, POLYGONS
+from pitchgrid.sources.labelled_pictures import evaluation_pictures, list_labelled, training_pictures, write_labelled
 from pitchgrid.sources.pictures import frame_counts, list_pictures, with_flow, write_pictures
 from pitchgrid.sources.readers import read_flow_counts
 from pitchgrid.sources.shared import new_path
@@ -141,3 +143,63 @@ def smoothed_grid(spark, d):
     cells = each.groupBy("g", F.expr("cast(p div 8 as int)").alias("y"), F.expr("cast(p % 8 as int)").alias("x")).agg(F.avg(F.abs(F.col("e").cast("double"))).alias("v"))
     smooth = gaussian_smooth(cells.withColumns({"height": F.lit(8), "width": F.lit(8)}), ["g"], ["v"], 1.0)
     return smooth.select("g", "y", "x", F.round("v", 9).alias("v"))
+
+
+# labelled pictures: a vector's numbers are the 8 by 8 pixels of a picture in the folder of its label, green backwards, blue a mixture
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        e = np.array(batch["embedding"].to_pylist(), np.float32)
+        red, green = _bytes(e), _bytes(e[:, ::-1])
+        images = np.stack([red, green, (red // 2 + green // 4)], axis=-1)
+        rows = [{"label": f"class-{r['label']}", "name": f"{r['vec_id']}.png", "data": png(x)} for r, x in zip(batch.select(["vec_id", "label"]).to_pylist(), images, strict=True)]
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("label", pa.string()), ("name", pa.string()), ("data", pa.binary())]))
+
+
+def _listed(spark: SparkSession, d: str) -> DataFrame:
+    root = new_path(spark, "labelled")
+    vectors = table(spark, d, "embeddings").where("size(embedding) = 64").select("vec_id", "label", "embedding")
+    write_labelled(vectors.mapInArrow(_labelled, "label string, name string, data binary"), root)
+    return list_labelled(spark, root)
+
+
+def _weights_sql(name: str, source: int, target: int) -> str:
+    w = resize_weights(source, target)
+    return f"{name}(o, i, w) AS (VALUES {', '.join(f'({o}, {i}, {w[o, i]})' for o in range(target) for i in range(source) if w[o, i])})"
+
+
+_RESIZED = f"""px AS (
+  SELECT vec_id, label, k // 8 AS y, k % 8 AS x, unnest([0, 1, 2]) AS c, unnest([r, g, r // 2 + g // 4]) AS v
+  FROM (SELECT vec_id, label, k, greatest(0, least(255, floor(128 + 100 * embedding[k + 1]::DOUBLE)))::INT AS r, greatest(0, least(255, floor(128 + 100 * embedding[64 - k]::DOUBLE)))::INT AS g
+    FROM embeddings, range(64) t(k) WHERE len(embedding) = 64)),
+{_weights_sql("w", 8, 6)},
+hz AS (SELECT vec_id, label, y, o AS x, c, (sum(v * w)::BIGINT + {ONE // 2}) >> {BITS} AS v FROM px JOIN w ON x = i GROUP BY ALL),
+rs AS (SELECT vec_id, label, o AS y, x, c, (sum(v * w)::BIGINT + {ONE // 2}) >> {BITS} AS v FROM hz JOIN w ON y = i GROUP BY ALL),
+cat AS (SELECT label, row_number() OVER (ORDER BY 'class-' || label) - 1 AS category FROM (SELECT DISTINCT label FROM embeddings WHERE len(embedding) = 64))"""
+
+_DIGEST = "sha256(string_agg(lower(printf('%02x', v::INT)), '' ORDER BY y, x, c))"
+
+
+@query(
+    f"""WITH {_RESIZED},
+    dr AS (SELECT vec_id, label, copy, [('0x' || substr(h, 1 + 8 * i, 8))::BIGINT for i in range(5)] AS d
+      FROM (SELECT vec_id, label, copy, sha256('7/class-' || label || '/' || vec_id || '.png/' || copy) AS h FROM embeddings, range(3) t(copy) WHERE len(embedding) = 64)),
+    cut AS (SELECT vec_id, label, copy, d, y - d[1] * 3 // 4294967296 AS y, CASE WHEN d[3] < 0.5E0 * 4294967296 THEN 3 - (x - d[2] * 3 // 4294967296) ELSE x - d[2] * 3 // 4294967296 END AS x, c, v
+      FROM rs JOIN dr USING (vec_id, label) WHERE y - d[1] * 3 // 4294967296 BETWEEN 0 AND 3 AND x - d[2] * 3 // 4294967296 BETWEEN 0 AND 3),
+    lohi AS (SELECT *, min(v) OVER p AS lo, max(v) OVER p AS hi FROM cut WINDOW p AS (PARTITION BY vec_id, copy, c)),
+    st AS (SELECT * REPLACE (CASE WHEN d[4] < 0.2E0 * 4294967296 AND hi > lo THEN (v - lo) * 255 // (hi - lo) ELSE v END AS v) FROM lohi),
+    grey AS (SELECT * REPLACE (CASE WHEN d[5] < 0.15E0 * 4294967296 THEN (sum(v * [19595, 38470, 7471][c + 1]) OVER (PARTITION BY vec_id, copy, y, x)::BIGINT + 32768) >> 16 ELSE v END AS v) FROM st)
+    SELECT 'class-' || label AS label, vec_id || '.png' AS name, category::INT AS category, copy::INT AS copy, {_DIGEST} AS digest FROM grey JOIN cat USING (label) GROUP BY label, vec_id, category, copy"""
+)
+def augmented_pictures(spark, d):
+    """Three training copies of each picture of a labelled folder, by a chain of 8 to 6 to 4 pixels."""
+    made = training_pictures(_listed(spark, d), 3, 7, Recipe(resized=6, cropped=4))
+    return made.select("label", "name", "category", "copy", F.sha2(F.lower(F.hex("pixels")).cast("binary"), 256).alias("digest"))
+
+
+@query(f"WITH {_RESIZED} SELECT 'class-' || label AS label, vec_id || '.png' AS name, category::INT AS category, {_DIGEST} AS digest FROM rs JOIN cat USING (label) GROUP BY label, vec_id, category")
+def evaluation_folder(spark, d):
+    """The pictures of a labelled folder as a trained model sees them, 6 by 6."""
+    return evaluation_pictures(_listed(spark, d), 6).select("label", "name", "category", F.sha2(F.lower(F.hex("pixels")).cast("binary"), 256).alias("digest"))

@@ -75,8 +75,8 @@ def opened(path: str) -> bytes:
         return f.read()
 
 
-def write_pictures(rows: DataFrame, root: str) -> int:
-    """Writes rows(match, half, series, number, data) below root, one file each, and returns how many.
+def write_files(rows: DataFrame, root: str) -> int:
+    """Writes rows(name, data) below root, one file each, and returns how many; names may hold folders.
 
     Each file is written under the attempt's own name and then moved to its place, so a repeated task does no harm.
     """
@@ -87,16 +87,22 @@ def write_pictures(rows: DataFrame, root: str) -> int:
         n, made = 0, set()
         for batch in batches:
             for r in batch.to_pylist():
-                number = f"{r['number'] + 1:05}" if r["series"] == "frames" else f"{r['number']:06}"
-                files, folder = _located(f"{root}/{r['match']}/{r['half']}_HQ/{r['series']}")
+                files, path = _located(f"{root}/{r['name']}")
+                folder = path.rpartition("/")[0]
                 if folder not in made:
                     files.create_dir(folder, recursive=True)
                     made.add(folder)
                 draft = f"{folder}/_{uuid4().hex}"
                 with files.open_output_stream(draft) as f:
                     f.write(r["data"])
-                files.move(draft, f"{folder}/{number}.png")
+                files.move(draft, path)
                 n += 1
         yield pa.RecordBatch.from_pydict({"n": [n]})
 
-    return rows.select("match", "half", "series", "number", "data").mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0] or 0
+    return rows.select("name", F.col("data").cast("binary").alias("data")).mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
+def write_pictures(rows: DataFrame, root: str) -> int:
+    """Writes rows(match, half, series, number, data) below root as the series they belong to and returns how many."""
+    number = F.when(F.col("series") == "frames", F.format_string("%05d", F.col("number") + 1)).otherwise(F.format_string("%06d", F.col("number")))
+    return write_files(rows.select(F.concat("match", F.lit("/"), "half", F.lit("_HQ/"), "series", F.lit("/"), number, F.lit(".png")).alias("name"), "data"), root)
