@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from pitchgrid.plans import picture_queries, queries  # noqa: F401
+from pitchgrid.plans import file_queries, picture_queries, queries  # noqa: F401
 from pitchgrid.plans.registry import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
