@@ -59,6 +59,21 @@ def _written(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     return vectors, list_pictures(spark, root), read_flow_counts(spark, path)
 
 
+def _people(vectors: DataFrame) -> DataFrame:
+    """Two people in each frame but every fifth one; the first has an outline."""
+    f = F.col("frame_idx")
+    boxes = [(0, 2 * (f % 3), 2 * (f % 2), [[(0, 0), (5, 0), (5, 3), (0, 3)]]), (1, 4 + 2 * (f % 4), F.lit(8), [])]
+    people = [
+        F.struct(
+            F.lit(k).alias("person_idx"), F.struct(x, y, x + 6, y + (4 if k == 0 else 6)).cast(BOX).alias("bbox"),
+            F.array(*[F.array(*[F.struct(F.lit(a), F.lit(b)) for a, b in line]) for line in lines]).cast(POLYGONS).alias("mask"),
+        )
+        for k, x, y, lines in boxes
+    ]
+    frames = vectors.where("i % 2 = 0").selectExpr("match", "half", "cast(i div 2 as int) as frame_idx").where("frame_idx % 5 <> 4")
+    return frames.select("match", "half", "frame_idx", F.explode(F.array(*people)).alias("p")).select("match", "half", "frame_idx", "p.*")
+
+
 _FLOW = """fl AS (
   SELECT vec_id % 7 AS m, vec_id // 7 % 2 + 1 AS h, vec_id // 14 AS i, k % 8 AS x, k // 8 AS y,
     greatest(0, least(255, floor(128 + 100 * embedding[k + 1]::DOUBLE))) - 128 AS bu, greatest(0, least(255, floor(128 + 100 * embedding[64 - k]::DOUBLE))) - 128 AS bv
@@ -84,13 +99,16 @@ def mean_flow_of_files(spark, d):
     return flow.select("match", "half", "y", F.col("x").cast("int").alias("x"), F.round("u", 9).alias("u"), F.round("v", 9).alias("v"))
 
 
-@query(
-    f"""WITH {_FLOW},
-    px AS (SELECT m, h, f, (bu::FLOAT / 127.999::FLOAT)::DOUBLE AS u, (bv::FLOAT / 127.999::FLOAT)::DOUBLE AS v, x BETWEEN f % 3 AND f % 3 + 2 AND y BETWEEN f % 2 AND f % 2 + 1 AS first, x BETWEEN 2 + f % 4 AND 4 + f % 4 AND y BETWEEN 4 AND 6 AS second, x < 6 AS green
+_MOTION = f"""    px AS (SELECT m, h, f, (bu::FLOAT / 127.999::FLOAT)::DOUBLE AS u, (bv::FLOAT / 127.999::FLOAT)::DOUBLE AS v, x BETWEEN f % 3 AND f % 3 + 2 AND y BETWEEN f % 2 AND f % 2 + 1 AS first, x BETWEEN 2 + f % 4 AND 4 + f % 4 AND y BETWEEN 4 AND 6 AS second, x < 6 AS green
       FROM fr JOIN fl USING (m, h, i) WHERE f % 5 <> 4),
     g AS (SELECT m, h, f, {_ORIENT.format("u", "cos")} AS gx, {_ORIENT.format("v", "sin")} AS gy FROM px WHERE green AND NOT first GROUP BY m, h, f),
     p AS (SELECT m, h, f, person_idx, {_ORIENT.format("u", "cos")} AS px, {_ORIENT.format("v", "sin")} AS py
-      FROM (SELECT *, 0 AS person_idx FROM px WHERE first UNION ALL SELECT *, 1 FROM px WHERE second) GROUP BY m, h, f, person_idx)
+      FROM (SELECT *, 0 AS person_idx FROM px WHERE first UNION ALL SELECT *, 1 FROM px WHERE second) GROUP BY m, h, f, person_idx)"""
+
+
+@query(
+    f"""WITH {_FLOW},
+{_MOTION}
     SELECT 'm' || m AS match, h::INT AS half, f::INT AS frame_idx, person_idx, round(px - gx, 6) + 0E0 AS vx, round(py - gy, 6) + 0E0 AS vy, round(gx, 6) + 0E0 AS field_vx, round(gy, 6) + 0E0 AS field_vy FROM p JOIN g USING (m, h, f)"""
 )
 def velocity_of_files(spark, d):
@@ -98,21 +116,41 @@ def velocity_of_files(spark, d):
     from pitchgrid.plans.velocity import half_velocities
 
     vectors, listing, counts = _written(spark, d)
-    f = F.col("frame_idx")
-    boxes = [(0, 2 * (f % 3), 2 * (f % 2), [[(0, 0), (5, 0), (5, 3), (0, 3)]]), (1, 4 + 2 * (f % 4), F.lit(8), [])]
-    people = [
-        F.struct(
-            F.lit(k).alias("person_idx"), F.struct(x, y, x + 6, y + (4 if k == 0 else 6)).cast(BOX).alias("bbox"),
-            F.array(*[F.array(*[F.struct(F.lit(a), F.lit(b)) for a, b in line]) for line in lines]).cast(POLYGONS).alias("mask"),
-        )
-        for k, x, y, lines in boxes
-    ]
-    frames = vectors.where("i % 2 = 0").selectExpr("match", "half", "cast(i div 2 as int) as frame_idx").where("frame_idx % 5 <> 4")
-    each = frames.select("match", "half", "frame_idx", F.explode(F.array(*people)).alias("p")).select("match", "half", "frame_idx", "p.*")
+    each = _people(vectors)
     out = half_velocities(each, listing, counts, frame_counts(listing), VelocityConfig(opening_size=1), with_overlays=False)
     return out.select("match", "half", "frame_idx", "person_idx", *[(F.round(c, 6) + 0.0).alias(c) for c in ("vx", "vy", "field_vx", "field_vy")])  # no negative zero
 
 
+@query(
+    f"""WITH {_FLOW},
+{_MOTION},
+    v AS (SELECT m, h, f, person_idx, round(px - gx, 6) + 0E0 AS vx, round(py - gy, 6) + 0E0 AS vy FROM p JOIN g USING (m, h, f)),
+    b AS (SELECT m, h, f, 0 AS person_idx, 2 * (f % 3) AS x1, 2 * (f % 2) AS y1, 4 AS high FROM fr WHERE f % 5 <> 4 UNION ALL SELECT m, h, f, 1, 4 + 2 * (f % 4), 8, 6 FROM fr WHERE f % 5 <> 4),
+    t AS (SELECT vec_id % 7 AS m, vec_id // 7 % 2 + 1 AS h, vec_id // 28 AS f, embedding[1]::DOUBLE AS first_logit FROM embeddings WHERE len(embedding) = 64 AND vec_id // 14 % 2 = 0)
+    SELECT 'm' || fr.m AS match, fr.h::INT AS half, fr.f::INT AS frame_idx, b.person_idx, 0.5E0 + b.person_idx * 0.25E0 AS score, x1::DOUBLE AS x1, y1::DOUBLE AS y1, (x1 + 6)::DOUBLE AS x2, (y1 + high)::DOUBLE AS y2, vx, vy, CASE WHEN b.person_idx = 1 THEN first_logit END AS first_logit
+    FROM fr LEFT JOIN b USING (m, h, f) LEFT JOIN v USING (m, h, f, person_idx) LEFT JOIN t USING (m, h, f)"""
+)
+def match_stages(spark, d):
+    """Pictures and instances go through all stages by half: a first run over two matches is taken up by one over all of them."""
+    from pitchgrid.plans import stages
+    from pitchgrid.sources import manifest
+
+    vectors, listing, counts = _written(spark, d)
+    sizes, root = frame_counts(listing), new_path(spark, "stages")
+    people = _people(vectors).withColumns({"seg_idx": F.col("person_idx") * 2, "class_id": F.lit(0).cast("smallint"), "score": (0.5 + F.col("person_idx") * 0.25).cast("float")})
+    ball = people.where("person_idx = 0").withColumns({"seg_idx": F.lit(1), "class_id": F.lit(32).cast("smallint")})
+    teams = vectors.where("i % 2 = 0").selectExpr("match", "half", "cast(i div 2 as int) as frame_idx", "1 as person_idx", "cast(slice(embedding, 1, 5) as array<float>) as logits")
+    whole = sizes.select("match", "half")
+    for work in (whole.where("match in ('m0', 'm1')"), whole):
+        stages.segmentation_stage(work, root, people.unionByName(ball))
+        stages.velocity_stage(work, root, listing, counts, sizes, VelocityConfig(opening_size=1), with_overlays=False)
+        manifest.run_stage(work, root, stages.TEAMS, lambda left: stages.of_halves(teams, left))
+        stages.join_stage(work, root, sizes)
+    out = stages.results(whole, root)
+    velocity = [(F.round(c, 6) + 0.0).alias(c) for c in ("vx", "vy")]  # no negative zero
+    return out.select("match", "half", "frame_idx", "person_idx", F.col("score").cast("double").alias("score"), "bbox.*", *velocity, F.get("logits", F.lit(0)).cast("double").alias("first_logit"))
+
+
 @query(
     """WITH RECURSIVE c AS (SELECT o_orderkey // 128 AS y, o_orderkey % 128 AS x FROM orders WHERE o_custkey % 10 < 3),
     r AS (SELECT y, x, y * 2147483648 + x AS part FROM c
