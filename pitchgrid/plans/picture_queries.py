@@ -22,7 +22,7 @@ from pitchgrid.schema import BOX, POLYGONS
 from pitchgrid.sources.labelled_pictures import evaluation_pictures, list_labelled, training_pictures, write_labelled
 from pitchgrid.sources.pictures import frame_counts, list_pictures, with_flow, write_pictures
 from pitchgrid.sources.readers import read_flow_counts
-from pitchgrid.sources.shared import new_path
+from pitchgrid.sources.shared import checkpointed, new_path
 
 #: Vectors 0 to 6 are the first flow of seven matches' first halves, 7 to 13 of their second halves, and so on.
 _PLACE = "concat('m', cast(vec_id % 7 as string)) as match", "cast(vec_id div 7 % 2 + 1 as int) as half", "cast(vec_id div 14 as int) as i"
@@ -136,7 +136,8 @@ def match_stages(spark, d):
     from pitchgrid.sources import manifest
 
     vectors, listing, counts = _written(spark, d)
-    sizes, root = frame_counts(listing), new_path(spark, "stages")
+    listing = checkpointed(listing)
+    sizes, root = checkpointed(frame_counts(listing)), new_path(spark, "stages")
     people = _people(vectors).withColumns({"seg_idx": F.col("person_idx") * 2, "class_id": F.lit(0).cast("smallint"), "score": (0.5 + F.col("person_idx") * 0.25).cast("float")})
     ball = people.where("person_idx = 0").withColumns({"seg_idx": F.lit(1), "class_id": F.lit(32).cast("smallint")})
     teams = vectors.where("i % 2 = 0").selectExpr("match", "half", "cast(i div 2 as int) as frame_idx", "1 as person_idx", "cast(slice(embedding, 1, 5) as array<float>) as logits")

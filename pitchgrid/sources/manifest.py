@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pitchgrid.sources.shared import checkpointed
+
 KEYS = ["match", "half"]
 MANIFEST = "stage string, match string, half int, version string, published timestamp"
 
@@ -56,7 +58,10 @@ def read_published(spark: SparkSession, root: str, stage: str, schema: str) -> D
 
 
 def run_stage(work: DataFrame, root: str, stage: str, compute) -> None:
-    """Compute, write and publish what is unfinished; compute takes the halves left to do and gives their rows."""
-    left = unfinished(work, root, stage)
+    """Compute, write and publish what is unfinished; compute takes the halves left to do and gives their rows.
+
+    These halves are written first, so that what is published is what was computed, whatever other runs publish meanwhile.
+    """
+    left = checkpointed(unfinished(work, root, stage).select(*KEYS))
     if not left.isEmpty():
         publish(left, root, stage, write_version(compute(left), root, stage))
