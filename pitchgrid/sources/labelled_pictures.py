@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from pitchgrid.functions.augment import Recipe, coloured, resized, training_picture
 from pitchgrid.functions.pictures import decoded
 from pitchgrid.sources.pictures import opened, write_files
+from pitchgrid.sources.shared import checkpointed
 
 #: A batch of pixels is handed on at about this many bytes.
 BATCH_BYTES = 8 << 20
+#: A task makes about this many pictures; by their paths' few bytes alone, thousands would come into one task.
+TASK_PICTURES = 500
 PIXELS = "label string, name string, category int, copy int, height int, width int, pixels binary"
 PIXELS_ARROW = pa.schema([("label", pa.string()), ("name", pa.string()), *[(c, pa.int32()) for c in ("category", "copy", "height", "width")], ("pixels", pa.binary())])
 
@@ -28,11 +31,12 @@ def list_labelled(spark: SparkSession, root: str, classes: list[str] | None = No
     """(label, name, category, path) of the pictures below root; only names are read.
 
     A class's number is the place of its folder among all folders in the order of names, or in ``classes``, which may name
-    folders without pictures; pictures of other folders are left out then. Files that lie elsewhere are no pictures.
+    folders without pictures; pictures of other folders are left out then. The listing is written once, as a scan of names
+    costs a task for every few files.
     """
     path = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg,jpeg,PNG,JPG,JPEG}").load(root).select("path")
     part = lambda k: F.regexp_extract("path", r"([^/]+)/([^/]+)$", k)
-    rows = path.select(part(1).alias("label"), part(2).alias("name"), "path")
+    rows = checkpointed(path.select(part(1).alias("label"), part(2).alias("name"), "path"))
     if classes is not None:
         numbers = spark.createDataFrame(list(zip(classes, range(len(classes)), strict=True)), "label string, category int")
     else:
@@ -47,6 +51,10 @@ def draws(seed: int, *key: Column) -> Column:
     return F.array(*[F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(5)])
 
 
+def _spread(listing: DataFrame, copies: int) -> DataFrame:
+    return listing.repartition(max(1, -(-listing.count() * copies // TASK_PICTURES)), "path")
+
+
 def _made(listing: DataFrame, make) -> DataFrame:
     """The pixels of each row of (label, name, category, copy, path, draws); rows of one path in a row open it once."""
 
@@ -77,14 +85,14 @@ def training_pictures(listing: DataFrame, copies: int, seed: int, recipe: Recipe
     if copies < 1:
         raise ValueError("at least one copy")
     recipe = recipe or Recipe()
-    each = listing.withColumn("copy", F.explode(F.sequence(F.lit(first), F.lit(first + copies - 1))))
+    each = _spread(listing, copies).withColumn("copy", F.explode(F.sequence(F.lit(first), F.lit(first + copies - 1))))
     each = each.withColumn("draws", draws(seed, F.col("label"), F.col("name"), F.col("copy")))
     return _made(each, lambda image, drawn: training_picture(image, drawn, recipe))
 
 
 def evaluation_pictures(listing: DataFrame, side: int = Recipe.cropped) -> DataFrame:
     """The same columns, copy 0: each picture resized to a square of ``side``, whatever its shape, and not changed otherwise."""
-    each = listing.withColumns({"copy": F.lit(0), "draws": F.lit(None).cast("array<bigint>")})
+    each = _spread(listing, 1).withColumns({"copy": F.lit(0), "draws": F.lit(None).cast("array<bigint>")})
     return _made(each, lambda image, _: resized(image, side, side))
 
 

@@ -61,6 +61,14 @@ def test_batches_of_pixels_are_bounded(spark, root, monkeypatch):
     assert {(r.height, r.width, len(r.pixels)) for r in L.evaluation_pictures(listing, 8).collect()} == {(8, 8, 192)}
 
 
+def test_pictures_are_spread_over_tasks(spark, root, monkeypatch):
+    monkeypatch.setattr(L, "TASK_PICTURES", 6)
+    made = L.training_pictures(L.list_labelled(spark, root), 2, 1, SMALL)
+    assert made.rdd.getNumPartitions() == 5
+    homes = made.select("label", "name", F.spark_partition_id().alias("t"))
+    assert homes.groupBy("label", "name").agg(F.countDistinct("t").alias("n")).where("n > 1").count() == 0  # copies share a task
+
+
 def test_empty_folder(spark, tmp_path):
     (tmp_path / "x").mkdir()
     listing = L.list_labelled(spark, str(tmp_path))
