@@ -13,26 +13,29 @@ from itertools import islice
 from math import ceil
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitchgrid.functions.geometry import iou
-from pitchgrid.sources.shared import checkpointed
+from pitchgrid.sources.shared import checkpointed, in_small_batches
 
 GOOD_ENOUGH, MAX_WIDENINGS, NO_DETECTIONS, ONE_EMPTY = 0.5, 30, 3.0, -1.0
 
 #: Half steps that a band reaches beyond the expected window on each side, in the first round.
 MARGIN = 4
 #: A round asks for as many frames of a half as their bands hold so many scores for each video frame, and for one at least.
-BUDGET = 64
+BUDGET = 128
 #: Video frames in a tile; bands meet the frames of the tiles that they touch.
 TILE = 64
 #: Each level's bands reach four times as far as those of the level before.
 MAX_LEVEL = 12
 
+EDGES = ("x1", "y1", "x2", "y2")
 _STATE = "half_id string, n bigint, m bigint, at bigint, low bigint, high bigint, level int"
+_FOLDED = pa.schema([
+    ("half_id", pa.string()), *[(c, pa.int64()) for c in ("n", "m", "at", "low", "high")], ("level", pa.int32()), ("since", pa.int64()), ("frames", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))
+])
 
 
 def boxes_by_frame(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,10 +44,69 @@ def boxes_by_frame(rows: DataFrame, keys: list[str]) -> DataFrame:
     half_id names the values of keys and isn't null where they are.
     """
     whole = F.col("bbox").isNotNull()
-    for edge in ("x1", "y1", "x2", "y2"):
+    for edge in EDGES:
         whole = whole & F.col(f"bbox.{edge}").isNotNull()
-    named = rows.select(*keys, F.to_json(F.struct(*keys)).alias("half_id"), F.col("frame_idx").cast("bigint").alias("frame_idx"), F.when(whole, F.col("bbox")).alias("bbox"))
-    return named.where("frame_idx >= 0").groupBy(*keys, "half_id", "frame_idx").agg(F.collect_list("bbox").alias("boxes"))
+    named = rows.select(*keys, F.col("frame_idx").cast("bigint").alias("frame_idx"), F.when(whole, F.col("bbox")).alias("bbox"))
+    frames = named.where("frame_idx >= 0").groupBy(*keys, "frame_idx").agg(F.collect_list("bbox").alias("boxes"))
+    return frames.select(*keys, F.to_json(F.struct(*keys)).alias("half_id"), "frame_idx", "boxes")
+
+
+def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The overlap of each of the boxes a with each of the boxes b, as ``geometry.iou``; 0 where the union is empty."""
+    x1, y1, x2, y2 = a[:, None, 0], a[:, None, 1], a[:, None, 2], a[:, None, 3]
+    wide = np.maximum(np.fmin(x2, b[:, 2]) - np.maximum(x1, b[:, 0]) + 1, 0)
+    wide *= np.maximum(np.fmin(y2, b[:, 3]) - np.maximum(y1, b[:, 1]) + 1, 0)
+    union = (x2 - x1 + 1) * (y2 - y1 + 1) + (b[:, 2] - b[:, 0] + 1) * (b[:, 3] - b[:, 1] + 1) - wide
+    return np.divide(wide, union, out=np.zeros_like(wide), where=union != 0)
+
+
+def frame_scores(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
+    """The score of each frame of boxes a with each of boxes b; sizes tell how many boxes each frame has, none has 0."""
+    o = _overlaps(a, b)
+    at, bt = np.cumsum(a_sizes) - a_sizes, np.cumsum(b_sizes) - b_sizes
+    of_a = np.add.reduceat(np.maximum.reduceat(o, bt, axis=1), at, axis=0) / a_sizes[:, None]
+    of_b = np.add.reduceat(np.maximum.reduceat(o, at, axis=0), bt, axis=1) / b_sizes
+    return np.floor(np.where(a_sizes[:, None] <= b_sizes, of_a, of_b) * 1e9 + 0.5) / 1e9  # 9 digits, halves up
+
+
+def _frames_of(frames: pa.ListArray) -> Iterator[tuple]:
+    """(frames, boxes, their number by frame) of each list of frames that have boxes."""
+    each = frames.values
+    boxes = each.field("boxes")
+    sides = np.column_stack([boxes.values.field(c).to_numpy(zero_copy_only=False) for c in EDGES])
+    ends, at = boxes.offsets.to_numpy(), frames.offsets.to_numpy()
+    for low, high in zip(at[:-1], at[1:], strict=True):
+        yield each.slice(low, high - low), sides[ends[low] : ends[high]], np.diff(ends[low : high + 1])
+
+
+def _score_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = [[], [], [], []]
+        for (bands, a, a_sizes), (tile, b, b_sizes) in zip(_frames_of(batch.column("bands")), _frames_of(batch.column("tiled")), strict=True):
+            video, frame, first, beyond = tile.field("frame_idx").to_numpy(), *[bands.field(c).to_numpy()[:, None] for c in ("frame_idx", "first", "beyond")]
+            at, of = np.nonzero((video >= first) & (video < beyond))
+            scores = frame_scores(a, a_sizes, b, b_sizes)[at, of]
+            for column, values in zip(columns, (frame[at, 0], video[of], scores, np.unique(frame[at[scores >= GOOD_ENOUGH], 0])), strict=True):
+                column.append(values)
+        ends = [np.cumsum([0, *map(len, c)]).astype(np.int32) for c in columns]
+        lists = [pa.ListArray.from_arrays(e, np.concatenate(c)) for e, c in zip(ends, columns, strict=True) if len(c)]
+        if lists:
+            yield pa.RecordBatch.from_arrays([batch.column("half_id"), *lists], ["half_id", "frames", "video", "scores", "good"])
+
+
+def _tile_scores(bands: DataFrame, video: DataFrame) -> DataFrame:
+    """(half_id, frames, video, scores, good): for a tile of video frames and some bands, each pair's frames and score in three arrays, and the frames with a good enough one.
+
+    A row that is scored holds at most TILE frames of either side, so neither a long half nor a busy one meets in one task.
+    """
+    left = bands.where("first < beyond and size(boxes) > 0").withColumn("tile", F.explode(F.expr(f"sequence(first div {TILE}, (beyond - 1) div {TILE})")))
+    # scoring costs far more than a row's bytes, so partitions must not be merged by size; both groupings keep the join's
+    parts = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = left.repartition(parts, "half_id", "tile").groupBy("half_id", "tile", F.expr(f"frame_idx div {TILE}"))
+    left = left.agg(F.collect_list(F.struct("frame_idx", "first", "beyond", "boxes")).alias("bands"))
+    right = video.where("size(boxes) > 0").groupBy("half_id", F.expr(f"frame_idx div {TILE}").alias("tile")).agg(F.collect_list(F.struct("frame_idx", "boxes")).alias("tiled"))
+    pairs = in_small_batches(left.join(right, ["half_id", "tile"]).select("half_id", "bands", "tiled"))
+    return pairs.mapInArrow(_score_tiles, "half_id string, frames array<bigint>, video array<bigint>, scores array<double>, good array<bigint>")
 
 
 def band_scores(bands: DataFrame, video: DataFrame) -> DataFrame:
@@ -53,19 +115,11 @@ def band_scores(bands: DataFrame, video: DataFrame) -> DataFrame:
     The score is the mean of the best overlaps of the side with fewer boxes (the band's, if equal); it has 9 digits, so that the
     order of addition is no matter. A box with an empty union overlaps by 0.
 
-    bands has half_id, frame_idx, boxes, first and beyond (exclusive). The join is by the half and a tile of video frames, so
-    neither a long half nor a busy one meets in one task.
+    bands has half_id, frame_idx, boxes, first and beyond (exclusive). The join is by the half and a tile of video frames, and
+    a task scores the frames of a tile at a time, as matrices; no row is made of a pair of boxes.
     """
-    pair = ["half_id", "tile", "frame_idx", "video_idx"]
-    left = bands.where("first < beyond").withColumn("tile", F.explode(F.expr(f"sequence(first div {TILE}, (beyond - 1) div {TILE})")))
-    right = video.select("half_id", F.expr(f"frame_idx div {TILE}").alias("tile"), F.col("frame_idx").alias("video_idx"), F.col("boxes").alias("others"))
-    # scoring costs far more than a row's bytes, so partitions must not be merged by size; both groupings keep the join's
-    parts = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = left.repartition(parts, "half_id", "tile").join(right, ["half_id", "tile"]).where("video_idx >= first and video_idx < beyond")
-    fewer = F.size("boxes") <= F.size("others")
-    chosen = pairs.select(*pair, F.posexplode(F.when(fewer, F.col("boxes")).otherwise(F.col("others"))).alias("i", "a"), F.when(fewer, F.col("others")).otherwise(F.col("boxes")).alias("others"))
-    best = chosen.select(*pair, "i", "a", F.explode("others").alias("b")).groupBy(*pair, "i").agg(F.max(F.coalesce(iou(F.col("a"), F.col("b")), F.lit(0.0))).alias("best"))
-    return best.groupBy(*pair).agg(F.round(F.avg("best"), 9).alias("score")).drop("tile")
+    each = _tile_scores(bands, video).select("half_id", F.explode(F.arrays_zip("frames", "video", "scores")).alias("s"))
+    return each.select("half_id", F.col("s.frames").alias("frame_idx"), F.col("s.video").alias("video_idx"), F.col("s.scores").alias("score"))
 
 
 @dataclass
@@ -106,29 +160,36 @@ class Unknown(Exception):
     """A score outside the band was asked for."""
 
 
-def _score(band) -> Callable[[int], float]:
+def _score(first: int, beyond: int, known: dict) -> Callable[[int], float]:
     """Look-up of a frame's scores; a video frame within the band but without a score has no boxes."""
-    known = {} if band.video is None else dict(zip(band.video, band.scores, strict=True))
 
     def score(i: int) -> float:
-        if not band.first <= i < band.beyond:
+        if not first <= i < beyond:
             raise Unknown
         return known.get(i, ONE_EMPTY)
 
     return score
 
 
-def _fold(states: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+def _fold(states: pa.Table, rows: pa.Table) -> pa.Table:
     """A half's next state, and (frame, overlap) of the frames settled on the way."""
-    s = states.iloc[0]
-    n, m, at, level = (int(s[c]) for c in ("n", "m", "at", "level"))
-    bands = {b.frame_idx: b for b in rows.itertuples()}
-    window = Search(m, 2 * m // n, int(s["low"]), int(s["high"]))
-    asked, found = int(s["asked"]), []
+    s = states.to_pylist()[0]
+    n, m, at, level = s["n"], s["m"], s["at"], s["level"]
+    marks = rows.select(["frame_idx", "first", "beyond"]).filter(rows.column("frame_idx").is_valid()).to_pylist()
+    bands = {b["frame_idx"]: (b["first"], b["beyond"]) for b in marks}
+    frames, video, scores = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("frames", "video", "scores"))
+    order = np.argsort(frames, kind="stable")
+    frames, video, scores = frames[order], video[order], scores[order]
+    window = Search(m, 2 * m // n, s["low"], s["high"])
+    asked, found = s["asked"], []
     for frame in range(at, at + asked):
         low, high = window.low, window.high
         try:
-            found.append(window.advance(_score(bands[frame])) if frame in bands else window.skip())
+            if frame in bands:
+                i, j = np.searchsorted(frames, [frame, frame + 1])
+                found.append(window.advance(_score(*bands[frame], dict(zip(video[i:j].tolist(), scores[i:j].tolist(), strict=True)))))
+            else:
+                found.append(window.skip())
         except Unknown:
             window.low, window.high = low, high
             break
@@ -136,16 +197,19 @@ def _fold(states: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         level = min(level + 1, MAX_LEVEL)
     elif len(found) == asked:
         level = max(level - 1, 0)
-    row = (s["half_id"], n, m, at + len(found), window.low, window.high, level, at, [f for f, _ in found], [b for _, b in found])
-    return pd.DataFrame([row], columns=["half_id", "n", "m", "at", "low", "high", "level", "since", "frames", "scores"])
+    row = (s["half_id"], n, m, at + len(found), window.low, window.high, level, at, [f for f, _ in found], [float(b) for _, b in found])
+    return pa.Table.from_pylist([dict(zip(_FOLDED.names, row, strict=True))], _FOLDED)
 
 
 def _rounds(states: DataFrame) -> DataFrame:
-    """states with half_step, margin (video frames beyond the window) and asked, the frames that this round asks for."""
+    """states with half_step, margin (video frames beyond the window) and asked, the frames that this round asks for.
+
+    A half of no more than BUDGET frames asks for all of them with all of its video, which is within the budget, so it needs one round.
+    """
     out = states.withColumn("half_step", F.expr("2 * m div n div 2"))
-    out = out.withColumn("margin", F.expr(f"least(half_step * {MARGIN} * shiftleft(1L, 2 * level), m)"))
+    out = out.withColumn("margin", F.expr(f"if(n <= {BUDGET}, m, least(half_step * {MARGIN} * shiftleft(1L, 2 * level), m))"))
     width = "least(2 * margin + 2 * half_step + 1, m + 1)"
-    return out.withColumn("asked", F.expr(f"least(greatest({BUDGET} * m div {width}, 1L), n - at)"))
+    return out.withColumn("asked", F.expr(f"if(n <= {BUDGET}, n - at, least(greatest({BUDGET} * m div {width}, 1L), n - at))"))
 
 
 def _with_gaps(detected: DataFrame) -> DataFrame:
@@ -175,16 +239,18 @@ def _bands(rounds: DataFrame, detected: DataFrame) -> DataFrame:
 
 
 def _known(bands: DataFrame, video: DataFrame) -> DataFrame:
-    """Scores of all bands; a frame with nothing good enough in its band gets all that a search could reach."""
+    """The bands' bounds and scores as rows of numbers; a frame with nothing good enough in its band gets all that a search could reach."""
+    scores = lambda found: found.select("half_id", "frames", "video", "scores")
     marks = lambda b: b.select("half_id", "frame_idx", "first", "beyond")
-    near = checkpointed(band_scores(bands, video))
-    good = near.groupBy("half_id", "frame_idx").agg(F.max("score").alias("best")).where(F.col("best") >= GOOD_ENOUGH)
-    poor = bands.join(good, ["half_id", "frame_idx"], "left_anti").withColumns({"first": F.col("least"), "beyond": F.col("most")})
-    fine = bands.join(good, ["half_id", "frame_idx"], "left_semi")
-    scores = near.join(good, ["half_id", "frame_idx"], "left_semi").unionByName(band_scores(poor, video))
-    lists = scores.groupBy("half_id", "frame_idx").agg(F.collect_list(F.struct("video_idx", "score")).alias("s"))
-    lists = lists.select("half_id", "frame_idx", F.col("s.video_idx").alias("video"), F.col("s.score").alias("scores"))
-    return marks(fine).unionByName(marks(poor)).join(lists, ["half_id", "frame_idx"], "left")
+    near, narrow = _tile_scores(bands, video), F.expr("least < first or most > beyond")
+    if bands.where(narrow).isEmpty():
+        return marks(bands).unionByName(scores(near), allowMissingColumns=True)
+    near = checkpointed(near)
+    good = near.select("half_id", F.explode("good").alias("frame_idx")).distinct()
+    poor = bands.where(narrow).join(good, ["half_id", "frame_idx"], "left_anti").withColumns({"first": F.col("least"), "beyond": F.col("most")})
+    fine = bands.where(~narrow).unionByName(bands.where(narrow).join(good, ["half_id", "frame_idx"], "left_semi"))
+    # a pair that both passes score has the same score in both
+    return marks(fine).unionByName(marks(poor)).unionByName(scores(near).unionByName(scores(_tile_scores(poor, video))), allowMissingColumns=True)
 
 
 def align(detections: DataFrame, segmentation: DataFrame, keys: list[str]) -> DataFrame:
@@ -192,7 +258,7 @@ def align(detections: DataFrame, segmentation: DataFrame, keys: list[str]) -> Da
 
     Frame -1 with an overlap of -1 if no video frame could be tested. A task of the fold holds numbers only, of one half:
     (detection frame, video frame, score), ten half steps per frame at first and BUDGET per video frame where no frame's band is
-    poor. Frames before 0 or without a number are left out; boxes with a null edge count as none; null keys are a half of their own.
+    poor; of a half of BUDGET frames or fewer all of them. Frames before 0 or without a number are left out; boxes with a null edge count as none; null keys are a half of their own.
 
     Rounds end when every half is through: most halves need one if frames are spread evenly, and each round settles a frame
     of each open half at least, since the first frame's band has its window in the middle and reaches as far as a search.
@@ -208,7 +274,7 @@ def align(detections: DataFrame, segmentation: DataFrame, keys: list[str]) -> Da
         rounds = _rounds(states)
         bands = checkpointed(_bands(rounds, people))
         rows = _known(bands, video).withColumnRenamed("half_id", "half")
-        folded = rounds.groupBy("half_id").cogroup(rows.groupBy("half")).applyInPandas(_fold, f"{_STATE}, since bigint, frames array<bigint>, scores array<double>")
+        folded = rounds.groupBy("half_id").cogroup(rows.groupBy("half")).applyInArrow(_fold, f"{_STATE}, since bigint, frames array<bigint>, scores array<double>")
         folded = checkpointed(folded)
         settled = folded.select("half_id", "since", F.posexplode(F.arrays_zip("frames", "scores")).alias("i", "found"))
         done = settled if done is None else done.unionByName(settled)

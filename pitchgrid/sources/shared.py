@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What a Python worker gets at a time.
+ARROW_ROWS, ARROW_BYTES = 1000, "2m"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a temporary folder serves only where that is unset and the master is local."""
@@ -30,3 +33,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written once in the shared folder, its lineage cut."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, after its session has been set to Arrow batches of few rows and bytes, so that long rows fit a Python worker.
+
+    Smaller settings stay as they are.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return df

@@ -110,3 +110,22 @@ def test_bands_join_by_tile(spark):
     bands = d.selectExpr("half_id", "frame_idx", "boxes", "0L as first", "20L as beyond")
     plan = alignment.band_scores(bands, v)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "RepartitionByExpression [half_id" in plan and "tile" in plan.split("RepartitionByExpression")[1][:40]
+
+
+def test_unrelated_short_halves_need_one_round(spark, monkeypatch):
+    calls = []
+    inner = alignment._rounds
+    monkeypatch.setattr(alignment, "_rounds", lambda states: calls.append(1) or inner(states))
+    cases = halves(4, 6, 60)
+    assert found(spark, cases) == {m: dict(enumerate(brute(*case))) for m, case in cases.items()}
+    assert len(calls) == 1
+
+
+def test_pairs_of_boxes_are_no_rows(spark):
+    d, v = (alignment.boxes_by_frame(t, ["match"]) for t in tables(spark, halves(1, 3, 20)))
+    bands = d.selectExpr("half_id", "frame_idx", "boxes", "0L as first", "20L as beyond")
+    plan = alignment.band_scores(bands, v)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 2 and "boxes" not in plan.split("Generate")[1].split("\n")[0]
+    sides = {s: {(r.half_id, r.frame_idx): [tuple(b) for b in r.boxes] for r in t.collect()} for s, t in (("d", d), ("v", v))}
+    want = {(h, f, g): mean_best(a, b) for (h, f), a in sides["d"].items() for (k, g), b in sides["v"].items() if h == k and g < 20 and a and b}
+    assert {(r.half_id, r.frame_idx, r.video_idx): r.score for r in alignment.band_scores(bands, v).collect()} == want
