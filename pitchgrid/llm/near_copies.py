@@ -1,4 +1,9 @@
-"""Near copies by the exact Jaccard similarity of their word shingles.
+"""Near copies: SimHash first, and the exact Jaccard similarity of word shingles for every link.
+
+Each text has the SimHash fingerprint of ``simhash``; each fingerprint's neighbours within 3 bits are found by its halves'
+balls, and each text is checked against the one with the smallest id among those with its fingerprint and among its
+neighbours. That joins most copies. Similar texts may differ in more bits, so a prefix search over shingles follows, which
+leaves out pairs that SimHash has joined already. A link of either is a pair of whole sets that are similar enough.
 
 A text (ASCII letters lower-cased) is the set of the XXH64 (seed 42) of its 5-word shingles. Two texts are linked if their
 sets have a Jaccard similarity of 4/5 or more. In any order of all shingles, the first that two sets so similar have in
@@ -12,7 +17,7 @@ bits than there are shingles in one set alone. Only the others' whole sets are c
 
 The order takes popular shingles last, so that a common passage makes few candidates, and prefixes are longer by the share
 of a text's popular shingles; popularity is counted on a sample of the texts, which changes costs but no result. Of the texts with a shingle in common each is first checked against the one
-with the smallest id; then all pairs but those linked to the same text are. So a group of near copies of one text costs
+with the smallest id, unless both are joined; then all pairs but those joined by then are. So a group of near copies of one text costs
 checks in proportion to its size. Equal sets are one node.
 
 Defined cases: as for SimHash; null or wordless texts have the empty set and are equal; a text of fewer than five words has
@@ -31,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pitchgrid.llm import simhash
+from pitchgrid.llm.components import connected_components
 from pitchgrid.llm.simhash import MAX_BROADCAST_ROWS, SEED, components_of, keep_smallest
 from pitchgrid.llm.storage import in_small_batches, materialised
 
@@ -81,12 +88,13 @@ def _popular(texts: DataFrame) -> np.ndarray:
 
 
 def _prints(docs: DataFrame, popular: np.ndarray, miss: float | None = MISS) -> DataFrame:
-    """(doc_id, fp, n, odd, prefix): a digest of the set, its size, parity bitmap and prefix; docs has doc_id, t."""
+    """(doc_id, fp, sim, n, odd, prefix): a digest of the set, the text's SimHash, the set's size, parity bitmap and prefix; docs has doc_id, t."""
 
-    @F.arrow_udf("struct<fp:binary,n:int,odd:array<bigint>,prefix:array<bigint>>")
+    @F.arrow_udf("struct<fp:binary,sim:bigint,n:int,odd:array<bigint>,prefix:array<bigint>>")
     def prints(text: pa.Array) -> pa.Array:
-        fps, sizes, odds, prefixes = [], [], [], []
+        fps, sims, sizes, odds, prefixes = [], [], [], [], []
         for x in text.to_pylist():
+            sims.append(simhash.fingerprint(x))
             s = shingles(x)
             n = len(s)
             fps.append(md5(s.tobytes(), usedforsecurity=False).digest())
@@ -97,8 +105,8 @@ def _prints(docs: DataFrame, popular: np.ndarray, miss: float | None = MISS) ->
                 late = popular[np.minimum(np.searchsorted(popular, s), len(popular) - 1)] == s
                 s, n_late = np.concatenate((s[~late], s[late])), int(late.sum())
             prefixes.append(s[: prefix_length(n, n_late, miss)])
-        columns = [pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), *[pa.array(x, pa.list_(pa.int64())) for x in (odds, prefixes)]]
-        return pa.StructArray.from_arrays(columns, ["fp", "n", "odd", "prefix"])
+        columns = [pa.array(fps, pa.binary()), pa.array(sims, pa.int64()), pa.array(sizes, pa.int32()), *[pa.array(x, pa.list_(pa.int64())) for x in (odds, prefixes)]]
+        return pa.StructArray.from_arrays(columns, ["fp", "sim", "n", "odd", "prefix"])
 
     return docs.select("doc_id", prints("t").alias("p")).select("doc_id", "p.*")
 
@@ -114,8 +122,21 @@ def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return materialised(both.where(common * 9 >= (F.size("a") + F.size("b")) * 4).select("u", "v").distinct())
 
 
+def simhash_candidates(nodes: DataFrame) -> DataFrame:
+    """(u, v): each of nodes(rep, sim) with the smallest that has its fingerprint, and that one with its smallest neighbour within 3 bits."""
+    prints = materialised(nodes.groupBy(F.col("sim").alias("fp")).agg(F.min("rep").alias("rep")))
+    equal = nodes.join(prints.toDF("sim", "v"), "sim").select(F.col("rep").alias("u"), "v").where("u <> v")
+    return equal.unionAll(simhash.links(prints).groupBy("u").agg(F.min("v").alias("v")))
+
+
+def _joined(nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """(u, c): each of nodes(rep) with a text that it is joined to over linked, the same for all that are joined."""
+    parts = connected_components(linked)
+    return materialised(nodes.join(parts, nodes.rep == parts.node, "left").select(F.col("rep").alias("u"), F.coalesce("component", "rep").alias("c")).distinct())
+
+
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u, v) that connect all nodes(rep, n, odd, prefix) whose sets are similar enough; docs has doc_id, t."""
+    """(u, v) that connect all nodes(rep, sim, n, odd, prefix) whose sets are similar enough; docs has doc_id, t."""
     table = nodes.select(F.col("rep").alias("u"), "n", F.posexplode("prefix").alias("p", "s"))
     shared = materialised(table.groupBy("s").agg(F.count("*").alias("k"), F.min("u").alias("first")).where("k > 1").select("s", "first"))
     table = materialised(table.join(shared, "s"))
@@ -127,9 +148,12 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         near = (F.col("n_u") * 5 >= F.col("n_v") * 4) & (F.col("n_v") * 5 >= F.col("n_u") * 4) & (apart * 9 <= F.col("n_u") + F.col("n_v"))
         return pairs.distinct().join(left, "u").join(right, "v").where(near).select("u", "v")
 
-    stars = _similar(alike(table.where("u <> first").select("u", F.col("first").alias("v"))), docs)
-    centre = stars.groupBy("u").agg(F.min("v").alias("c"))
-    table = table.join(centre, "u", "left").select("s", "u", "n", "p", F.coalesce("c", "u").alias("c"))
+    copies = _similar(alike(simhash_candidates(nodes)), docs)
+    centre = _joined(nodes, copies)
+    pairs = table.where("u <> first").select("u", F.col("first").alias("v")).distinct()
+    pairs = pairs.join(centre, "u").join(centre.toDF("v", "d"), "v").where("c <> d").select("u", "v")
+    stars = copies.unionAll(_similar(alike(pairs), docs))
+    table = table.join(_joined(nodes, stars), "u").select("s", "u", "n", "p", "c")
     open_ = materialised(table.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("s"))
     table = table.join(open_, "s", "left_semi")
     other = table.toDF("s", "v", "m", "q", "d")
@@ -147,7 +171,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     texts = in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     prints = materialised(_prints(texts, _popular(texts), miss))
-    same = [F.first(c).alias(c) for c in ("n", "odd", "prefix")]
+    same = [F.first(c).alias(c) for c in ("sim", "n", "odd", "prefix")]
     nodes = materialised(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), *same))
     return components_of(prints.select("doc_id", "fp"), nodes.select("fp", "rep"), links(nodes, texts)).select("doc_id", "component_id")
 

@@ -83,3 +83,17 @@ def test_null_ids_shared_ids_and_empty_table(spark):
     assert sorted((str(r.doc_id), r.component_id) for r in N.near_copies(docs).collect() if r.doc_id) == [("11", 2), ("2", 2), ("2", 2), ("9", 2), ("9", 2)]
     assert sorted(str(r.doc_id) for r in N.drop_near_copies(docs).collect()) == ["2", "None"]
     assert N.near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_simhash_finds_candidates_and_sets_confirm_them(spark, monkeypatch):
+    """Texts with few shingles in common but one fingerprint stay apart; copies within 3 bits are joined before prefixes are compared."""
+    rows = list(enumerate(edited(8)))
+    seen, inner = [], N._similar
+    monkeypatch.setattr(N, "_similar", lambda pairs, docs: seen.append({(r.u, r.v) for r in pairs.collect()}) or inner(pairs, docs))
+    got = {r.doc_id: r.component_id for r in N.near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows)
+    prints = dict((d, simhash.fingerprint(t)) for d, t in rows)
+    near = {(d, e) for d, a in prints.items() for e, b in prints.items() if e < d and (a ^ b).bit_count() <= 3}
+    assert len(seen) == 3 and seen[0] and seen[0] <= near and not seen[0] & seen[1]
+    apart = spark.createDataFrame([(1, 5), (2, 5), (3, 4), (4, -1)], "rep long, sim long")
+    assert {tuple(r) for r in N.simhash_candidates(apart).collect()} == {(2, 1), (3, 1)}
