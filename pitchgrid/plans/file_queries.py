@@ -19,8 +19,8 @@ from pitchgrid.functions import geometry as G
 from pitchgrid.functions.pictures import png
 from pitchgrid.plans.registry import query
 from pitchgrid.sources import annotations, readers
-from pitchgrid.sources.pictures import write_files, write_pictures
-from pitchgrid.sources.shared import new_path
+from pitchgrid.sources.pictures import FILES_PER_TASK, list_pictures, write_files, write_pictures
+from pitchgrid.sources.shared import new_path, spread
 from pitchgrid.sources.worklist import list_matches
 
 #: Where annotated pictures are said to lie; documents hold this path.
@@ -91,11 +91,12 @@ def frame_scan(spark, d):
     """Frames' pictures read back whole, beside the width of their half's first one."""
     root, key = new_path(spark, "frames"), F.col("c_custkey")
     rows = table(spark, d, "customer").select(*_place(key), key.cast("bigint").alias("key"))
-    write_pictures(rows.mapInArrow(_frame_pictures, "match string, half int, series string, number int, data binary"), root)
-    frames = readers.read_frames(spark, f"{root}/*/*/frames")
-    sizes = readers.frame_size(frames).select("match", "half", F.col("width").alias("first_width"))
+    write_pictures(spread(rows, FILES_PER_TASK).mapInArrow(_frame_pictures, "match string, half int, series string, number int, data binary"), root)
+    listing = list_pictures(spark, root)
+    sizes = readers.frame_size(listing).select("match", "half", F.col("width").alias("first_width"))
     digest = F.sha2(F.lower(F.hex("data")).cast("binary"), 256).alias("digest")
-    return frames.join(sizes, ["match", "half"]).select("match", "half", "frame_idx", "height", "width", "first_width", digest)
+    frames = readers.read_frames(listing).select("match", "half", "frame_idx", "height", "width", digest)
+    return frames.join(sizes, ["match", "half"]).select("match", "half", "frame_idx", "height", "width", "first_width", "digest")
 
 
 @query("SELECT 'l' || s_suppkey % 3 || '/s' || s_suppkey % 5 || '/m ' || s_suppkey AS match FROM supplier")
@@ -104,7 +105,7 @@ def match_listing(spark, d):
     root, key = new_path(spark, "matches"), F.col("s_suppkey")
     match = F.format_string("l%d/s%d/m %d/1_boxes.json", key % 3, key % 5, key)
     stray = F.format_string("l%d/s%d/%d.json", key % 3, key % 5, key)
-    write_files(table(spark, d, "supplier").select(F.explode(F.array(match, stray)).alias("name"), F.lit("{}").alias("data")), root)
+    write_files(spread(table(spark, d, "supplier"), FILES_PER_TASK).select(F.explode(F.array(match, stray)).alias("name"), F.lit("{}").alias("data")), root)
     return list_matches(spark, root)
 
 

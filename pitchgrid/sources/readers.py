@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchgrid import schema
 from pitchgrid.functions.geometry import box, scaled_x, truncated_box
+from pitchgrid.functions.pictures import decoded
+from pitchgrid.sources.pictures import FILES_PER_TASK, frame_pictures, opened
+from pitchgrid.sources.shared import spread
+
+#: A batch of pixels is handed on at about this many bytes.
+BATCH_BYTES = 8 << 20
+#: How files of pictures begin: PNG, JPEG, GIF, BMP.
+SIGNATURES = (b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", b"GIF8", b"BM")
+_FRAMES = pa.schema([("match", pa.string()), *[(c, pa.int32()) for c in ("half", "frame_idx", "height", "width")], ("data", pa.binary())])
 
 
 def _json(spark: SparkSession, path: str | list[str], ddl: str) -> DataFrame:
@@ -70,17 +82,32 @@ def read_segmentation(spark: SparkSession, path: str, min_score: float | None =
     return rows if min_score is None else rows.where(F.col("score") > min_score)
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """(match, half, frame_idx, height, width, data) of JPEG frames named by a 1-based number; data is BGR by row."""
-    images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    part = lambda pattern: F.regexp_extract("origin", pattern, 1)
-    return images.select(
-        F.url_decode(part(r"/([^/]+)/\d_HQ/")).alias("match"), part(r"/(\d)_HQ/").cast("int").alias("half"),
-        (part(r"/(\d+)\.\w+$").cast("int") - 1).alias("frame_idx"), "height", "width", "data",
-    )
+def read_frames(listing: DataFrame) -> DataFrame:
+    """(match, half, frame_idx, height, width, data) of the frames of a listing of pictures; data is BGR by row. Files that are no pictures are left out.
 
+    The task that holds a frame's path opens it, so the number of tasks follows the number of frames.
+    """
 
-def frame_size(frames: DataFrame) -> DataFrame:
-    """(match, half, height, width) of each half's first frame."""
-    first = F.min_by(F.struct("height", "width"), "frame_idx").alias("s")
-    return frames.groupBy("match", "half").agg(first).select("match", "half", "s.*")
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                data = opened(row.pop("rgb"))
+                if data.startswith(SIGNATURES):
+                    image = decoded(data)
+                    rows.append(row | {"height": image.shape[0], "width": image.shape[1], "data": (image[..., ::-1] if image.ndim == 3 else image).tobytes()})
+                    held += image.size
+                if held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, _FRAMES)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _FRAMES)
+
+    return spread(frame_pictures(listing), FILES_PER_TASK).mapInArrow(decode, "match string, half int, frame_idx int, height int, width int, data binary")
+
+
+def frame_size(listing: DataFrame) -> DataFrame:
+    """(match, half, height, width) of each half's first frame, the only one that is opened."""
+    first = listing.where("series = 'frames'").groupBy("match", "half").agg(F.min_by(F.struct("number", "path"), "number").alias("f"))
+    firsts = first.select("match", "half", F.lit("frames").alias("series"), "f.*")
+    return read_frames(firsts).select("match", "half", "height", "width")

@@ -45,3 +45,9 @@ def in_small_batches(df: DataFrame) -> DataFrame:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return df
+
+
+def spread(df: DataFrame, rows_per_task: int) -> DataFrame:
+    """df dealt over a task for so many rows, but over all cores if it has a row for each: for work that costs far more than a row's bytes."""
+    n, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(n, max(cores, -(-n // rows_per_task)))))

@@ -91,3 +91,34 @@ def test_times_of_day_and_back(spark):
     for x, (t, back) in got.items():
         assert t == str(datetime.timedelta(seconds=x)) and abs(back - x) < 1e-6
     assert spark.sql("select 'half past nine' as t").select(clock_seconds(F.col("t"))).first()[0] is None
+
+
+def test_files_are_listed_and_opened_by_tasks(spark, tmp_path):
+    """Names come from tasks, level by level, and neither a file of names nor a scan of few files each is left in the plan."""
+    from pitchgrid.sources import pictures
+
+    names = ["top.json", "m 1/1_HQ/frames/00001.png", "m 1/1_HQ/frames/deep/er/x.json", "m 1/1_HQ/_draft", "m%202/2_HQ/u/000000.png", ".hidden/a.json", "l/s/m/1_x.json", "l/s/m/_2_x.json"]
+    pictures.write_files(spark.createDataFrame([(n, "{}") for n in names], "name string, data string"), str(tmp_path))
+    (tmp_path / "empty").mkdir()
+    for levels in (0, 1, 3):
+        listed = pictures.list_files(spark, f"{tmp_path}/", levels)
+        assert sorted(r.path for r in listed.collect()) == sorted(f"{tmp_path}/{n}" for n in names if "_draft" not in n and "hidden" not in n and "/_2" not in n)
+        assert "FileScan" not in listed._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r)[:4] for r in pictures.list_pictures(spark, str(tmp_path)).orderBy("series").collect()] == [("m 1", 1, "frames", 0), ("m%202", 2, "u", 0)]
+    assert [r.match for r in worklist.list_matches(spark, f"{tmp_path}/").collect()] == ["l/s/m"]
+    assert pictures.list_files(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_frames_are_opened_once_and_files_that_are_none_left_out(spark, tmp_path):
+    import numpy as np
+
+    from pitchgrid.functions.pictures import png
+    from pitchgrid.sources import pictures
+
+    image = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
+    rows = [("m", 1, "frames", 0, bytearray(png(image))), ("m", 1, "frames", 1, bytearray(png(image[:1, :2]))), ("m", 2, "frames", 3, bytearray(b"no picture"))]
+    pictures.write_pictures(spark.createDataFrame(rows, "match string, half int, series string, number int, data binary"), str(tmp_path))
+    listing = pictures.list_pictures(spark, str(tmp_path))
+    got = sorted(tuple(r) for r in readers.read_frames(listing).collect())
+    assert [g[:5] for g in got] == [("m", 1, 0, 2, 4), ("m", 1, 1, 1, 2)] and bytes(got[0][5]) == image[..., ::-1].tobytes()
+    assert [tuple(r) for r in readers.frame_size(listing).collect()] == [("m", 1, 2, 4)]
