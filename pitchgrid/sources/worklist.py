@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import re
+import fnmatch
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitchgrid.sources.pictures import list_files
+
 
 def read_worklist(spark: SparkSession, path: str) -> DataFrame:
     """(path) of each non-empty line of a text file, trailing white space removed."""
@@ -38,8 +40,7 @@ def count_files(listing: DataFrame, by: list[str]) -> DataFrame:
 
 
 def list_matches(spark: SparkSession, root: str, depth: int = 3, pattern: str = "*.json") -> DataFrame:
-    """(match) of every folder that many levels below root with a file of the pattern; Spark lists, no contents are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path")
-    top = re.escape("/" + root.split("://")[-1].strip("/"))
-    inner = F.regexp_extract("path", f"{top}/((?:[^/]+/){{{depth}}})[^/]+$", 1)
-    return files.select(F.rtrim(inner, F.lit("/")).alias("match")).where("match <> ''").distinct()
+    """(match) of every folder that many levels below root with a file of the pattern; tasks list, no contents are read."""
+    inner = F.regexp_extract(F.expr(f"substring(path, {len(root.rstrip('/')) + 1})"), f"^/((?:[^/]+/){{{depth}}})([^/]+)$", 1)
+    named = list_files(spark, root, depth).where(F.regexp_extract("path", "([^/]+)$", 1).rlike(fnmatch.translate(pattern).replace(r"\Z", "$").replace(r"\z", "$")))
+    return named.select(F.rtrim(inner, F.lit("/")).alias("match")).where("match <> ''").distinct()
