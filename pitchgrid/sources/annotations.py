@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pitchgrid import schema
 from pitchgrid.functions.geometry import corners
+from pitchgrid.sources.pictures import file_contents, list_files
 
 # Tags of the annotation tool and their colours
 TAGS = {"Referee": 0, "Team A": 1, "Team B": 2, "Goalkeeper 1": 3, "Goalkeeper 2": 4}
@@ -39,15 +40,16 @@ def read_annotation_dir(spark: SparkSession, path: str, tags: dict[str, int] | N
 
 
 def read_annotation_tree(spark: SparkSession, root: str, tags: dict[str, int] | None = None) -> DataFrame:
-    """The same with match and half from all annotation folders match/{half}_HQ/annotations below root."""
-    path = F.input_file_name()
-    part = lambda k: F.regexp_extract(path, r"/([^/]+)/(\d)_HQ/annotations/[^/]+$", k)
-    rows = _annotations(spark, root, recursiveFileLookup=True).select(F.url_decode(part(1)).alias("match"), part(2).cast("int").alias("half"), F.col("asset.name").alias("name"), "regions")
-    return regions_of(rows.where("half is not null"), tags, ("match", "half"))
+    """The same with match and half from all annotation folders match/{half}_HQ/annotations below root; tasks list and open the documents."""
+    part = lambda k: F.regexp_extract("path", r"/([^/]+)/(\d)_HQ/annotations/[^/]+-asset\.json$", k)
+    named = list_files(spark, root).select(part(1).alias("match"), part(2).try_cast("int").alias("half"), "path").where("half is not null")
+    document = F.from_json(F.col("data").cast("string"), schema.ANNOTATION, {"mode": "FAILFAST"})
+    rows = file_contents(named).select("match", "half", document.alias("d")).select("match", "half", F.col("d.asset.name").alias("name"), "d.regions")
+    return regions_of(rows, tags, ("match", "half"))
 
 
-def _annotations(spark: SparkSession, path: str, **options) -> DataFrame:
-    return spark.read.schema(schema.ANNOTATION).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*-asset.json").options(**options).json(path)
+def _annotations(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schema.ANNOTATION).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*-asset.json").json(path)
 
 
 def read_annotation_export(spark: SparkSession, path: str, tags: dict[str, int] | None = None) -> DataFrame:
