@@ -20,9 +20,9 @@ from pitchgrid.plans.config import VelocityConfig
 from pitchgrid.plans.registry import query
 from pitchgrid.schema import BOX, POLYGONS
 from pitchgrid.sources.labelled_pictures import evaluation_pictures, list_labelled, training_pictures, write_labelled
-from pitchgrid.sources.pictures import frame_counts, list_pictures, with_flow, write_pictures
+from pitchgrid.sources.pictures import FILES_PER_TASK, frame_counts, list_pictures, with_flow, write_pictures
 from pitchgrid.sources.readers import read_flow_counts
-from pitchgrid.sources.shared import checkpointed, new_path
+from pitchgrid.sources.shared import checkpointed, new_path, spread
 
 #: Vectors 0 to 6 are the first flow of seven matches' first halves, 7 to 13 of their second halves, and so on.
 _PLACE = "concat('m', cast(vec_id % 7 as string)) as match", "cast(vec_id div 7 % 2 + 1 as int) as half", "cast(vec_id div 14 as int) as i"
@@ -52,7 +52,7 @@ def _written(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     """(vectors with their places, the listing of the pictures, flow counts read from their file)."""
     vectors = table(spark, d, "embeddings").where("size(embedding) = 64").selectExpr("vec_id", "embedding", *_PLACE)
     root = new_path(spark, "pictures")
-    write_pictures(vectors.mapInArrow(_pictures, "match string, half int, series string, number int, data binary"), root)
+    write_pictures(spread(vectors, FILES_PER_TASK).mapInArrow(_pictures, "match string, half int, series string, number int, data binary"), root)
     one = lambda h: F.count_if(F.col("half") == h).alias(f"num_frames_{'first' if h == 1 else 'second'}_half")
     path = new_path(spark, "flow-counts")
     vectors.groupBy(F.col("match").alias("match_path")).agg(one(1), one(2)).write.option("header", True).csv(path)
@@ -136,7 +136,6 @@ def match_stages(spark, d):
     from pitchgrid.sources import manifest
 
     vectors, listing, counts = _written(spark, d)
-    listing = checkpointed(listing)
     sizes, root = checkpointed(frame_counts(listing)), new_path(spark, "stages")
     people = _people(vectors).withColumns({"seg_idx": F.col("person_idx") * 2, "class_id": F.lit(0).cast("smallint"), "score": (0.5 + F.col("person_idx") * 0.25).cast("float")})
     ball = people.where("person_idx = 0").withColumns({"seg_idx": F.lit(1), "class_id": F.lit(32).cast("smallint")})
@@ -200,7 +199,7 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _listed(spark: SparkSession, d: str) -> DataFrame:
     root = new_path(spark, "labelled")
     vectors = table(spark, d, "embeddings").where("size(embedding) = 64").select("vec_id", "label", "embedding")
-    write_labelled(vectors.mapInArrow(_labelled, "label string, name string, data binary"), root)
+    write_labelled(spread(vectors, FILES_PER_TASK).mapInArrow(_labelled, "label string, name string, data binary"), root)
     return list_labelled(spark, root)
 
 

@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from pitchgrid.functions.augment import Recipe, coloured, resized, training_picture
 from pitchgrid.functions.pictures import decoded
-from pitchgrid.sources.pictures import opened, write_files
-from pitchgrid.sources.shared import checkpointed
+from pitchgrid.sources.pictures import list_files, opened, write_files
 
 #: A batch of pixels is handed on at about this many bytes.
 BATCH_BYTES = 8 << 20
@@ -31,12 +30,11 @@ def list_labelled(spark: SparkSession, root: str, classes: list[str] | None = No
     """(label, name, category, path) of the pictures below root; only names are read.
 
     A class's number is the place of its folder among all folders in the order of names, or in ``classes``, which may name
-    folders without pictures; pictures of other folders are left out then. The listing is written once, as a scan of names
-    costs a task for every few files.
+    folders without pictures; pictures of other folders are left out then. The listing is written once.
     """
-    path = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg,jpeg,PNG,JPG,JPEG}").load(root).select("path")
+    path = list_files(spark, root, 1).where(F.col("path").rlike(r"\.(png|jpg|jpeg|PNG|JPG|JPEG)$"))
     part = lambda k: F.regexp_extract("path", r"([^/]+)/([^/]+)$", k)
-    rows = checkpointed(path.select(part(1).alias("label"), part(2).alias("name"), "path"))
+    rows = path.select(part(1).alias("label"), part(2).alias("name"), "path")
     if classes is not None:
         numbers = spark.createDataFrame(list(zip(classes, range(len(classes)), strict=True)), "label string, category int")
     else:
