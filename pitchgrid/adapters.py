@@ -12,19 +12,28 @@ from pyspark.sql import functions as F
 
 from pitchgrid.functions import geometry as G
 
+#: Lines that a task numbers within their frames: beyond that for each shuffle partition, there are more partitions.
+LINES_PER_TASK = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """frame_idx, det_idx, bbox, onfield and the keys p, s, q of the line it comes from."""
-    lines = table(spark, sf_dir, "lineitem")
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    """frame_idx, det_idx, bbox, onfield and the keys p, s, q of the line it comes from.
+
+    Lines are dealt by the frame, which joins and windows by frame then keep; over so many tasks that none sorts many more than LINES_PER_TASK.
+    """
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "frame_idx")
+    parts = -(-lines.count() // LINES_PER_TASK)
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        lines = lines.repartition(parts, "frame_idx")
+    order = W.partitionBy("frame_idx").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     p, s = F.col("l_partkey"), F.col("l_suppkey")
     x1, y1 = p % 40 * 8, s % 10 * 16
     return lines.select(
-        F.col("l_orderkey").alias("frame_idx"), F.row_number().over(order).cast("bigint").alias("det_idx"),
+        "frame_idx", F.row_number().over(order).cast("bigint").alias("det_idx"),
         G.box(x1, y1, x1 + 40 + s % 30, y1 + 80 + p % 40).alias("bbox"), (F.col("l_quantity") > 3).alias("onfield"),
         p.alias("p"), s.alias("s"), F.col("l_quantity").cast("bigint").alias("q"),
     )

@@ -148,3 +148,18 @@ def test_row_order_does_not_matter(spark):
     want = sorted(tuple(r) for r in matching.iou_match(left, right, ["f"]).collect())
     shuffled = spark.createDataFrame(rows[::-1], d.schema)
     assert sorted(tuple(r) for r in matching.iou_match(shuffled, shuffled.toDF("f", "r", "rbox"), ["f"]).collect()) == want
+
+
+def test_frames_are_dealt_once_and_tasks_follow_the_lines(spark, monkeypatch):
+    """A frame's rows are sorted by one exchange for the window and the join, over more tasks where there are more lines."""
+    from pitchgrid import adapters
+    from pitchgrid.plans import queries
+
+    few = queries.frame_override_union(spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(adapters, "LINES_PER_TASK", 500)
+    out = queries.frame_override_union(spark, "/root/testdata/sf0.001")
+    n = -(-spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 500)
+    assert n > 4 and "RepartitionByExpression [frame_idx" in out._jdf.queryExecution().optimizedPlan().toString()
+    base = out._jdf.queryExecution().executedPlan().toString().split("LeftAnti")[1].split("Window")[0]
+    assert "Exchange" not in base and "Sort [" not in base
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, few))
