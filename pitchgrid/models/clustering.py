@@ -98,13 +98,19 @@ class Mixture:
         return top + np.log(np.exp(np.asarray(parts) - top).sum(axis=0))
 
 
+def matrix(arrays: pa.Array) -> np.ndarray:
+    """The non-null arrays of a column, all of one length, as the rows of a matrix; null numbers are NaN."""
+    known = arrays.drop_null()
+    return known.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(known), -1) if len(known) else np.zeros((0, 0))
+
+
 def fit_gaussian(rows: DataFrame, column: str) -> Mixture:
     """One Gaussian from moments: each task sends its count, sums and products, which are added by position."""
 
     def moments(batches):
         total = None
         for batch in batches:
-            x = np.asarray([r for r in batch.column(0).to_pylist() if r is not None], float)
+            x = matrix(batch.column(0))
             if len(x):
                 x = np.hstack([np.ones((len(x), 1)), x])
                 total = x.T @ x if total is None else total + x.T @ x
@@ -139,13 +145,10 @@ def log_likelihood(mixture: Mixture, column: Column) -> Column:
 
     @F.arrow_udf(T.DoubleType())
     def score(values: pa.Array) -> pa.Array:
-        rows = values.to_pylist()
-        known = [i for i, r in enumerate(rows) if r is not None]
-        out: list[float | None] = [None] * len(rows)
-        if known:
-            for i, s in zip(known, mixture.log_likelihood(np.asarray([rows[i] for i in known], float)).tolist(), strict=True):
-                out[i] = s
-        return pa.array(out, pa.float64())
+        known, out = values.is_valid().to_numpy(zero_copy_only=False), np.zeros(len(values))
+        if known.any():
+            out[known] = mixture.log_likelihood(matrix(values))
+        return pa.array(out, pa.float64(), mask=~known)
 
     return score(column.cast("array<double>"))
 

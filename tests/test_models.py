@@ -112,3 +112,21 @@ def test_best_model_by_validation_loss(teams, tmp_path):
     model, metrics = classifier.fit_best(teams.where("id % 5 <> 0"), valid, "hist", "truth", (1e-4, 10.0), path=str(tmp_path / "best"))
     rows = metrics.collect()
     assert rows[0].loss < rows[1].loss and rows[0].accuracy == 1 and (tmp_path / "best" / "metadata").exists()
+
+
+def test_scores_and_moments_take_columns_whole(spark, monkeypatch):
+    """Nulls keep their places, and no row becomes a Python list."""
+    import pyarrow as pa
+
+    from pitchgrid.models import clustering
+
+    rows = [[1.0, 2.0], None, [3.0, 5.0], [2.0, 2.5], [0.0, None]]
+    assert np.array_equal(clustering.matrix(pa.array(rows)), np.array([[1, 2], [3, 5], [2, 2.5], [0, np.nan]]), equal_nan=True)
+    assert np.array_equal(clustering.matrix(pa.array([[9.0, 9.0], *rows[:4]]).slice(1)), np.array([[1, 2], [3, 5], [2, 2.5]]))
+    assert clustering.matrix(pa.array([None], pa.list_(pa.float64()))).shape == (0, 0)
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows[:4])], "i int, x array<double>").coalesce(1)
+    one = clustering.fit_mixture(df, "x", 1)
+    x = np.array([r for r in rows[:4] if r])
+    assert np.allclose(one.means[0], x.mean(axis=0)) and np.allclose(one.covariances[0], np.cov(x.T, bias=True))
+    got = {r.i: r.s for r in df.select("i", clustering.log_likelihood(one, F.col("x")).alias("s")).collect()}
+    assert got.pop(1) is None and np.allclose([got[k] for k in (0, 2, 3)], one.log_likelihood(x))
