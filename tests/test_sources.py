@@ -122,3 +122,16 @@ def test_frames_are_opened_once_and_files_that_are_none_left_out(spark, tmp_path
     got = sorted(tuple(r) for r in readers.read_frames(listing).collect())
     assert [g[:5] for g in got] == [("m", 1, 0, 2, 4), ("m", 1, 1, 1, 2)] and bytes(got[0][5]) == image[..., ::-1].tobytes()
     assert [tuple(r) for r in readers.frame_size(listing).collect()] == [("m", 1, 2, 4)]
+
+
+def test_few_rows_of_files_come_to_python_at_a_time(spark, tmp_path):
+    from pitchgrid.sources import pictures
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 10_000)
+        assert pictures.write_files(spark.range(3).selectExpr("concat('a/', id, '.json') as name", "repeat('x', 1000) as data"), str(tmp_path)) == 3
+        assert int(spark.conf.get(name)) <= 1000 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "2m"
+    finally:
+        spark.conf.set(name, before)
