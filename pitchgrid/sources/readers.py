@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -93,8 +95,11 @@ def read_frames(listing: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 data = opened(row.pop("rgb"))
-                if data.startswith(SIGNATURES):
-                    image = decoded(data)
+                try:
+                    image = decoded(data) if data.startswith(SIGNATURES) else None
+                except (zlib.error, struct.error, KeyError):  # cut off
+                    image = None
+                if image is not None:
                     rows.append(row | {"height": image.shape[0], "width": image.shape[1], "data": (image[..., ::-1] if image.ndim == 3 else image).tobytes()})
                     held += image.size
                 if held >= BATCH_BYTES:

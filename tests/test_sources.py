@@ -116,7 +116,7 @@ def test_frames_are_opened_once_and_files_that_are_none_left_out(spark, tmp_path
     from pitchgrid.sources import pictures
 
     image = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
-    rows = [("m", 1, "frames", 0, bytearray(png(image))), ("m", 1, "frames", 1, bytearray(png(image[:1, :2]))), ("m", 2, "frames", 3, bytearray(b"no picture"))]
+    rows = [("m", 1, "frames", 0, bytearray(png(image))), ("m", 1, "frames", 1, bytearray(png(image[:1, :2]))), ("m", 2, "frames", 3, bytearray(b"no picture")), ("m", 2, "frames", 4, bytearray(png(image)[:50]))]
     pictures.write_pictures(spark.createDataFrame(rows, "match string, half int, series string, number int, data binary"), str(tmp_path))
     listing = pictures.list_pictures(spark, str(tmp_path))
     got = sorted(tuple(r) for r in readers.read_frames(listing).collect())
