@@ -21,6 +21,8 @@ SERIES = ("frames", "u", "v")
 HALF = ["match", "half"]
 #: Folders that a task lists, and names that it hands on at a time.
 FOLDERS_PER_TASK, LISTED_AT_ONCE = 64, 10_000
+#: Folders that a writing task remembers to have made.
+FOLDERS_KNOWN = 10_000
 #: Files that a task opens or makes; by their paths' few bytes alone, far more would come into one task.
 FILES_PER_TASK = 1000
 
@@ -142,6 +144,8 @@ def write_files(rows: DataFrame, root: str) -> int:
                 folder = path.rpartition("/")[0]
                 if folder not in made:
                     files.create_dir(folder, recursive=True)
+                    if len(made) >= FOLDERS_KNOWN:
+                        made.clear()
                     made.add(folder)
                 draft = f"{folder}/_{uuid4().hex}"
                 with files.open_output_stream(draft) as f:

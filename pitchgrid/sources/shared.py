@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,15 +39,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def in_small_batches(df: DataFrame) -> DataFrame:
     """df, after its session has been set to Arrow batches of few rows and bytes, so that long rows fit a Python worker.
 
-    Smaller settings stay as they are.
+    Smaller settings stay as they are, each by itself: few rows may still be many bytes.
     """
     conf = df.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ARROW_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    if _bytes(conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > _bytes(ARROW_BYTES):
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return df
 
 
+def _bytes(size: str) -> int:
+    """The number of a setting such as 67108864b, 2m or 64MB."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) * 1024 ** " kmgtp".index(unit or " ")
+
+
 def spread(df: DataFrame, rows_per_task: int) -> DataFrame:
     """df dealt over a task for so many rows, but over all cores if it has a row for each: for work that costs far more than a row's bytes."""
     n, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism

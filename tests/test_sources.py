@@ -135,3 +135,39 @@ def test_few_rows_of_files_come_to_python_at_a_time(spark, tmp_path):
         assert int(spark.conf.get(name)) <= 1000 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "2m"
     finally:
         spark.conf.set(name, before)
+
+
+def test_few_rows_of_many_bytes_are_cut_by_bytes_too(spark):
+    import pyarrow as pa
+
+    from pitchgrid.sources import shared
+
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {k: spark.conf.get(k) for k in (rows, size)}
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "bytes": [b.nbytes]})
+
+    try:
+        spark.conf.set(rows, 200)
+        spark.conf.set(size, "64MB")
+        long = shared.in_small_batches(spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100_000).cast("binary").alias("data")))
+        found = long.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in found) == 400 and max(r.bytes for r in found) < 3 << 20 and spark.conf.get(rows) == "200"
+        for given, kept in (("1m", "1m"), ("1g", "2m"), ("67108864b", "2m"), ("1000000", "1000000")):
+            spark.conf.set(size, given)
+            shared.in_small_batches(long)
+            assert spark.conf.get(size) == kept
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_a_writing_task_forgets_folders_and_loses_no_file(spark, tmp_path, monkeypatch):
+    from pitchgrid.sources import pictures
+
+    monkeypatch.setattr(pictures, "FOLDERS_KNOWN", 2)
+    names = [f"m{i % 5}/{i}.json" for i in range(25)]
+    assert pictures.write_files(spark.createDataFrame([(n, n) for n in names], "name string, data string").coalesce(1), str(tmp_path)) == 25
+    assert {p.relative_to(tmp_path).as_posix(): p.read_text() for p in tmp_path.rglob("*.json")} == {n: n for n in names}
