@@ -73,7 +73,8 @@ def links(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
         F.col("rep").alias("u"), F.col("fp").alias("fu"), "half", F.col("value").bitwiseXOR(F.col("flip")).alias("value")
     )
     distance = F.bit_count(F.col("fu").bitwiseXOR(F.col("fp")))
-    near = probes.join(table, ["half", "value"]).where((F.col("u") > F.col("rep")) & (distance <= max_distance))
+    # after an explode Spark takes a side for as small as before it, and might broadcast 66 rows for each of a small table
+    near = probes.hint("merge").join(table.hint("merge"), ["half", "value"]).where((F.col("u") > F.col("rep")) & (distance <= max_distance))
     return near.select("u", F.col("rep").alias("v"))
 
 

@@ -74,6 +74,12 @@ def test_links_find_every_pair_up_to_three_bits(spark):
     assert got == want
 
 
+def test_probes_of_a_small_table_are_not_broadcast(spark, tmp_path):
+    spark.range(200).selectExpr("id as rep", "xxhash64(id) as fp").write.parquet(str(tmp_path / "nodes"))
+    plan = S.links(spark.read.parquet(str(tmp_path / "nodes")))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_null_ids_repeats_and_empty_table(spark):
     rows = [(None, "a b c", "", 1, 1), (2, "a b c", "", 1, 1), (2, "a b c", "", 1, 1), (9, "a b c", "", 1, 1)]
     docs = spark.createDataFrame(rows, SCHEMA)
