@@ -15,6 +15,9 @@ Of the pairs with a shingle in common in their prefixes, sizes, places and parit
 set's bitmap holds for each of 512 buckets whether its shingles in it are odd in number, so two bitmaps differ in no more
 bits than there are shingles in one set alone. Only the others' whole sets are compared.
 
+Tables of the size of the nodes, of pairs or of prefixes are sorted and merged, never broadcast: Spark takes exploded arrays and repeated
+values in files for far less than they are in the driver's memory.
+
 The order takes popular shingles last, so that a common passage makes few candidates, and prefixes are longer by the share
 of a text's popular shingles; popularity is counted on a sample of the texts, which changes costs but no result. Of the texts with a shingle in common each is first checked against the one
 with the smallest id, unless both are joined; then all pairs but those joined by then are. So a group of near copies of one text costs
@@ -115,9 +118,9 @@ def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the candidate pairs (u, v) whose texts are similar enough, by their whole sets."""
     pairs = materialised(pairs.distinct())
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").distinct().select("doc_id", _shingles("t").alias("s"))
+    sets = docs.join(ids.hint("merge"), "doc_id", "left_semi").distinct().select("doc_id", _shingles("t").alias("s"))
     sets = materialised(sets)
-    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    both = pairs.hint("merge").join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b").hint("merge"), "v")
     common = F.size(F.array_intersect("a", "b"))
     return materialised(both.where(common * 9 >= (F.size("a") + F.size("b")) * 4).select("u", "v").distinct())
 
@@ -125,42 +128,42 @@ def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def simhash_candidates(nodes: DataFrame) -> DataFrame:
     """(u, v): each of nodes(rep, sim) with the smallest that has its fingerprint, and that one with its smallest neighbour within 3 bits."""
     prints = materialised(nodes.groupBy(F.col("sim").alias("fp")).agg(F.min("rep").alias("rep")))
-    equal = nodes.join(prints.toDF("sim", "v"), "sim").select(F.col("rep").alias("u"), "v").where("u <> v")
+    equal = nodes.join(prints.toDF("sim", "v").hint("merge"), "sim").select(F.col("rep").alias("u"), "v").where("u <> v")
     return equal.unionAll(simhash.links(prints).groupBy("u").agg(F.min("v").alias("v")))
 
 
 def _joined(nodes: DataFrame, linked: DataFrame) -> DataFrame:
     """(u, c): each of nodes(rep) with a text that it is joined to over linked, the same for all that are joined."""
     parts = connected_components(linked)
-    return materialised(nodes.join(parts, nodes.rep == parts.node, "left").select(F.col("rep").alias("u"), F.coalesce("component", "rep").alias("c")).distinct())
+    return materialised(nodes.join(parts.hint("merge"), nodes.rep == parts.node, "left").select(F.col("rep").alias("u"), F.coalesce("component", "rep").alias("c")).distinct())
 
 
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(u, v) that connect all nodes(rep, sim, n, odd, prefix) whose sets are similar enough; docs has doc_id, t."""
     table = nodes.select(F.col("rep").alias("u"), "n", F.posexplode("prefix").alias("p", "s"))
     shared = materialised(table.groupBy("s").agg(F.count("*").alias("k"), F.min("u").alias("first")).where("k > 1").select("s", "first"))
-    table = materialised(table.join(shared, "s"))
+    table = materialised(table.hint("merge").join(shared, "s"))
     apart = sum((F.bit_count(F.col("odd_u")[i].bitwiseXOR(F.col("odd_v")[i])) for i in range(BUCKETS // 64)), F.lit(0))
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Of pairs(u, v) those that sizes and bitmaps allow; a doc_id with several texts has several, of which one suffices."""
         left, right = (nodes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "uv")
         near = (F.col("n_u") * 5 >= F.col("n_v") * 4) & (F.col("n_v") * 5 >= F.col("n_u") * 4) & (apart * 9 <= F.col("n_u") + F.col("n_v"))
-        return pairs.distinct().join(left, "u").join(right, "v").where(near).select("u", "v")
+        return pairs.distinct().join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(near).select("u", "v")
 
     copies = _similar(alike(simhash_candidates(nodes)), docs)
     centre = _joined(nodes, copies)
     pairs = table.where("u <> first").select("u", F.col("first").alias("v")).distinct()
-    pairs = pairs.join(centre, "u").join(centre.toDF("v", "d"), "v").where("c <> d").select("u", "v")
+    pairs = pairs.join(centre.hint("merge"), "u").join(centre.toDF("v", "d").hint("merge"), "v").where("c <> d").select("u", "v")
     stars = copies.unionAll(_similar(alike(pairs), docs))
-    table = table.join(_joined(nodes, stars), "u").select("s", "u", "n", "p", "c")
+    table = table.join(_joined(nodes, stars).hint("merge"), "u").select("s", "u", "n", "p", "c")
     open_ = materialised(table.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("s"))
-    table = table.join(open_, "s", "left_semi")
+    table = table.join(open_.hint("merge"), "s", "left_semi")
     other = table.toDF("s", "v", "m", "q", "d")
     # What is left of both from their first common shingle on bounds the overlap, which must be 4/9 of the sum of sizes.
     room = F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) * 9 >= (F.col("n") + F.col("m")) * 4
     near = (F.col("n") * 5 >= F.col("m") * 4) & (F.col("m") * 5 >= F.col("n") * 4)
-    rest = table.join(other, "s").where((F.col("u") > F.col("v")) & (F.col("c") != F.col("d")) & room & near)
+    rest = table.join(other.hint("merge"), "s").where((F.col("u") > F.col("v")) & (F.col("c") != F.col("d")) & room & near)
     return stars.unionAll(_similar(alike(rest.select("u", "v")), docs))
 
 

@@ -83,11 +83,11 @@ def components_of(prints: DataFrame, nodes: DataFrame, linked: DataFrame) -> Dat
     with_id = prints.where("doc_id is not null")
     shared = with_id.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b")
     one_id = (
-        with_id.join(shared.select("doc_id"), "doc_id").join(nodes, "fp").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+        with_id.join(shared.select("doc_id"), "doc_id").join(nodes.hint("merge"), "fp").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     )
     parts = connected_components(linked.unionAll(one_id))
-    found = nodes.join(parts, nodes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return prints.join(found, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    found = nodes.join(parts.hint("merge"), nodes.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    return prints.join(found.hint("merge"), "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -97,3 +97,12 @@ def test_simhash_finds_candidates_and_sets_confirm_them(spark, monkeypatch):
     assert len(seen) == 3 and seen[0] and seen[0] <= near and not seen[0] & seen[1]
     apart = spark.createDataFrame([(1, 5), (2, 5), (3, 4), (4, -1)], "rep long, sim long")
     assert {tuple(r) for r in N.simhash_candidates(apart).collect()} == {(2, 1), (3, 1)}
+
+
+def test_nothing_of_the_size_of_prefixes_or_pairs_is_broadcast(spark, monkeypatch):
+    plans, inner = [], N.materialised
+    monkeypatch.setattr(N, "materialised", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or inner(df))
+    docs = spark.createDataFrame(list(enumerate(edited(4))), SCHEMA)
+    plans.append(N.near_copies(docs)._jdf.queryExecution().sparkPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 9
+    assert not [p for p in plans if "Broadcast" in p]
