@@ -3,22 +3,27 @@
 The search carries a window from one detection frame to the next. Only that is done in order: all scores are computed ahead by
 Spark, for a band of video frames around the place where each detection frame is expected. A fold then walks the scores of a
 half until its window leaves the bands, and the next round lays bands around the place that it reached.
+
+A small half (``BUDGET`` frames and ``WHOLE`` boxes at most) is scored where it is folded: its boxes are far fewer bytes than its scores,
+which are neither shuffled nor written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import islice
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitchgrid.sources.shared import checkpointed, in_small_batches
+from pitchgrid.sources.shared import checkpointed, discard, in_small_batches, stored
 
 GOOD_ENOUGH, MAX_WIDENINGS, NO_DETECTIONS, ONE_EMPTY = 0.5, 30, 3.0, -1.0
 
@@ -26,6 +31,10 @@ GOOD_ENOUGH, MAX_WIDENINGS, NO_DETECTIONS, ONE_EMPTY = 0.5, 30, 3.0, -1.0
 MARGIN = 4
 #: A round asks for as many frames of a half as their bands hold so many scores for each video frame, and for one at least.
 BUDGET = 128
+#: A half of BUDGET frames or fewer that has no more boxes than this, on both sides together, is scored and folded by one task.
+WHOLE = 4096
+#: Overlaps that are held at a time for such a half, but those of a detection frame at least.
+CELLS = 1 << 18
 #: Video frames in a tile; bands meet the frames of the tiles that they touch.
 TILE = 64
 #: Each level's bands reach four times as far as those of the level before.
@@ -33,6 +42,7 @@ MAX_LEVEL = 12
 
 EDGES = ("x1", "y1", "x2", "y2")
 _STATE = "half_id string, n bigint, m bigint, at bigint, low bigint, high bigint, level int"
+_FOUND = f"{_STATE}, since bigint, frames array<bigint>, scores array<double>"
 _FOLDED = pa.schema([
     ("half_id", pa.string()), *[(c, pa.int64()) for c in ("n", "m", "at", "low", "high")], ("level", pa.int32()), ("since", pa.int64()), ("frames", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))
 ])
@@ -201,6 +211,57 @@ def _fold(states: pa.Table, rows: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([dict(zip(_FOLDED.names, row, strict=True))], _FOLDED)
 
 
+def _sides(rows: pa.Table) -> tuple:
+    """(frames, boxes, their number by frame) of rows(frame_idx, boxes) that have boxes, by frame."""
+    rows = rows.select(["frame_idx", "boxes"]).sort_by("frame_idx").combine_chunks()
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros((0, 4)), np.zeros(0, np.int64)
+    boxes = rows.column("boxes").chunk(0)
+    edges = boxes.flatten()
+    return rows.column("frame_idx").to_numpy(), np.column_stack([edges.field(c).to_numpy(zero_copy_only=False) for c in EDGES]), np.diff(boxes.offsets.to_numpy())
+
+
+def _whole_scores(detected: tuple, video: tuple) -> Iterator[tuple[int, np.ndarray]]:
+    """(frame, its scores with each frame of video) of each detection frame, scored so many at a time that CELLS overlaps are held or few more."""
+    (frames, a, sizes), (_, b, b_sizes) = detected, video
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(frames):
+        first = ends[at] - sizes[at]
+        to = max(at + 1, int(np.searchsorted(ends, first + CELLS // max(len(b), 1), "right")))
+        if len(b):
+            scores = frame_scores(a[first : ends[to - 1]], sizes[at:to], b, b_sizes)
+        else:
+            scores = np.zeros((to - at, 0))
+        yield from zip(frames[at:to].tolist(), scores, strict=True)
+        at = to
+
+
+def _search(states: pa.Table, rows: pa.Table) -> pa.Table:
+    """As ``_fold``, of a small half whose rows are the frames of both sides with their boxes."""
+    s = states.to_pylist()[0]
+    of_video = rows.column("of_video")
+    detected, video = _sides(rows.filter(pc.invert(of_video))), _sides(rows.filter(of_video))
+    known = dict(_whole_scores(detected, video))
+    window, at, found = Search(s["m"], 2 * s["m"] // s["n"], s["low"], s["high"]), video[0].tolist(), []
+    for frame in range(s["n"]):
+        if frame in known:
+            found.append(window.advance(_score(0, s["m"], dict(zip(at, known[frame].tolist(), strict=True)))))
+        else:
+            found.append(window.skip())
+    row = (s["half_id"], s["n"], s["m"], s["n"], window.low, window.high, s["level"], 0, [f for f, _ in found], [float(b) for _, b in found])
+    return pa.Table.from_pylist([dict(zip(_FOLDED.names, row, strict=True))], _FOLDED)
+
+
+def _searched(states: DataFrame, detected: DataFrame, video: DataFrame) -> DataFrame:
+    """What a fold finds for small halves. Their boxes are shuffled once, and their scores not at all."""
+    sides = [t.where(F.size("boxes") > 0).select("half_id", "frame_idx", "boxes", F.lit(v).alias("of_video")) for t, v in ((detected, False), (video, True))]
+    # as for tiles, partitions must not be merged by size; the join and the groups keep these
+    parts = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sides[0].unionByName(sides[1]).repartition(parts, "half_id").join(states.select("half_id").hint("merge"), "half_id", "left_semi").withColumnRenamed("half_id", "half")
+    return states.drop("boxes").groupBy("half_id").cogroup(rows.groupBy("half")).applyInArrow(_search, _FOUND)
+
+
 def _rounds(states: DataFrame) -> DataFrame:
     """states with half_step, margin (video frames beyond the window) and asked, the frames that this round asks for.
 
@@ -238,47 +299,58 @@ def _bands(rounds: DataFrame, detected: DataFrame) -> DataFrame:
     return joined.withColumns(bounds).select("half_id", "frame_idx", "boxes", *bounds)
 
 
-def _known(bands: DataFrame, video: DataFrame) -> DataFrame:
-    """The bands' bounds and scores as rows of numbers; a frame with nothing good enough in its band gets all that a search could reach."""
+def _known(bands: DataFrame, video: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The bands' bounds and scores as rows of numbers, and what was stored for them; a frame with nothing good enough in its band gets all that a search could reach."""
     scores = lambda found: found.select("half_id", "frames", "video", "scores")
     marks = lambda b: b.select("half_id", "frame_idx", "first", "beyond")
     near, narrow = _tile_scores(bands, video), F.expr("least < first or most > beyond")
     if bands.where(narrow).isEmpty():
-        return marks(bands).unionByName(scores(near), allowMissingColumns=True)
-    near = checkpointed(near)
+        return marks(bands).unionByName(scores(near), allowMissingColumns=True), []
+    near = stored(near)
     good = near.select("half_id", F.explode("good").alias("frame_idx")).distinct()
     poor = bands.where(narrow).join(good, ["half_id", "frame_idx"], "left_anti").withColumns({"first": F.col("least"), "beyond": F.col("most")})
     fine = bands.where(~narrow).unionByName(bands.where(narrow).join(good, ["half_id", "frame_idx"], "left_semi"))
     # a pair that both passes score has the same score in both
-    return marks(fine).unionByName(marks(poor)).unionByName(scores(near).unionByName(scores(_tile_scores(poor, video))), allowMissingColumns=True)
+    return marks(fine).unionByName(marks(poor)).unionByName(scores(near).unionByName(scores(_tile_scores(poor, video))), allowMissingColumns=True), [near]
 
 
 def align(detections: DataFrame, segmentation: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, frame_idx, all_frame_idx, mean_iou) of every detection frame from 0 to the half's last; both inputs have keys, frame_idx and bbox.
 
-    Frame -1 with an overlap of -1 if no video frame could be tested. A task of the fold holds numbers only, of one half:
-    (detection frame, video frame, score), ten half steps per frame at first and BUDGET per video frame where no frame's band is
-    poor; of a half of BUDGET frames or fewer all of them. Frames before 0 or without a number are left out; boxes with a null edge count as none; null keys are a half of their own.
+    Frame -1 with an overlap of -1 if no video frame could be tested. A task of the fold holds the boxes of a small half, WHOLE at most, or else
+    numbers only, of one half: (detection frame, video frame, score), ten half steps per frame at first and BUDGET per video frame
+    where no frame's band is poor; of a half of BUDGET frames or fewer all of them. Frames before 0 or without a number are left out; boxes with a null edge count as none; null keys are a half of their own.
 
     Rounds end when every half is through: most halves need one if frames are spread evenly, and each round settles a frame
     of each open half at least, since the first frame's band has its window in the middle and reaches as far as a search.
     """
-    detected, video = (checkpointed(boxes_by_frame(df, keys)) for df in (detections, segmentation))
-    halves = detected.groupBy(*keys, "half_id").agg((F.max("frame_idx") + 1).alias("n"))
-    sizes = video.groupBy("half_id").agg((F.max("frame_idx") + 1).alias("m"))
-    start = halves.join(sizes, "half_id", "left").withColumn("m", F.coalesce("m", F.lit(0)))
-    start = start.selectExpr("half_id", "n", "m", "0L as at", "0L as low", "least(2 * m div n, m) as high", "0 as level")
-    people = checkpointed(_with_gaps(detected))
-    states, done = checkpointed(start), None
+    detected, video = (stored(boxes_by_frame(df, keys)) for df in (detections, segmentation))
+    halves = checkpointed(detected.groupBy(*keys, "half_id").agg((F.max("frame_idx") + 1).alias("n"), F.sum(F.size("boxes")).alias("boxes")))
+    sizes = video.groupBy("half_id").agg((F.max("frame_idx") + 1).alias("m"), F.sum(F.size("boxes")).alias("more"))
+    start = halves.join(sizes, "half_id", "left").withColumns({"m": F.coalesce("m", F.lit(0)), "boxes": F.expr("boxes + coalesce(more, 0)")})
+    states = checkpointed(start.selectExpr("half_id", "n", "m", "0L as at", "0L as low", "least(2 * m div n, m) as high", "0 as level", "boxes"))
+    small, people, done = F.expr(f"n <= {BUDGET} and boxes <= {WHOLE}"), None, None
     while not states.isEmpty():
-        rounds = _rounds(states)
-        bands = checkpointed(_bands(rounds, people))
-        rows = _known(bands, video).withColumnRenamed("half_id", "half")
-        folded = rounds.groupBy("half_id").cogroup(rows.groupBy("half")).applyInArrow(_fold, f"{_STATE}, since bigint, frames array<bigint>, scores array<double>")
-        folded = checkpointed(folded)
+        rounds, folds, kept = _rounds(states), [], []
+        if people is None:
+            if not states.where(small).isEmpty():
+                folds.append(_searched(states.where(small), detected, video))
+            states = states.where(~small).drop("boxes")
+            rounds = rounds.where(~small).drop("boxes")
+        if not states.isEmpty():
+            if people is None:
+                ids = states.select("half_id")
+                people, seen = stored(_with_gaps(detected.join(ids, "half_id", "left_semi"))), stored(video.join(ids, "half_id", "left_semi"))
+            bands = stored(_bands(rounds, people))
+            rows, kept = _known(bands, seen)
+            rows, kept = rows.withColumnRenamed("half_id", "half"), [bands, *kept]
+            folds.append(rounds.groupBy("half_id").cogroup(rows.groupBy("half")).applyInArrow(_fold, _FOUND))
+        folded = checkpointed(reduce(DataFrame.unionByName, folds))
         settled = folded.select("half_id", "since", F.posexplode(F.arrays_zip("frames", "scores")).alias("i", "found"))
         done = settled if done is None else done.unionByName(settled)
         states = folded.where("at < n").drop("since", "frames", "scores")
+        discard(*kept)
+    discard(detected, video, *(() if people is None else (people, seen)))
     names = halves.select(*keys, "half_id")
     if done is None:
         return names.selectExpr(*keys, "0L as frame_idx", "0 as all_frame_idx", "0D as mean_iou").where("false")

@@ -36,6 +36,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written once in the shared folder as Parquet, compressed closely, and read back; for what is large."""
+    path = new_path(df.sparkSession, "stored")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``stored`` wrote and nothing reads any more; other files stay."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.rsplit("/", 1)[-1].startswith("stored-"):
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
     """df, after its session has been set to Arrow batches of few rows and bytes, so that long rows fit a Python worker.
 

@@ -1,9 +1,12 @@
 """The window search in rounds against one that tries every window of a half in order."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 from pitchgrid.operators import alignment
+from pitchgrid.sources import shared
 
 SCHEMA = "match string, frame_idx int, bbox struct<x1:double,y1:double,x2:double,y2:double>"
 
@@ -129,3 +132,31 @@ def test_pairs_of_boxes_are_no_rows(spark):
     sides = {s: {(r.half_id, r.frame_idx): [tuple(b) for b in r.boxes] for r in t.collect()} for s, t in (("d", d), ("v", v))}
     want = {(h, f, g): mean_best(a, b) for (h, f), a in sides["d"].items() for (k, g), b in sides["v"].items() if h == k and g < 20 and a and b}
     assert {(r.half_id, r.frame_idx, r.video_idx): r.score for r in alignment.band_scores(bands, v).collect()} == want
+
+
+def test_small_halves_are_scored_where_they_are_folded(spark, monkeypatch):
+    """No score of theirs is shuffled or written."""
+    monkeypatch.setattr(alignment, "_tile_scores", lambda *_: pytest.fail("scores are shuffled"))
+    cases = halves(4, 6, 60)
+    assert found(spark, cases) == {m: dict(enumerate(brute(*case))) for m, case in cases.items()}
+
+
+@pytest.mark.parametrize("whole,cells", [(0, alignment.CELLS), (60, alignment.CELLS), (alignment.WHOLE, 1)])
+def test_halves_of_any_size_get_the_same_rows(spark, monkeypatch, whole, cells):
+    monkeypatch.setattr(alignment, "WHOLE", whole)
+    monkeypatch.setattr(alignment, "CELLS", cells)
+    tables, inner = [], alignment.stored
+    monkeypatch.setattr(alignment, "stored", lambda df: tables.append(inner(df)) or tables[-1])
+    gone = []
+    monkeypatch.setattr(alignment, "discard", lambda *t: gone.extend(t))
+    cases = halves(9, 12, 40)
+    assert found(spark, cases) == {m: dict(enumerate(brute(*case))) for m, case in cases.items()}
+    assert tables and {id(t) for t in tables} == {id(t) for t in gone}
+
+
+def test_stored_tables_can_be_deleted(spark):
+    table = shared.stored(spark.range(5))
+    folder = Path(table.inputFiles()[0].removeprefix("file:")).parent
+    assert table.count() == 5 and folder.exists()
+    shared.discard(table, spark.range(3))
+    assert not folder.exists()
