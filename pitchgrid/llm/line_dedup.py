@@ -12,8 +12,10 @@ never collected: they join a table with one row per chunk, broadcast only if cou
 by Arrow batches; the joins and groups are Spark's.
 
 ``line_dedup`` sees a repeated passage only where a whole chunk lies in it. ``run_dedup`` sees them all: a line goes if it lies
-in a run of two lines or more and ``MIN_CHARS`` characters that is equal to a run at an earlier place. Every such run is a
-union of shortest ones, which are about one a line, so these take the place of the chunks (``shortest_runs``). A run that
+in a run of two lines or more and ``MIN_CHARS`` characters that is equal to a run at an earlier place. It takes out the repeated chunks
+first, then looks at the lines around them: every such run is a union of shortest ones, which are about one a line, so these are
+searched like chunks (``shortest_runs``), but for those within a chunk that goes. Such a chunk's first occurrence holds the same runs
+at an earlier place, so none of them is a first occurrence, and all of their lines go anyway. A run that
 overlaps its own first occurrence stays. The text of a removed line is always left at an earlier place.
 
 Defined cases: null texts stay null and have no lines; the lines of an empty text are one empty line; rows equal in id and
@@ -90,16 +92,27 @@ def shortest_runs(lines: list[bytes], min_chars: int = MIN_CHARS) -> list[tuple[
     return sorted(out)
 
 
-def _runs(text: str, min_chars: int) -> Iterator[tuple[int, list[bytes]]]:
-    """(place, lines) of every shortest run."""
+def _spans(lines: list[bytes], window: int, divisor: int) -> list[tuple[int, int]]:
+    """[a, b) of every chunk."""
+    ends = chunk_ends(lines, window, divisor)
+    return list(zip([0, *ends], ends, strict=False))
+
+
+def _runs(text: str, min_chars: int, window: int, divisor: int, gone: list[int] | None = None) -> Iterator[tuple[int, list[bytes]]]:
+    """(place, lines) of every shortest run that lies in none of the chunks that go; a run's place counts all of them."""
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    return ((k, lines[a:b]) for k, (a, b) in enumerate(shortest_runs(lines, min_chars)))
+    ends = [0] * len(lines)
+    spans = _spans(lines, window, divisor) if gone else []
+    for k in gone or ():
+        a, b = spans[k]
+        ends[a:b] = [b] * (b - a)
+    return ((k, lines[a:b]) for k, (a, b) in enumerate(shortest_runs(lines, min_chars)) if ends[a] < b)
 
 
 def _chunk_rows(docs: DataFrame, chunks_of: Callable, min_chars: int, with_text: bool) -> DataFrame:
-    """(id, key, at, h[, chunk]) of each chunk of two lines or more that is long enough; docs has __pg_id, __pg_key, __pg_text.
+    """(id, key, at, h[, chunk]) of each chunk of two lines or more that is long enough; docs has __pg_id, __pg_key, __pg_text, and may have __pg_gone.
 
-    chunks_of gives the (place, lines) of a text's chunks.
+    chunks_of gives the (place, lines) of a text's chunks; with __pg_gone it takes that as well.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +127,8 @@ def _chunk_rows(docs: DataFrame, chunks_of: Callable, min_chars: int, with_text:
                     columns, names = [*columns, pa.array(chunks, pa.string())], [*names, "chunk"]
                 return pa.RecordBatch.from_arrays(columns, names)
 
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                for k, lines in chunks_of(text) if text is not None else ():
+            for i, of in enumerate(zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True)):
+                for k, lines in chunks_of(*of) if of[0] is not None else ():
                     if len(lines) < 2:
                         continue
                     chunk = b"\n".join(lines)
@@ -136,7 +149,7 @@ def _chunk_rows(docs: DataFrame, chunks_of: Callable, min_chars: int, with_text:
 
     fields = [T.StructField("id", docs.schema["__pg_id"].dataType), T.StructField("key", T.LongType()), T.StructField("at", T.IntegerType())]
     fields += [T.StructField("h", T.LongType())] + [T.StructField("chunk", T.StringType())] * with_text
-    return docs.select("__pg_id", "__pg_key", "__pg_text").mapInArrow(cut, T.StructType(fields))
+    return docs.select("__pg_id", "__pg_key", "__pg_text", *[c for c in docs.columns if c == "__pg_gone"]).mapInArrow(cut, T.StructType(fields))
 
 
 def _small(df: DataFrame, limit: int) -> DataFrame:
@@ -209,25 +222,38 @@ def line_dedup(
 
 
 def run_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_broadcast_rows: int = MAX_BROADCAST_ROWS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_chars: int = MIN_CHARS,
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    window: int = WINDOW,
+    divisor: int = DIVISOR,
 ) -> DataFrame:
     """docs with text_col reduced to the lines that lie in no repeated run, and n_lines, n_removed_lines (of the input)."""
     kept, keyed = _keyed(docs, id_col, text_col, RUN_RESULTS)
+    same = F.col("__pg_id").eqNullSafe(F.col("__pg_i")) & (F.col("__pg_key") == F.col("__pg_k"))
     narrow = keyed.select("__pg_id", "__pg_text", "__pg_key")
-    rows = [_chunk_rows(narrow, lambda text: _runs(text, min_chars), min_chars, with_text) for with_text in (False, True)]
+    rows = [_chunk_rows(narrow, lambda text: _chunks(text, window, divisor), min_chars, with_text) for with_text in (False, True)]
+    chunks = _removed(*rows, max_broadcast_rows).toDF("__pg_i", "__pg_k", "__pg_gone")
+    keyed = materialised(keyed.join(chunks, same, "left").drop("__pg_i", "__pg_k"))
+    narrow = keyed.select("__pg_id", "__pg_text", "__pg_key", "__pg_gone")
+    rows = [_chunk_rows(narrow, lambda text, gone: _runs(text, min_chars, window, divisor, gone), min_chars, with_text) for with_text in (False, True)]
     own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))
     repeat = F.struct("at", F.when(own, F.col("first.at")).alias("first"))
     removed = _repeats(*rows, max_broadcast_rows).groupBy("id", "key").agg(F.collect_set(repeat).alias("ats")).toDF("__pg_i", "__pg_k", "__pg_ats")
-    same = F.col("__pg_id").eqNullSafe(F.col("__pg_i")) & (F.col("__pg_key") == F.col("__pg_k"))
 
     @F.arrow_udf("struct<text:string,n_lines:bigint,n_removed_lines:bigint>")
-    def staying(texts: pa.Array, removed: pa.Array) -> pa.Array:
+    def staying(texts: pa.Array, chunks: pa.Array, removed: pa.Array) -> pa.Array:
         out = []
-        for text, repeats in zip(texts.to_pylist(), removed.to_pylist(), strict=True):
+        for text, places, repeats in zip(texts.to_pylist(), chunks.to_pylist(), removed.to_pylist(), strict=True):
             if text is None:
                 out.append((None, 0, 0))
                 continue
             lines, gone = text.encode("utf-8", "surrogatepass").split(b"\n"), set()
+            spans = _spans(lines, window, divisor) if places else []
+            for k in places or ():
+                gone.update(range(*spans[k]))
             runs = shortest_runs(lines, min_chars) if repeats else []
             for x in repeats or ():
                 a, b = runs[x["at"]]
@@ -239,7 +265,7 @@ def run_dedup(
         columns = [pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 3, [pa.string(), pa.int64(), pa.int64()], strict=True)]
         return pa.StructArray.from_arrays(columns, ["text", *RUN_RESULTS])
 
-    done = keyed.join(removed, same, "left").withColumn("__pg_out", staying("__pg_text", "__pg_ats"))
+    done = keyed.join(removed, same, "left").withColumn("__pg_out", staying("__pg_text", "__pg_gone", "__pg_ats"))
     return done.select(*[F.col("__pg_out.text").alias(c) if c == text_col else F.col(c) for c in kept], *[F.col(f"__pg_out.{c}") for c in RUN_RESULTS])
 
 

@@ -44,6 +44,20 @@ def test_every_repeated_run_goes(spark, limit):
     assert got == brute(rows)
 
 
+def test_content_defined_chunks_go_first(spark, monkeypatch):
+    """Repeated chunks go by the rolling hash; runs are searched around them, and their rows are the same as without."""
+    rows = [(i, f"own {i}\n{BLOCK}\nend {i}") for i in range(4)] + [(10 + i, f"{BLOCK}\nown {i}\n{BLOCK}") for i in range(2)]
+    texts, searched, inner = dict(rows), [], L._repeats
+    monkeypatch.setattr(L, "_repeats", lambda hashes, *a: searched.append([tuple(r) for r in hashes.select("id", "at").collect()]) or inner(hashes, *a))
+    got = {r.doc_id: (r.text, r.n_removed_lines) for r in L.run_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows)
+    chunks, runs = searched
+    assert {k for d, k in chunks if d == 0} <= set(range(len(L.chunk_ends(texts[0].encode().split(b"\n")))))
+    every = {d: len(L.shortest_runs(t.encode().split(b"\n"))) for d, t in rows}
+    some = {d: sum(e == d for e, _ in runs) for d in texts}
+    assert some[0] == every[0] and all(some[d] < every[d] for d in texts if d)
+
+
 def test_stage_removes_two_line_passages(spark):
     passage = "the first line of a passage that many documents share\nand the second line of the same passage, no more"
     rows = [(i, f"before {i}\n{passage}\nafter {i}") for i in range(3)]
