@@ -15,8 +15,8 @@ Of the pairs with a shingle in common in their prefixes, sizes, places and parit
 set's bitmap holds for each of 512 buckets whether its shingles in it are odd in number, so two bitmaps differ in no more
 bits than there are shingles in one set alone. Only the others' whole sets are compared.
 
-Tables of the size of the nodes, of pairs or of prefixes are sorted and merged, never broadcast: Spark takes exploded arrays and repeated
-values in files for far less than they are in the driver's memory.
+Tables of the size of the nodes, of pairs or of prefixes are sorted and merged: Spark takes exploded arrays and repeated
+values in files for far less than they are in the driver's memory. Only what is counted to be ``FEW`` rows or fewer is broadcast.
 
 The order takes popular shingles last, so that a common passage makes few candidates, and prefixes are longer by the share
 of a text's popular shingles; popularity is counted on a sample of the texts, which changes costs but no result. Of the texts with a shingle in common each is first checked against the one
@@ -49,6 +49,8 @@ SHINGLE = 5
 SAMPLE, POPULAR, MAX_POPULAR = 16, 4, 200_000
 #: Buckets of a parity bitmap.
 BUCKETS = 512
+#: Rows of numbers that are broadcast at most.
+FEW = 100_000
 #: Probability that a prefix leaves out the first common shingle of a pair.
 MISS = 1e-15
 
@@ -114,13 +116,23 @@ def _prints(docs: DataFrame, popular: np.ndarray, miss: float | None = MISS) ->
     return docs.select("doc_id", prints("t").alias("p")).select("doc_id", "p.*")
 
 
+def _light(df: DataFrame, few: bool) -> DataFrame:
+    """df marked to be broadcast if it has few rows, else to be sorted and merged."""
+    return F.broadcast(df) if few else df.hint("merge")
+
+
+def _few(df: DataFrame) -> bool:
+    return df.limit(FEW + 1).count() <= FEW
+
+
 def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the candidate pairs (u, v) whose texts are similar enough, by their whole sets."""
     pairs = materialised(pairs.distinct())
+    few = _few(pairs)
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sets = docs.join(ids.hint("merge"), "doc_id", "left_semi").distinct().select("doc_id", _shingles("t").alias("s"))
+    sets = docs.join(_light(ids, few), "doc_id", "left_semi").distinct().select("doc_id", _shingles("t").alias("s"))
     sets = materialised(sets)
-    both = pairs.hint("merge").join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b").hint("merge"), "v")
+    both = _light(pairs, few).join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b").hint("merge"), "v")
     common = F.size(F.array_intersect("a", "b"))
     return materialised(both.where(common * 9 >= (F.size("a") + F.size("b")) * 4).select("u", "v").distinct())
 
@@ -149,7 +161,9 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         """Of pairs(u, v) those that sizes and bitmaps allow; a doc_id with several texts has several, of which one suffices."""
         left, right = (nodes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "uv")
         near = (F.col("n_u") * 5 >= F.col("n_v") * 4) & (F.col("n_v") * 5 >= F.col("n_u") * 4) & (apart * 9 <= F.col("n_u") + F.col("n_v"))
-        return pairs.distinct().join(left.hint("merge"), "u").join(right.hint("merge"), "v").where(near).select("u", "v")
+        pairs = materialised(pairs.distinct())
+        few = _few(pairs)
+        return _light(_light(pairs, few).join(left, "u"), few).join(right, "v").where(near).select("u", "v")
 
     copies = _similar(alike(simhash_candidates(nodes)), docs)
     centre = _joined(nodes, copies)
@@ -158,7 +172,7 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     stars = copies.unionAll(_similar(alike(pairs), docs))
     table = table.join(_joined(nodes, stars).hint("merge"), "u").select("s", "u", "n", "p", "c")
     open_ = materialised(table.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("s"))
-    table = table.join(open_.hint("merge"), "s", "left_semi")
+    table = table.join(_light(open_, _few(open_)), "s", "left_semi")
     other = table.toDF("s", "v", "m", "q", "d")
     # What is left of both from their first common shingle on bounds the overlap, which must be 4/9 of the sum of sizes.
     room = F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) * 9 >= (F.col("n") + F.col("m")) * 4

@@ -101,6 +101,7 @@ def test_simhash_finds_candidates_and_sets_confirm_them(spark, monkeypatch):
 
 def test_nothing_of_the_size_of_prefixes_or_pairs_is_broadcast(spark, monkeypatch):
     plans, inner = [], N.materialised
+    monkeypatch.setattr(N, "FEW", 0)
     monkeypatch.setattr(N, "materialised", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or inner(df))
     docs = spark.createDataFrame(list(enumerate(edited(4))), SCHEMA)
     plans.append(N.near_copies(docs)._jdf.queryExecution().sparkPlan().toString())
