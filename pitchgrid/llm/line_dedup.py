@@ -98,37 +98,33 @@ def _spans(lines: list[bytes], window: int, divisor: int) -> list[tuple[int, int
     return list(zip([0, *ends], ends, strict=False))
 
 
-def _runs(text: str, min_chars: int, window: int, divisor: int, gone: list[int] | None = None) -> Iterator[tuple[int, list[bytes]]]:
-    """(place, lines) of every shortest run that lies in none of the chunks that go; a run's place counts all of them."""
+def _runs(text: str, min_chars: int, window: int, divisor: int) -> Iterator[tuple[int, list[bytes], int | None]]:
+    """(place, lines, place of the chunk that it lies in) of every shortest run."""
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    ends = [0] * len(lines)
-    spans = _spans(lines, window, divisor) if gone else []
-    for k in gone or ():
-        a, b = spans[k]
-        ends[a:b] = [b] * (b - a)
-    return ((k, lines[a:b]) for k, (a, b) in enumerate(shortest_runs(lines, min_chars)) if ends[a] < b)
+    chunk = [(k, b) for k, (a, b) in enumerate(_spans(lines, window, divisor)) for _ in range(a, b)]
+    return ((k, lines[a:b], chunk[a][0] if b <= chunk[a][1] else None) for k, (a, b) in enumerate(shortest_runs(lines, min_chars)))
 
 
 def _chunk_rows(docs: DataFrame, chunks_of: Callable, min_chars: int, with_text: bool) -> DataFrame:
-    """(id, key, at, h[, chunk]) of each chunk of two lines or more that is long enough; docs has __pg_id, __pg_key, __pg_text, and may have __pg_gone.
+    """(id, key, at, h, within[, chunk]) of each chunk of two lines or more that is long enough; docs has __pg_id, __pg_key, __pg_text.
 
-    chunks_of gives the (place, lines) of a text's chunks; with __pg_gone it takes that as well.
+    chunks_of gives the (place, lines) of a text's chunks, and may give the place of what each lies within.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, at, hashes, chunks, waiting = [], [], [], [], 0
+            row, at, hashes, inside, chunks, waiting = [], [], [], [], [], 0
 
             def packed(batch=batch) -> pa.RecordBatch:
                 of = pa.array(row, pa.int64())
-                columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(at, pa.int32()), pa.array(hashes, pa.int64())]
-                names = ["id", "key", "at", "h"]
+                columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(at, pa.int32()), pa.array(hashes, pa.int64()), pa.array(inside, pa.int32())]
+                names = ["id", "key", "at", "h", "within"]
                 if with_text:
                     columns, names = [*columns, pa.array(chunks, pa.string())], [*names, "chunk"]
                 return pa.RecordBatch.from_arrays(columns, names)
 
-            for i, of in enumerate(zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True)):
-                for k, lines in chunks_of(*of) if of[0] is not None else ():
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                for k, lines, *within in chunks_of(text) if text is not None else ():
                     if len(lines) < 2:
                         continue
                     chunk = b"\n".join(lines)
@@ -137,19 +133,20 @@ def _chunk_rows(docs: DataFrame, chunks_of: Callable, min_chars: int, with_text:
                     row.append(i)
                     at.append(k)
                     hashes.append(xxhash.xxh64_intdigest(chunk) - (1 << 63))
+                    inside.append(within[0] if within else None)
                     waiting += 40
                     if with_text:
                         chunks.append(chunk.decode("utf-8", "surrogatepass"))
                         waiting += len(chunk)
                     if waiting >= BYTES_PER_BATCH:
                         yield packed()
-                        row, at, hashes, chunks, waiting = [], [], [], [], 0
+                        row, at, hashes, inside, chunks, waiting = [], [], [], [], [], 0
             if row:
                 yield packed()
 
     fields = [T.StructField("id", docs.schema["__pg_id"].dataType), T.StructField("key", T.LongType()), T.StructField("at", T.IntegerType())]
-    fields += [T.StructField("h", T.LongType())] + [T.StructField("chunk", T.StringType())] * with_text
-    return docs.select("__pg_id", "__pg_key", "__pg_text", *[c for c in docs.columns if c == "__pg_gone"]).mapInArrow(cut, T.StructType(fields))
+    fields += [T.StructField("h", T.LongType()), T.StructField("within", T.IntegerType())] + [T.StructField("chunk", T.StringType())] * with_text
+    return docs.select("__pg_id", "__pg_key", "__pg_text").mapInArrow(cut, T.StructType(fields))
 
 
 def _small(df: DataFrame, limit: int) -> DataFrame:
@@ -232,31 +229,30 @@ def run_dedup(
 ) -> DataFrame:
     """docs with text_col reduced to the lines that lie in no repeated run, and n_lines, n_removed_lines (of the input)."""
     kept, keyed = _keyed(docs, id_col, text_col, RUN_RESULTS)
-    same = F.col("__pg_id").eqNullSafe(F.col("__pg_i")) & (F.col("__pg_key") == F.col("__pg_k"))
     narrow = keyed.select("__pg_id", "__pg_text", "__pg_key")
     rows = [_chunk_rows(narrow, lambda text: _chunks(text, window, divisor), min_chars, with_text) for with_text in (False, True)]
-    chunks = _removed(*rows, max_broadcast_rows).toDF("__pg_i", "__pg_k", "__pg_gone")
-    keyed = materialised(keyed.join(chunks, same, "left").drop("__pg_i", "__pg_k"))
-    narrow = keyed.select("__pg_id", "__pg_text", "__pg_key", "__pg_gone")
-    rows = [_chunk_rows(narrow, lambda text, gone: _runs(text, min_chars, window, divisor, gone), min_chars, with_text) for with_text in (False, True)]
+    chunks = materialised(_repeats(*rows, max_broadcast_rows).select("id", "key", "at"))
+    hashes, texts = [_chunk_rows(narrow, lambda text: _runs(text, min_chars, window, divisor), min_chars, with_text) for with_text in (False, True)]
+    # only numbers are joined
+    found = F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")) & (F.col("within") == F.col("w"))
+    around = hashes.join(chunks.toDF("i", "k", "w").hint("merge"), found, "left_anti")
     own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))
-    repeat = F.struct("at", F.when(own, F.col("first.at")).alias("first"))
-    removed = _repeats(*rows, max_broadcast_rows).groupBy("id", "key").agg(F.collect_set(repeat).alias("ats")).toDF("__pg_i", "__pg_k", "__pg_ats")
+    runs = _repeats(around, texts, max_broadcast_rows).select("id", "key", F.struct("at", F.when(own, F.col("first.at")).alias("first"), F.lit(False).alias("chunk")).alias("x"))
+    whole = chunks.select("id", "key", F.struct("at", F.lit(None).cast("int").alias("first"), F.lit(True).alias("chunk")).alias("x"))
+    removed = runs.unionAll(whole).groupBy("id", "key").agg(F.collect_set("x").alias("ats")).toDF("__pg_i", "__pg_k", "__pg_ats")
+    same = F.col("__pg_id").eqNullSafe(F.col("__pg_i")) & (F.col("__pg_key") == F.col("__pg_k"))
 
     @F.arrow_udf("struct<text:string,n_lines:bigint,n_removed_lines:bigint>")
-    def staying(texts: pa.Array, chunks: pa.Array, removed: pa.Array) -> pa.Array:
+    def staying(texts: pa.Array, removed: pa.Array) -> pa.Array:
         out = []
-        for text, places, repeats in zip(texts.to_pylist(), chunks.to_pylist(), removed.to_pylist(), strict=True):
+        for text, repeats in zip(texts.to_pylist(), removed.to_pylist(), strict=True):
             if text is None:
                 out.append((None, 0, 0))
                 continue
             lines, gone = text.encode("utf-8", "surrogatepass").split(b"\n"), set()
-            spans = _spans(lines, window, divisor) if places else []
-            for k in places or ():
-                gone.update(range(*spans[k]))
-            runs = shortest_runs(lines, min_chars) if repeats else []
+            runs, spans = (shortest_runs(lines, min_chars), _spans(lines, window, divisor)) if repeats else ([], [])
             for x in repeats or ():
-                a, b = runs[x["at"]]
+                a, b = (spans if x["chunk"] else runs)[x["at"]]
                 if x["first"] is None or runs[x["first"]][1] <= a:
                     gone.update(range(a, b))
             if gone:
@@ -265,7 +261,7 @@ def run_dedup(
         columns = [pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 3, [pa.string(), pa.int64(), pa.int64()], strict=True)]
         return pa.StructArray.from_arrays(columns, ["text", *RUN_RESULTS])
 
-    done = keyed.join(removed, same, "left").withColumn("__pg_out", staying("__pg_text", "__pg_gone", "__pg_ats"))
+    done = keyed.join(removed, same, "left").withColumn("__pg_out", staying("__pg_text", "__pg_ats"))
     return done.select(*[F.col("__pg_out.text").alias(c) if c == text_col else F.col(c) for c in kept], *[F.col(f"__pg_out.{c}") for c in RUN_RESULTS])
 
 
